@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = (
     "op2_ngram_jaccard_join",
+    "op4_packing",
+    "op8_toxicity",
 )
 
 
