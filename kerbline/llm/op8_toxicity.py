@@ -1,9 +1,9 @@
 """Toxicity: a subsequence string kernel with Nyström landmarks and a support vector machine over sentences.
 
 The kernel counts shared three-letter subsequences whose letters stand at most three places apart, each gap place
-weighted by DECAY, so that an insult with inserted letters still resembles itself. Landmarks are words that
-labelled toxic texts have and clean ones have not. A sentence's features are its best similarity to each landmark over its words,
-mapped by the inverse root of the landmarks' own kernel matrix. A toxic text need only hold one toxic
+weighted by DECAY, so that an insult with inserted letters still resembles itself. Landmarks are words or beginnings of
+words that labelled toxic texts have and clean ones have not. A sentence's features are its similarity to each landmark summed over its words, and that of
+its whole text per 100 words, mapped by the inverse root of the landmarks' own kernel matrix. A toxic text need only hold one toxic
 sentence: the machine is refitted on the most toxic sentence of each toxic text and all sentences of the clean ones. A text's
 score is that of its most toxic sentence, through a logistic curve fitted on the same texts.
 """
@@ -21,24 +21,26 @@ from pyspark.sql import functions as F
 from kerbline.llm import text as T
 from kerbline.llm.common import WORD_SEPARATORS, table
 
-DECAY, REACH, LEAST, LETTERS, CACHED_WORDS = 0.75, 3, 0.35, 32, 400_000
+DECAY, REACH, LEAST, POWER, LETTERS, CACHED_WORDS = 0.75, 3, 0.45, 3, 32, 400_000
 _STEPS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
+STARTS = (4, 5, 6, 7, 8, 9, 10)
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, weight) of all subsequences; punctuation doesn't count, letters outside a-z share a few codes."""
+def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, weight, end in the word) of all subsequences; punctuation doesn't count, letters outside a-z share a few codes."""
     clean = [w.translate(None, _PUNCTUATION).lower() for w in words]
     data = np.frombuffer(b"".join(clean), np.uint8).astype(np.int32)
     length = np.array([len(w) for w in clean], np.int64)
     letter = np.where((data >= 97) & (data <= 122), data - 97, 26 + data % 6)
     own = np.repeat(np.arange(len(words)), length)
     left = np.repeat(np.cumsum(length), length) - np.arange(len(data))  # letters from here to the word's end
+    place = length[own] - left
     found = []
     for a, b in _STEPS:
         at = np.flatnonzero(left > a + b)
-        found.append((own[at], (letter[at] * LETTERS + letter[at + a]) * LETTERS + letter[at + a + b], np.full(len(at), DECAY ** (a + b - 2), np.float32)))
-    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
+        found.append((own[at], (letter[at] * LETTERS + letter[at + a]) * LETTERS + letter[at + a + b], np.full(len(at), DECAY ** (a + b - 2), np.float32), place[at] + a + b + 1))
+    return tuple(np.concatenate([x[k] for x in found]) for k in range(4))
 
 
 def _norms(own: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -52,7 +54,7 @@ class Landmarks:
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        own, code, weight = _codes(words)
+        own, code, weight, _ = _codes(words)
         dense = np.zeros((LETTERS**3, len(words)), np.float32)
         np.add.at(dense, (code, own), weight)
         dense /= _norms(own, code, weight, len(words)).astype(np.float32)
@@ -62,34 +64,49 @@ class Landmarks:
         self.dense = dense[self.held]
 
     def similar(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the words that are like any landmark by LEAST or more, and their kernel values; lesser values are 0."""
-        own, code, weight = _codes(words)
+        """Indices of the words that are like any landmark by LEAST or more, and their kernel values to the power POWER.
+
+        A word counts by the most similar of itself and its beginnings of STARTS letters, as endings vary. Lesser values are 0.
+        """
+        own, code, weight, end = _codes(words)
         near = self.row[code] >= 0
-        if not near.any():
-            return np.zeros(0, np.int64), np.zeros((0, len(self.words)), np.float32)
-        some, at = np.unique(own[near], return_inverse=True)
-        value = np.zeros((len(some), len(self.words)), np.float32)
-        row, w = self.row[code[near]], weight[near]
+        own_near = np.bincount(own[near], minlength=len(words)) if near.any() else np.zeros(len(words))
+        some = np.flatnonzero(own_near >= 2)
+        if not len(some):
+            return some, np.zeros((0, len(self.words)), np.float32)
+        mine = np.full(len(words), -1)
+        mine[some] = np.arange(len(some))
+        of = mine[own] >= 0
+        own, code, weight, end, near = mine[own[of]], code[of], weight[of], end[of], near[of]
+        parts = [(own * (len(STARTS) + 1) + k, end <= most) for k, most in enumerate([*STARTS, 1 << 30])]
+        own = np.concatenate([x[keep] for x, keep in parts])
+        code, weight, near = (np.concatenate([x[keep] for _, keep in parts]) for x in (code, weight, near))
+        total = len(some) * (len(STARTS) + 1)
+        row, at, w = self.row[code[near]], own[near], weight[near]
+        value = np.zeros((total, len(self.words)), np.float32)
         order = np.argsort(at, kind="stable")
         for a in range(0, len(order), 1 << 16):
             part = order[a : a + (1 << 16)]
             first = np.flatnonzero(np.concatenate([[True], at[part][1:] != at[part][:-1]]))
             value[at[part][first]] += np.add.reduceat(self.dense[row[part]] * w[part, None], first, axis=0)
-        bound = value.max(1) / np.sqrt(np.maximum(np.bincount(own, weight * weight, len(words))[some], 1e-12))  # the norm is at least this
-        keep = np.flatnonzero(bound >= LEAST)
-        if not len(keep):
-            return some[keep], value[keep]
-        mine = np.full(len(words), -1)
-        mine[some[keep]] = np.arange(len(keep))
-        sel = mine[own] >= 0
-        value = value[keep] / _norms(mine[own[sel]], code[sel], weight[sel], len(keep))[:, None]
+        least = np.sqrt(np.maximum(np.bincount(own, weight * weight, total), 1e-12))  # no norm is less
+        keep = value.max(1) >= LEAST * least
+        mine = np.full(total, -1)
+        mine[keep] = np.arange(keep.sum())
+        value, of = value[keep], mine[own] >= 0
+        value /= _norms(mine[own[of]], code[of], weight[of], len(value))[:, None]
         value[value < LEAST] = 0
-        good = np.flatnonzero(value.any(1))
-        return some[keep[good]], value[good]
+        best = np.zeros((len(some), len(self.words)), np.float32)
+        np.maximum.at(best, np.flatnonzero(keep) // (len(STARTS) + 1), value)
+        good = np.flatnonzero(best.any(1))
+        return some[good], best[good] ** POWER
 
 
 def sentences(column: pa.Array, landmarks: Landmarks, cache: dict) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, sentence, features) for each sentence with a word that is like a landmark. Single letters in a row are one word."""
+    """(row, sentence, features) for each sentence with a word that is like a landmark. Single letters in a row are one word.
+
+    The features are sums of the words' kernel values, once over the sentence and once over the whole text, there per 100 words.
+    """
     data, offsets = T.utf8(column)
     for a, h, at, s, e in T.words(column, spans=True):
         row = np.repeat(np.arange(a, a + len(at) - 1), np.diff(at))
@@ -112,7 +129,7 @@ def sentences(column: pa.Array, landmarks: Landmarks, cache: dict) -> Iterator[t
         out: dict[tuple[int, int], np.ndarray] = {}
         for i in at_words.tolist():
             key, value = (int(row[i]), int(sentence[i])), known[back[i]]
-            out[key] = np.maximum(out[key], value) if key in out else value
+            out[key] = out[key] + value if key in out else value
         single = np.flatnonzero(e - s == 1)
         if len(single) > 2:
             run = np.split(single, np.flatnonzero((np.diff(single) > 1) | (np.diff(row[single]) > 0)) + 1)
@@ -120,9 +137,12 @@ def sentences(column: pa.Array, landmarks: Landmarks, cache: dict) -> Iterator[t
             like, value = landmarks.similar([data[s[r]].tobytes() for r in run]) if run else ([], [])
             for k, x in zip(like, value, strict=True):
                 key = (int(row[run[k][0]]), int(sentence[run[k][0]]))
-                out[key] = np.maximum(out[key], x) if key in out else x
+                out[key] = out[key] + x if key in out else x
+        whole: dict[int, np.ndarray] = {}
+        for (r, _), value in out.items():
+            whole[r] = whole[r] + value if r in whole else value
         for (r, n), value in out.items():
-            yield r, n, value
+            yield r, n, np.concatenate([value, whole[r] * (100 / (20 + at[r - a + 1] - at[r - a]))])
 
 
 @dataclass
@@ -140,18 +160,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by averaged full subgradients; y is -1 or 1, cost a weight per row."""
-    w, b, mean, shift = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    cost = cost / cost.sum()
-    for t in range(rounds):
-        hit = y * (x @ w + b) < 1
-        rate = 20 / (1 + 0.1 * t)
-        w = (1 - rate * 1e-4) * w + rate * (x[hit].T @ (cost * y)[hit])
-        b += 0.1 * rate * float((cost * y)[hit].sum())
-        if t >= rounds // 2:
-            mean, shift = mean + w, shift + b
-    return mean / (rounds - rounds // 2), shift / (rounds - rounds // 2)
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 2000.0) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps; y is -1 or 1, cost a weight per row."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    w, ridge = np.zeros(x.shape[1]), np.diag(np.append(np.ones(x.shape[1] - 1), 1e-3))
+    cost, last = c * cost / cost.sum(), None
+    for _ in range(30):
+        hit = y * (x @ w) < 1
+        if last is not None and (hit == last).all():
+            break
+        last, part = hit, x[hit] * cost[hit, None]
+        w = np.linalg.solve(ridge + part.T @ x[hit], part.T @ y[hit])
+    return w[:-1], float(w[-1])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -177,17 +197,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * rows rows
     words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[!-/:-@\[-`{-~]", ""), WORD_SEPARATORS))
-    counts = texts.select("toxic", F.explode(words).alias("word")).where("length(word) > 3").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    starts = F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(9))), lambda n: F.substring(w, 1, n)))
+    words = F.array_distinct(F.flatten(starts))
+    counts = texts.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     number = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = number.get(1, 0), number.get(0, 0)
     if not bad or not good:
-        return Model([b"none"], np.zeros(1), 0.0, 1.0, float(np.log((bad + 0.01) / (good + 0.01))))
+        return Model([b"none"], np.zeros(2), 0.0, 1.0, float(np.log((bad + 0.01) / (good + 0.01))))
     share, other = F.col("bad") / bad, F.col("good") / good
     top = counts.where("bad > 1").orderBy((share * F.log((share + 1e-3) / (other + 1e-3))).desc(), "word").limit(8 * landmarks).collect()
     picked: list[bytes] = []
     words = [r["word"].encode() for r in top]
     if words:
-        own, code, weight = _codes(words)
+        own, code, weight, _ = _codes(words)
         dense = np.zeros((len(words), LETTERS**3), np.float32)
         np.add.at(dense, (own, code), weight)
         dense /= _norms(own, code, weight, len(words))[:, None]
@@ -212,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     got = texts.mapInArrow(features, "doc_id long, toxic int, x binary").groupBy("doc_id", "toxic", "x").count().toPandas().sort_values(["doc_id", "x"], na_position="first")
     label = got[got.x.isna()].set_index("doc_id").toxic.groupby(level=0).max()
     got = got[got.x.notna()]
-    x = np.stack([np.frombuffer(v, np.float32) for v in got.x]).astype(np.float64) if len(got) else np.zeros((0, len(picked)))
+    x = np.stack([np.frombuffer(v, np.float32) for v in got.x]).astype(np.float64) if len(got) else np.zeros((0, 2 * len(picked)))
     own, y = got.doc_id.to_numpy(), got.toxic.to_numpy()
     kernel = Landmarks(picked)
     gram = np.zeros((len(picked), len(picked)))
@@ -221,8 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     gram = (gram + gram.T) / 2
     root, basis = np.linalg.eigh(gram + 1e-3 * np.eye(len(picked)))
     root = basis @ np.diag(1 / np.sqrt(np.maximum(root, 1e-2))) @ basis.T
+    root = np.kron(np.eye(2), root)
     z, decision, bias = x @ root, x.sum(1), 0.0
-    weights = np.zeros(len(picked))
+    weights = np.zeros(2 * len(picked))
     for _ in range(4):
         order = np.lexsort((-decision, own))
         lead = np.zeros(len(own), bool)
