@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "op1_decontamination",
     "op2_ngram_jaccard_join",
     "op4_packing",
     "op8_toxicity",
