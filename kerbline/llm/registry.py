@@ -9,6 +9,7 @@ MODULES = (
     "op2_ngram_jaccard_join",
     "op4_packing",
     "op8_toxicity",
+    "op9_pii",
 )
 
 
