@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.llm.text import mix
+
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -42,3 +48,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
+
+
+FILTER_BITS, FILTER_PARTS = 23, 64
+
+
+def marked(keys: DataFrame):
+    """A test, for 64-bit keys, that all keys of the one column pass and few others do: a filter of 2 ** FILTER_BITS bits, whatever
+    the number of keys (1 MB at the driver and in each task). With a number of keys near 2 ** FILTER_BITS it only sieves less.
+    """
+    name = keys.columns[0]
+
+    def marks(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[spot(batch.column(name).to_numpy(zero_copy_only=False))] = True
+        parts = np.packbits(bits).reshape(FILTER_PARTS, -1)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "marks": pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())})
+
+    def either(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(blob), np.uint8)
+                total[part] = total[part] | x if part in total else x
+        if total:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(total, pa.int32()), "marks": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    every = np.zeros((FILTER_PARTS, (1 << FILTER_BITS) // 8 // FILTER_PARTS), np.uint8)
+    for part, blob in keys.mapInArrow(marks, "part int, marks binary").repartition(FILTER_PARTS, "part").mapInArrow(either, "part int, marks binary").collect():
+        every[part] = np.frombuffer(blob, np.uint8)
+    held = keys.sparkSession.sparkContext.broadcast(every.tobytes())
+    unpacked: list[np.ndarray] = []
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        if not unpacked:
+            unpacked.append(np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool))
+        return pd.Series(unpacked[0][spot(key.to_numpy())])
+
+    return test
+
+
+def spot(key: np.ndarray) -> np.ndarray:
+    """A key's place in the filter."""
+    return (mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)

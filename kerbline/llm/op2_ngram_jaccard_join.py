@@ -6,7 +6,8 @@ The metric is the Jaccard distance d = 1 - |x & y| / |x | y|, links are the pair
    smallest shingle c, and all shingles of either before c lie outside the other; so x must be in the cells of its first
    |x| - ceil(threshold |x|) + 1 shingles only. That is its triangle-inequality window around those pivots, and rare shingles
    come first, so that cells are small. Within a cell the windows around the empty set (sizes) and around the shingles
-   before c (positions) drop every set that can link to no other.
+   before c (positions) drop every set that can link to no other. One shingle more in each window, and linked sets share
+   two: pairs that meet once, in one small cell, are chance and go. (So links must share two shingles: percent >= 67.)
 2. The set with the least position in a cell, the one nearest to the others, is the document pivot. A pivot's Voronoi
    region is the sets that share a cell with it; boundary documents stand in all such regions. Every link lies in a region.
 3. A region of at most LEAF sets is joined exactly, by a product of its incidence matrix. A larger one is split once more:
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import text as T
-from kerbline.llm.common import checkpoint, components, table
+from kerbline.llm.common import checkpoint, components, marked, table
 
-BUCKET_BITS, PARTS, LEAF = 20, 64, 1024
+BUCKET_BITS, PARTS, LEAF, SMALL = 20, 64, 1024, 8
 
 
 def _needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -110,7 +111,7 @@ def _cells(size: int, percent: int, counts):
                 if not len(x) or (key := _key(x)) in seen:
                     continue
                 seen.add(key)
-                window = len(x) - _needed(len(x), percent) + 1
+                window = min(len(x), len(x) - _needed(len(x), percent) + 2)
                 c = count[_bucket(x)]
                 order = np.flatnonzero(c <= np.partition(c, window - 1)[window - 1]) if window < len(x) else np.arange(len(x))
                 held.append((x[order[np.argsort(c[order], kind="stable")][:window]], key, len(x)))
@@ -123,6 +124,27 @@ def _cells(size: int, percent: int, counts):
     return run
 
 
+def _packed_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(_key(x), pack(x)) for _, x in _sets(batch.column("text"), size)]
+            for a in range(0, len(held), 500):
+                yield pa.RecordBatch.from_pydict({"key": [k for k, _ in held[a : a + 500]], "shingles": [x for _, x in held[a : a + 500]]})
+
+    return run
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to tell a few thousand shingles of two texts apart."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    x = np.zeros((len(blob) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return x.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
     """Whole groups of rows with equal by, in sorted input, many groups at a time."""
     held: list[pa.RecordBatch] = []
@@ -141,13 +163,18 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _can(p: np.ndarray, q: np.ndarray, m: np.ndarray, k: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of m and k shingles can link if their first or second common one has the positions p and q."""
+    return (100 * np.minimum(m, k) >= percent * np.maximum(m, k)) & ((p + q - 2) * (100 + percent) <= (100 - percent) * (m + k))
+
+
 def _partner(pos: np.ndarray, n: np.ndarray, percent: int, block: int = 2048) -> np.ndarray:
     """Which sets of a cell can link to another by size and position."""
     can = np.zeros(len(pos), bool)
     for a in range(0, len(pos), block):
         for b in range(a, len(pos), block):
             p, q, m, k = pos[a : a + block, None], pos[None, b : b + block], n[a : a + block, None], n[None, b : b + block]
-            ok = (100 * np.minimum(m, k) >= percent * np.maximum(m, k)) & ((p + q) * (100 + percent) <= (100 - percent) * (m + k))
+            ok = _can(p, q, m, k, percent)
             if a == b:
                 np.fill_diagonal(ok, False)
             can[a : a + block] |= ok.any(1)
@@ -156,7 +183,10 @@ def _partner(pos: np.ndarray, n: np.ndarray, percent: int, block: int = 2048) ->
 
 
 def _pivots(percent: int):
-    """From cells sorted by token, position and key: (pivot, key) for each set that can link to another of its cell."""
+    """From cells sorted by token, position and key: (pivot, key) for each set that can link to another of its cell.
+
+    A cell of at most SMALL sets gives its pairs instead, as a pair must have two common shingles in the windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "token"):
@@ -165,18 +195,20 @@ def _pivots(percent: int):
             token, pos, key, n = token[new], pos[new].astype(np.int64), key[new], n[new]  # a set comes from each task that has it
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.concatenate([start, [len(token)]]))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            pair = start[length == 2]
-            m, k = n[pair], n[pair + 1]
-            pair = pair[(100 * np.minimum(m, k) >= percent * np.maximum(m, k)) & ((pos[pair] + pos[pair + 1]) * (100 + percent) <= (100 - percent) * (m + k))]
-            found += [(key[pair], key[pair]), (key[pair], key[pair + 1])]
-            for s, w in zip(start[length > 2], length[length > 2], strict=True):
+            small: list[np.ndarray] = []
+            large: list[np.ndarray] = []
+            for w in range(2, SMALL + 1):
+                at = start[length == w]
+                for x, y in [(at + i, at + j) for i in range(w) for j in range(i + 1, w)]:
+                    ok = _can(pos[x], pos[y], n[x], n[y], percent)
+                    small.append(np.sort(np.stack([key[x[ok]], key[y[ok]]]), axis=0))
+            for s, w in zip(start[length > SMALL], length[length > SMALL], strict=True):
                 can = s + np.flatnonzero(_partner(pos[s : s + w], n[s : s + w], percent))
-                found.append((np.full(len(can), key[can[0]] if len(can) else 0), key[can]))
-            pivot, member = (np.concatenate([x[i] for x in found]) for i in range(2))
-            if len(pivot):
-                own = np.unique(np.stack([pivot, member]), axis=1)
-                yield pa.RecordBatch.from_pydict({"pivot": own[0], "key": own[1]})
+                large.append(np.stack([np.full(len(can), key[can[0]] if len(can) else 0), key[can]]))
+            for found, alone in ((small, True), (large, False)):
+                if found and (pairs := np.concatenate(found, axis=1)).shape[1]:
+                    pairs = pairs if alone else np.unique(pairs, axis=1)
+                    yield pa.RecordBatch.from_pydict({"pivot": pairs[0], "key": pairs[1], "small": np.full(pairs.shape[1], alone)})
 
     return run
 
@@ -244,7 +276,7 @@ def _regions(percent: int):
                 inner = len(np.intersect1d(x, center, assume_unique=True))
                 distance = 1 - inner / (len(x) + len(center) - inner)
                 ring.append(int(distance / (1 - percent / 100 + 1e-9)))
-            return _found(pivot=[now] * len(rows), ring=ring, n=[len(x) for _, x in rows], shingles=[x.tobytes() for _, x in rows], b=[k for k, _ in rows], a=[k for k, _ in rows])
+            return _found(pivot=[now] * len(rows), ring=ring, n=[len(x) for _, x in rows], shingles=[pack(x) for _, x in rows], b=[k for k, _ in rows], a=[k for k, _ in rows])
 
         def done() -> Iterator[pa.RecordBatch]:
             if more and held:
@@ -259,8 +291,8 @@ def _regions(percent: int):
                 if pivot != now:
                     yield from done()
                     now, held, more = pivot, [], False
-                    center = np.frombuffer(blob, np.uint64)
-                held.append((key, np.frombuffer(blob, np.uint64)))
+                    center = unpack(blob)
+                held.append((key, unpack(blob)))
                 if len(held) > LEAF:
                     yield rings(held)
                     held, more = [], True
@@ -286,7 +318,7 @@ def _blocks(percent: int):
                 if block != now:
                     yield from done()
                     now, held = block, []
-                held.append((key, np.frombuffer(blob, np.uint64)))
+                held.append((key, unpack(blob)))
         yield from done()
 
     return run
@@ -319,6 +351,8 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     smallest doc_id that links lead to. A text of fewer words is one shingle; a null text or one without words has none and
     links to nothing. Rows with a repeated doc_id stay and get their own set's size; other columns are not read. No rows: none.
     """
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = checkpoint(docs.mapInArrow(_summaries(size), "doc_id long, n long, key long, part int, counts binary"))
@@ -328,19 +362,14 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         counts[part] = np.frombuffer(blob, np.int32)
     held = spark.sparkContext.broadcast(counts.tobytes())
     cells = docs.mapInArrow(_cells(size, percent, held), "token long, pos int, key long, n long")
-    members = cells.repartition("token").sortWithinPartitions("token", "pos", "key", "n").mapInArrow(_pivots(percent), "pivot long, key long").distinct()
-    members = checkpoint(members)
+    members = cells.repartition("token").sortWithinPartitions("token", "pos", "key", "n").mapInArrow(_pivots(percent), "pivot long, key long, small boolean")
+    members = members.groupBy("pivot", "key").agg(F.count("*").alias("times"), F.min("small").alias("small")).where("not small or times > 1")
+    members = checkpoint(members.select(F.explode(F.array(F.struct("pivot", "key"), F.struct("pivot", F.col("pivot").alias("key")))).alias("x")).select("x.*").distinct())
     ids = read.where("part is null").select("doc_id", "n", "key")
     first = ids.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
-    wanted = first.join(members.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id"), "key")
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            rows = [(int(key[i]), x.tobytes()) for i, x in _sets(batch.column("text"), size) if _key(x) == key[i]]
-            yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in rows], pa.int64()), "shingles": pa.array([x for _, x in rows], pa.binary())})
-
-    sets = docs.join(wanted, "doc_id").mapInArrow(with_sets, "key long, shingles binary").dropDuplicates(["key"])
+    wanted = first.join(members.select("key").distinct(), "key", "left_semi").select("rep")
+    few = docs.where(F.col("doc_id").isNotNull()).where(marked(wanted)(F.col("doc_id")))
+    sets = few.mapInArrow(_packed_sets(size), "key long, shingles binary").dropDuplicates(["key"])
     regions = members.join(sets, "key").repartition("pivot").sortWithinPartitions("pivot", F.col("key") != F.col("pivot"), "key")
     found = checkpoint(regions.mapInArrow(_regions(percent), _FOUND))
     links = found.where("pivot is null").select("a", "b")
