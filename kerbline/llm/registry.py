@@ -8,6 +8,7 @@ MODULES = (
     "op1_decontamination",
     "op2_ngram_jaccard_join",
     "op4_packing",
+    "op7_fingerprints",
     "op8_toxicity",
     "op9_pii",
 )
