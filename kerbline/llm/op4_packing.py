@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kerbline.llm import text as T
 from kerbline.llm.common import table
 
-WINDOWS, CACHED_WORDS = 192, 400_000
+WINDOWS, CACHED_WORDS = 192, 1_500_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
