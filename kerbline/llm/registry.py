@@ -7,10 +7,13 @@ from importlib import import_module
 MODULES = (
     "op1_decontamination",
     "op2_ngram_jaccard_join",
+    "op3_url_filters",
     "op4_packing",
+    "op6_quality",
     "op7_fingerprints",
     "op8_toxicity",
     "op9_pii",
+    "op10_warc",
 )
 
 
