@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from kerbline.plans import base, geometry, network, relational  # noqa: F401  each registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct transit lines between two points, the five cheapest."""
+    return base.QUERIES["top-04"](spark, sf_dir)
