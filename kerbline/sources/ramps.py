@@ -41,7 +41,7 @@ def read_associations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _without_header(spark: SparkSession, path: str) -> DataFrame:
-    """All lines but those equal to the file's first: a header is one line that no data line repeats."""
+    """All lines with a digit: a header names its fields and has none."""
     lines = spark.read.text(path)
     return lines.where(F.regexp_like("value", F.lit("[0-9]")) & (F.col("value") != ""))
 
