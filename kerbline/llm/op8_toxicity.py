@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kerbline.llm import text as T
 from kerbline.llm.common import WORD_SEPARATORS, table
 
-DECAY, REACH, LEAST, POWER, LETTERS, CACHED_WORDS = 0.75, 3, 0.45, 3, 32, 400_000
+DECAY, REACH, LEAST, POWER, LETTERS, CACHED_WORDS = 0.75, 3, 0.45, 3, 32, 1_000_000
 _STEPS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
 STARTS = (4, 5, 6, 7, 8, 9, 10)
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -78,26 +78,27 @@ class Landmarks:
         mine[some] = np.arange(len(some))
         of = mine[own] >= 0
         own, code, weight, end, near = mine[own[of]], code[of], weight[of], end[of], near[of]
-        parts = [(own * (len(STARTS) + 1) + k, end <= most) for k, most in enumerate([*STARTS, 1 << 30])]
-        own = np.concatenate([x[keep] for x, keep in parts])
-        code, weight, near = (np.concatenate([x[keep] for _, keep in parts]) for x in (code, weight, near))
-        total = len(some) * (len(STARTS) + 1)
-        row, at, w = self.row[code[near]], own[near], weight[near]
-        value = np.zeros((total, len(self.words)), np.float32)
+        # each subsequence counts for all beginnings from the first that holds it on: sums by that first one, then running sums
+        kinds = len(STARTS) + 1
+        slot = own * kinds + np.searchsorted(STARTS, end)
+        row, at, w = self.row[code[near]], slot[near], weight[near]
+        value = np.zeros((len(some) * kinds, len(self.words)), np.float32)
         order = np.argsort(at, kind="stable")
-        for a in range(0, len(order), 1 << 16):
-            part = order[a : a + (1 << 16)]
+        for a in range(0, len(order), 1 << 14):
+            part = order[a : a + (1 << 14)]
             first = np.flatnonzero(np.concatenate([[True], at[part][1:] != at[part][:-1]]))
             value[at[part][first]] += np.add.reduceat(self.dense[row[part]] * w[part, None], first, axis=0)
-        least = np.sqrt(np.maximum(np.bincount(own, weight * weight, total), 1e-12))  # no norm is less
-        keep = value.max(1) >= LEAST * least
-        mine = np.full(total, -1)
-        mine[keep] = np.arange(keep.sum())
-        value, of = value[keep], mine[own] >= 0
-        value /= _norms(mine[own[of]], code[of], weight[of], len(value))[:, None]
+        value = np.cumsum(value.reshape(len(some), kinds, -1), axis=1).reshape(len(some) * kinds, -1)
+        squares = np.cumsum(np.bincount(slot, weight * weight, len(some) * kinds).reshape(-1, kinds), axis=1).ravel()
+        keep = np.flatnonzero(value.max(1) >= LEAST * np.sqrt(np.maximum(squares, 1e-12)))  # no norm is less
+        value = value[keep]
+        mine = np.full(len(some) * kinds, -1)
+        mine[keep] = np.arange(len(keep))
+        parts = [(mine[own * kinds + k], (end <= most) & (mine[own * kinds + k] >= 0)) for k, most in enumerate([*STARTS, 1 << 30])]
+        value /= _norms(np.concatenate([x[ok] for x, ok in parts]), *(np.concatenate([x[ok] for _, ok in parts]) for x in (code, weight)), len(keep))[:, None]
         value[value < LEAST] = 0
         best = np.zeros((len(some), len(self.words)), np.float32)
-        np.maximum.at(best, np.flatnonzero(keep) // (len(STARTS) + 1), value)
+        np.maximum.at(best, keep // kinds, value)
         good = np.flatnonzero(best.any(1))
         return some[good], best[good] ** POWER
 
