@@ -9,6 +9,7 @@ MODULES = (
     "op2_ngram_jaccard_join",
     "op3_url_filters",
     "op4_packing",
+    "op5_chat_formatting",
     "op6_quality",
     "op7_fingerprints",
     "op8_toxicity",

@@ -49,6 +49,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one piece; no word crosses a break."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _SPACE[data]
     before = np.empty(len(data), bool)
     before[0] = True
