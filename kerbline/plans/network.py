@@ -403,3 +403,79 @@ def _oracles() -> None:
 
 
 _oracles()
+
+
+# Walking routes and moved ramps.
+
+_ENDS = "ends AS (SELECT id, rampStartId AS ramp, vertexStartId AS at, vertexEndId AS too FROM crossing UNION ALL SELECT id, rampEndId, vertexEndId, vertexStartId FROM crossing)"
+_MOVED = f"""{_ENDS}, served AS (SELECT ramp, count(DISTINCT id) AS n FROM ends WHERE ramp IS NOT NULL GROUP BY ramp),
+ near AS (SELECT e.id, e.ramp, e.at, e.too, o.too AS far FROM ends e JOIN ends o ON o.at = e.at AND o.id <> e.id WHERE e.ramp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY e.id, e.ramp, e.at, e.too ORDER BY o.id, o.too) = 1)
+ SELECT n.ramp AS id, n.id AS crossing, round(v.lat - (f.lat - v.lat) / sqrt(pow(f.lng - v.lng, 2) + pow(f.lat - v.lat, 2)) * 0.00005, 6) AS lat,
+  round(v.lng + (t.lng - v.lng) / sqrt(pow(t.lng - v.lng, 2) + pow(t.lat - v.lat, 2)) * CASE WHEN s.n = 1 THEN 0.00005 ELSE -0.00005 END, 6) AS lng
+ FROM near n JOIN served s ON s.ramp = n.ramp JOIN street_vertex v ON v.id = n.at JOIN street_vertex t ON t.id = n.too JOIN street_vertex f ON f.id = n.far"""
+
+
+@query("rmp-03")
+def rmp_03(t):
+    from kerbline.operators.walk import moved_ramps
+
+    return moved_ramps(t("crossing"), t("street_vertex")).select("id", "crossing", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+@query("agg-12")
+def agg_12(t):
+    return N.components(_some(t)).groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").limit(1)
+
+
+def _legs(t):
+    return t("leg").where("id % 20 = 0").withColumnRenamed("id", "request")
+
+
+@query("rte-02")
+def rte_02(t):
+    from kerbline.operators.walk import walk_routes
+
+    return walk_routes(_legs(t), t("street_vertex"), _costed(t)).select("request", F.size("path").alias("hops"), r6(C("cost")).alias("cost"))
+
+
+@query("rte-03")
+def rte_03(t):
+    from kerbline.operators.walk import walk_routes, with_coordinates
+
+    return with_coordinates(walk_routes(_legs(t), t("street_vertex"), _costed(t)), t("street_vertex")).select("request", "walkPath")
+
+
+@query("cmb-02")
+def cmb_02(t):
+    """Walk paths of a page of combinations."""
+    from kerbline.operators.walk import walk_routes, with_coordinates
+
+    end = lambda key, n: t("stop").select(C("id").alias(key), C("lat").alias(f"lat{n}"), C("lng").alias(f"lng{n}"))
+    page = t("combination").orderBy("fromStopId", "toTravelInfoId").offset(20).limit(50).withColumn("request", C("fromStopId") * 1000 + C("toTravelInfoId"))
+    page = page.join(end("fromStopId", 1), "fromStopId").join(end("toStopId", 2), "toStopId")
+    found = with_coordinates(walk_routes(page, t("street_vertex"), _costed(t)), t("street_vertex"))
+    return found.select(F.floor(C("request") / 1000).alias("fromStopId"), (C("request") % 1000).alias("toTravelInfoId"), "walkPath")
+
+
+@query("swk-02")
+def swk_02(t):
+    from kerbline.operators.sidewalks import corners
+
+    return corners(t("street_vertex"), t("street_edge")).groupBy("vertex").agg(F.count("*").alias("corners"))
+
+
+@query("swk-05")
+def swk_05(t):
+    from kerbline.operators.sidewalks import corners, sidewalks
+
+    return sidewalks(corners(t("street_vertex"), t("street_edge")))
+
+
+def _more_oracles() -> None:
+    from kerbline.plans.base import ORACLES
+
+    ORACLES["rmp-03"] = _with(_MOVED, "crossing, street_vertex")
+    ORACLES["agg-12"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT root, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY root ORDER BY n DESC, root LIMIT 1")
+
+
+_more_oracles()
