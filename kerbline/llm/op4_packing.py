@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kerbline.llm import text as T
 from kerbline.llm.common import table
 
-WINDOWS, CACHED_WORDS = 192, 1_500_000
+WINDOWS, CACHED_WORDS = 192, 400_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -73,8 +73,6 @@ def windows_of(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         windows += 1
 
 
-#: Words that a worker has encoded, by tokenizer file; kept from task to task and emptied when full.
-_known: dict[str, dict[bytes, bytes]] = {}
 _ENDING = b".,;:!?"
 
 
@@ -94,7 +92,8 @@ def encoder(tokenizer_path: str, end_id: int):
     from tokenizers import Tokenizer
 
     tokenizer, end = Tokenizer.from_file(tokenizer_path), np.array([end_id], "<u4").tobytes()
-    known = _known.setdefault(tokenizer_path, {})
+    known: dict[bytes, bytes] = T.word_cache(("ids", tokenizer_path))
+    again: set[bytes] = set()
     packed = (lambda ids: array("I", ids).tobytes()) if sys.byteorder == "little" else (lambda ids: np.array(ids, "<u4").tobytes())
     tokenize, shown = tokenizer.model.tokenize, str.maketrans(_byte_letters())
 
@@ -118,9 +117,14 @@ def encoder(tokenizer_path: str, end_id: int):
         split = [x.split() for x in texts]
         every = set().union(*split)
         new = every.difference(known)
+        again.update(every.difference(new))
         if len(known) + len(new) > CACHED_WORDS:
+            # words met once go, those met in several blocks stay
+            kept = {w: known[w] for w in again} if len(again) < CACHED_WORDS // 2 else {}
             known.clear()
-            new = every
+            again.clear()
+            known.update(kept)
+            new = every.difference(known)
         if new:
             learn(new)
         for words in split:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kerbline.llm import text as T
 from kerbline.llm.common import WORD_SEPARATORS, table
 
-DECAY, REACH, LEAST, POWER, LETTERS, CACHED_WORDS = 0.75, 3, 0.45, 3, 32, 1_000_000
+DECAY, REACH, LEAST, POWER, LETTERS, CACHED_WORDS = 0.75, 3, 0.45, 3, 32, 300_000
 _STEPS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
 STARTS = (4, 5, 6, 7, 8, 9, 10)
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -119,8 +119,8 @@ def sentences(column: pa.Array, landmarks: Landmarks, cache: dict) -> Iterator[t
         new = [i for i, x in enumerate(known) if x is None]
         if len(cache) + len(new) > CACHED_WORDS:
             cache.clear()
-        for b in range(0, len(new), 4096):
-            part = new[b : b + 4096]
+        for b in range(0, len(new), 2048):
+            part = new[b : b + 2048]
             like, value = landmarks.similar([data[s[first[i]] : e[first[i]]].tobytes() for i in part])
             found = dict(zip(like.tolist(), value, strict=True))
             for k, i in enumerate(part):
@@ -162,16 +162,27 @@ class Model:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 2000.0) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps; y is -1 or 1, cost a weight per row."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w, ridge = np.zeros(x.shape[1]), np.diag(np.append(np.ones(x.shape[1] - 1), 1e-3))
-    cost, last = c * cost / cost.sum(), None
+    """Linear support vector machine with squared hinge loss, by Newton steps; y is -1 or 1, cost a weight per row.
+
+    A row like no landmark belongs to the clean side. Sums are taken over parts of the rows.
+    """
+    n = x.shape[1]
+    w, ridge, last = np.zeros(n + 1), np.diag(np.append(np.ones(n), 1e-3)), None
+    cost = c * cost / (cost.sum() + 0.2)
+    parts = [slice(a, a + 4096) for a in range(0, len(x), 4096)]
     for _ in range(30):
-        hit = y * (x @ w) < 1
+        hit = np.concatenate([y[p] * (x[p] @ w[:-1] + w[-1]) < 1 for p in parts])
         if last is not None and (hit == last).all():
             break
-        last, part = hit, x[hit] * cost[hit, None]
-        w = np.linalg.solve(ridge + part.T @ x[hit], part.T @ y[hit])
+        last, hess, grad = hit, ridge.copy(), np.zeros(n + 1)
+        if w[-1] > -1:
+            hess[-1, -1] += 0.2 * c / 2.2
+            grad[-1] -= 0.2 * c / 2.2
+        for p in parts:
+            rows = np.concatenate([x[p][hit[p]], np.ones((hit[p].sum(), 1))], 1).astype(np.float64)
+            hess += (rows * cost[p][hit[p], None]).T @ rows
+            grad += rows.T @ (cost[p] * y[p])[hit[p]]
+        w = np.linalg.solve(hess, grad)
     return w[:-1], float(w[-1])
 
 
@@ -211,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     words = [r["word"].encode() for r in top]
     if words:
         own, code, weight, _ = _codes(words)
-        dense = np.zeros((len(words), LETTERS**3), np.float32)
-        np.add.at(dense, (own, code), weight)
+        held, column = np.unique(code, return_inverse=True)
+        dense = np.zeros((len(words), len(held)), np.float32)
+        np.add.at(dense, (own, column), weight)
         dense /= _norms(own, code, weight, len(words))[:, None]
         alike, free = dense @ dense.T, np.ones(len(words), bool)
         for i in range(len(words)):
@@ -223,9 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     held = docs.sparkSession.sparkContext.broadcast(picked)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, cache = Landmarks(held.value), {}
+        kernel, cache = Landmarks(held.value), T.word_cache(("likeness", *held.value))
         for batch in batches:
-            found = [(r, x.astype(np.float32).tobytes()) for r, _, x in sentences(batch.column("text"), kernel, cache)]
+            found = [(r, x.astype(np.float16).tobytes()) for r, _, x in sentences(batch.column("text"), kernel, cache)]
             ids, toxic = batch.column("doc_id"), batch.column("toxic")
             rows = pa.array([r for r, _ in found], pa.int64())
             every = pa.RecordBatch.from_pydict({"doc_id": ids, "toxic": toxic, "x": pa.nulls(len(ids), pa.binary())})
@@ -235,8 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     got = texts.mapInArrow(features, "doc_id long, toxic int, x binary").groupBy("doc_id", "toxic", "x").count().toPandas().sort_values(["doc_id", "x"], na_position="first")
     label = got[got.x.isna()].set_index("doc_id").toxic.groupby(level=0).max()
     got = got[got.x.notna()]
-    x = np.stack([np.frombuffer(v, np.float32) for v in got.x]).astype(np.float64) if len(got) else np.zeros((0, 2 * len(picked)))
     own, y = got.doc_id.to_numpy(), got.toxic.to_numpy()
+    x = np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), 2 * len(picked))
+    del got
     kernel = Landmarks(picked)
     gram = np.zeros((len(picked), len(picked)))
     for i, value in zip(*kernel.similar(picked), strict=True):
@@ -245,22 +258,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     root, basis = np.linalg.eigh(gram + 1e-3 * np.eye(len(picked)))
     root = basis @ np.diag(1 / np.sqrt(np.maximum(root, 1e-2))) @ basis.T
     root = np.kron(np.eye(2), root)
-    z, decision, bias = x @ root, x.sum(1), 0.0
+    z, decision, bias = np.empty(x.shape, np.float32), np.empty(len(x)), 0.0
+    for a in range(0, len(x), 4096):
+        part = x[a : a + 4096].astype(np.float64)
+        z[a : a + 4096], decision[a : a + 4096] = part @ root, part.sum(1)
+    del x
     weights = np.zeros(2 * len(picked))
     for _ in range(4):
         order = np.lexsort((-decision, own))
         lead = np.zeros(len(own), bool)
         lead[order[np.concatenate([[True], own[order][1:] != own[order][:-1]])] if len(own) else []] = True
-        use = (y == 0) | lead
-        if not use.any():
+        use = np.flatnonzero((y == 0) | lead)
+        if not len(use):
             break
         side = np.where(y[use] == 1, 1.0, -1.0)
-        design = np.concatenate([z[use], np.zeros((1, z.shape[1]))])  # a sentence like no landmark is clean
-        side = np.append(side, -1.0)
         weight = np.where(side > 0, 1 / max(1, (side > 0).sum()), 1 / max(1, (side < 0).sum()))
-        weight[-1] = 0.2
-        v, bias = _svm(design, side, weight)
-        weights, decision = root @ v, z @ v + bias
+        v, bias = _svm(z[use], side, weight)
+        weights, decision = root @ v, np.concatenate([z[a : a + 4096] @ v for a in range(0, len(z), 4096)]) + bias
     best = np.full(len(label), bias)
     if len(own):
         top = np.full(len(label), -np.inf)
@@ -279,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, cache = Landmarks(held.value.landmarks), {}
+        kernel, cache = Landmarks(held.value.landmarks), T.word_cache(("likeness", *held.value.landmarks))
         for batch in batches:
             yield batch.append_column("toxicity", pa.array(held.value.scores(batch.column("text").cast(pa.string()), kernel, cache), pa.float64()))
 

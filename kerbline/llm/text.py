@@ -21,6 +21,16 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+_caches: dict[object, dict] = {}
+
+
+def word_cache(owner: object) -> dict:
+    """What this worker has kept of words for an operator with its model, from task to task; that of another owner is dropped."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
