@@ -59,6 +59,7 @@ def _summaries(size: int):
     """Per document its size and key; per task the counts of its distinct sets' shingles by hash bucket, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.drop_caches()
         counts, seen = np.zeros(1 << BUCKET_BITS, np.int32), set()
         for batch in batches:
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -96,6 +97,7 @@ def _cells(size: int, percent: int, counts):
     """(token, pos, key, n) for each distinct set of the task and each shingle of its window, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.drop_caches()
         count, seen = np.frombuffer(counts.value, np.int32), set()
 
         def out(held: list) -> pa.RecordBatch:
@@ -268,6 +270,7 @@ def _regions(percent: int):
     """Regions sorted by pivot, the pivot's own set first: links of small ones; of large ones the members by ring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.drop_caches()
         now, held, center, more = None, [], None, False
 
         def rings(rows: list) -> pa.RecordBatch:

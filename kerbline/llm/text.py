@@ -31,6 +31,11 @@ def word_cache(owner: object) -> dict:
     return _caches.setdefault(owner, {})
 
 
+def drop_caches() -> None:
+    """For operators that keep no words: frees what others have kept in this worker."""
+    _caches.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
