@@ -4,11 +4,15 @@ Every window of a document that has as many words as some benchmark item and sha
 size gets a 64-bit SimHash of its shingles (a window without such a shingle has similarity 0 to every item of its size). Item
 fingerprints are cut into BLOCKS blocks; two fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS bits in one of
 them, so looking up all such neighbours of a block finds every item within RADIUS. What is found is verified: the weighted Jaccard
-similarity of the two shingle bags, each shingle weighing one over the number of items that hold it, must reach the threshold.
+similarity of the two shingle bags, each shingle weighing one over the number of different item texts (as words) that hold it, must
+reach the threshold. Those numbers are counted in Spark over the whole benchmark: neither repeated items nor the cut into blocks changes them.
+A shingle of one item weighs as much as one of none, so only shared shingles are sent: WEIGHTS of them with the items, more of them in passes
+over the texts, each of which adds to a column what its part of them says of the row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -17,32 +21,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from kerbline.llm import text as T
-from kerbline.llm.common import table
+from kerbline.llm.common import checkpoint, table
 
-BLOCKS, RADIUS, BLOCK_BYTES, SIEVE_BITS = 4, 19, 16 << 20, 22
+BLOCKS, RADIUS, BLOCK_BYTES, SIEVE_BITS, WEIGHTS = 4, 19, 16 << 20, 22, 1 << 20
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming int"
+SHARED = "__shared_shingles"
+_PAIR = np.dtype([("shingle", "<u8"), ("n", "<i8")])
 
 
 class Index:
-    """The shingles and fingerprints of a bounded set of items, by their size in words."""
+    """The shingles and fingerprints of a bounded set of items, by their size in words.
 
-    def __init__(self, ids: list[int], texts: list[str], size: int):
-        self.size = size
+    shared: sorted shingles of several items of the whole benchmark with their number of items; more: those of the rest, as _PAIR, of each text.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], size: int, shared: np.ndarray, more: list[bytes | None]):
+        self.size, self.shared = size, shared
         bags: list[Counter] = []
         self.words = []
         for _, h, at in T.words(pa.array(texts, pa.string())):
             s, to = T.shingles(h, at, size)
             bags += [Counter(s[to[i] : to[i + 1]].tolist()) for i in range(len(to) - 1)]
             self.words += np.diff(at).tolist()
-        held = Counter(x for bag in bags for x in bag)
-        self.weight = {x: 1 / n for x, n in held.items()}
-        self.ids, self.bags = ids, bags
+        self.ids, self.bags, self.more = ids, bags, more
         self.by_words: dict[int, np.ndarray] = {}
         for n in set(self.words) - {0}:
             self.by_words[n] = np.array([i for i, w in enumerate(self.words) if w == n])
-        marks = [self._bits(np.array(list(bag.elements()), np.uint64)).sum(0) for bag in bags if bag]
+        marks = [self._bits(x := np.array(list(bag.elements()), np.uint64), self.weights(x, m)).sum(0) for bag, m in zip(bags, more, strict=True) if bag]
         kept = [i for i, bag in enumerate(bags) if bag]
         self.print = np.zeros(len(bags), np.uint64)
         if kept:
@@ -63,10 +71,19 @@ class Index:
     def _spot(x: np.ndarray) -> np.ndarray:
         return (x >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
-    def _bits(self, x: np.ndarray) -> np.ndarray:
+    def weights(self, x: np.ndarray, more: bytes | None) -> np.ndarray:
+        """Each shingle's weight; more has those of the text that self.shared lacks."""
+        n = np.ones(len(x), np.int64)
+        for known in (self.shared, np.frombuffer(more or b"", _PAIR)):
+            at, hit = _found(x, known["shingle"])
+            n[hit] = known["n"][at]
+        return 1 / n
+
+    @staticmethod
+    def _bits(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Each shingle's weight, with the sign of each bit of its hash."""
         signs = np.unpackbits(T.mix(x).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
-        return signs * np.array([self.weight.get(v, 1.0) for v in x.tolist()], np.float32)[:, None]
+        return signs * weights.astype(np.float32)[:, None]
 
     @staticmethod
     def _pack(sums: np.ndarray) -> np.ndarray:
@@ -96,36 +113,40 @@ class Index:
         for p, i in np.argwhere(distance <= RADIUS).tolist():
             yield int(places[p]), int(items[i]), int(distance[p, i])
 
-    def similarity(self, item: int, shingles: np.ndarray) -> float:
+    def similarity(self, item: int, shingles: np.ndarray, weights: np.ndarray) -> float:
         mine, other = self.bags[item], Counter(shingles.tolist())
-        both = sum(self.weight.get(x, 1.0) * min(c, mine[x]) for x, c in other.items() if x in mine)
-        every = sum(self.weight.get(x, 1.0) * max(c, other.get(x, 0)) for x, c in mine.items()) + sum(self.weight.get(x, 1.0) * c for x, c in other.items() if x not in mine)
+        weight = dict(zip(shingles.tolist(), weights.tolist(), strict=True))
+        rest = np.array([x for x in mine if x not in other], np.uint64)
+        both = sum(weight[x] * min(c, mine[x]) for x, c in other.items() if x in mine)
+        every = sum(weight[x] * max(c, mine.get(x, 0)) for x, c in other.items()) + sum(w * mine[x] for x, w in zip(rest.tolist(), self.weights(rest, self.more[item]).tolist(), strict=True))
         return both / every if every else 0.0
 
-    def matches(self, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    def matches(self, column: pa.Array, more: pa.Array | None, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item id, similarity, first word, words, Hamming distance): the best window of each row for each item."""
         for a, h, at in T.words(column):
             s, to = T.shingles(h, at, self.size)
             hit = np.flatnonzero(self.sieve[self._spot(s)])
-            place = np.minimum(np.searchsorted(self.shingle, s[hit]), max(len(self.shingle) - 1, 0))
-            hit, place = (hit[self.shingle[place] == s[hit]], place[self.shingle[place] == s[hit]]) if len(self.shingle) else (hit[:0], place[:0])
+            place, same = _found(s[hit], self.shingle)
+            hit = hit[same]
             row = np.searchsorted(to, hit, "right") - 1
             for r in np.unique(row).tolist():
                 here, words = s[to[r] : to[r + 1]], int(at[r + 1] - at[r])
+                weights = self.weights(here, more[a + r].as_py() if more is not None else None)
                 starts: dict[int, list[int]] = {}
                 for p, q in zip((hit[row == r] - to[r]).tolist(), place[row == r].tolist(), strict=True):
                     for n in self.sizes[q]:
                         starts.setdefault(n, []).append(p)
                 best: dict[int, tuple[float, int, int, int]] = {}
                 for n, hits in starts.items():
-                    for start, item, distance in self._windows(here, words, n, np.array(hits)):
-                        value = self.similarity(item, here[start : start + max(1, n - self.size + 1)])
+                    for start, item, distance in self._windows(here, weights, words, n, np.array(hits)):
+                        window = slice(start, start + max(1, n - self.size + 1))
+                        value = self.similarity(item, here[window], weights[window])
                         if value >= threshold - 1e-12 and (item not in best or (value, -start) > (best[item][0], -best[item][1])):
                             best[item] = value, start, n, distance
                 for item, (value, start, n, distance) in sorted(best.items()):
                     yield a + r, self.ids[item], value, start, n, distance
 
-    def _windows(self, here: np.ndarray, words: int, n: int, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def _windows(self, here: np.ndarray, weights: np.ndarray, words: int, n: int, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
         if words < n or (n < self.size and words != n):
             return
         span = max(1, n - self.size + 1)
@@ -137,20 +158,84 @@ class Index:
             for x in range(0, len(part), 8192):
                 some = part[x : x + 8192]
                 if len(some):
-                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(self._bits(here[some[0] : some[-1] + span]), axis=0, dtype=np.float64)])
+                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(self._bits(here[some[0] : some[-1] + span], weights[some[0] : some[-1] + span]), axis=0, dtype=np.float64)])
                     prints = self._pack(sums[some - some[0] + span] - sums[some - some[0]])
                     for p, item, distance in self.within(prints, n):
                         yield int(some[p]), item, distance
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, size: int) -> Iterator:
-    """Broadcast indexes of the benchmark, in blocks of about BLOCK_BYTES of text: one for a usual benchmark."""
+def _found(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in known, which is sorted, of those of x that it has, and which those are."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    same = known[at] == x
+    return at[same], same
+
+
+def _shared(items: DataFrame, size: int) -> Iterator:
+    """Broadcast parts of about WEIGHTS rows of the shingles that several different texts hold, with their number; one at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, h, at in T.words(batch.column("text")):
+                s, to = T.shingles(h, at, size)
+                for i in range(len(to) - 1):
+                    own = np.unique(s[to[i] : to[i + 1]])
+                    key = np.frombuffer(hashlib.blake2b(h[at[i] : at[i + 1]].tobytes(), digest_size=8).digest(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(key, len(own)))], names=["shingle", "key"])
+
+    held = items.select("text").distinct().mapInArrow(run, "shingle long, key long").groupBy("shingle").agg(F.count_distinct("key").alias("n")).where("n > 1")
+    held = checkpoint(held)
+    parts = max(1, -(-held.count() // WEIGHTS))
+    for p in range(parts):
+        rows = held.where(F.pmod(F.xxhash64("shingle"), F.lit(parts)) == p).toArrow()  # about WEIGHTS
+        pairs = np.zeros(rows.num_rows, _PAIR)
+        pairs["shingle"], pairs["n"] = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+        yield items.sparkSession.sparkContext.broadcast(np.sort(pairs, order="shingle"))
+
+
+def _marked(rows: DataFrame, part, size: int) -> DataFrame:
+    """rows with what part, of _shared, has of their texts added to the column SHARED, which is sorted by shingle."""
+    names = [c for c in rows.columns if c != SHARED]
+    schema = StructType([f for f in rows.schema.fields if f.name != SHARED]).add(SHARED, BinaryType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = part.value
+        for batch in batches:
+            out = batch.column(SHARED).to_pylist() if SHARED in batch.schema.names else [None] * batch.num_rows
+            for a, h, at in T.words(batch.column("text").cast(pa.string())):
+                s, to = T.shingles(h, at, size)
+                place, same = _found(s, known["shingle"])
+                row = np.searchsorted(to, np.flatnonzero(same), "right") - 1
+                for r in np.unique(row).tolist():
+                    own = known[np.unique(place[row == r])]
+                    out[a + r] = np.sort(np.concatenate([np.frombuffer(out[a + r] or b"", _PAIR), own]), order="shingle").tobytes()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, SHARED])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, list]:
+    """docs, with the column SHARED if one broadcast can't hold the weights; arguments of Index, broadcast, of the benchmark in blocks of
+    about BLOCK_BYTES of text: one for a usual benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
+    first, *rest = _shared(items, size)
+    for part in rest:
+        docs, items = _marked(docs, part, size), _marked(items, part, size)
+    held = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        yield docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        block = ([r["item_id"] for r in rows], [r["text"] for r in rows]), [r[SHARED] if rest else None for r in rows]
+        held.append(docs.sparkSession.sparkContext.broadcast(block))
+    return docs, [(block, first) for block in held]
+
+
+def _index(held: tuple, size: int) -> Index:
+    (block, more), shared = held[0].value, held[1].value
+    return Index(*block, size, shared, more)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -161,12 +246,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for held in _indexes(docs, benchmark, size):
+    docs, indexes = _indexes(docs, benchmark, size)
+    for held in indexes:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(*held.value, size)
+            index = _index(held, size)
             for batch in batches:
-                rows = list(index.matches(batch.column("text"), threshold))
+                rows = list(index.matches(batch.column("text"), batch.column(SHARED) if SHARED in batch.schema.names else None, threshold))
                 column = lambda k, kind: pa.array([r[k] for r in rows], kind)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(column(0, pa.int64())), column(1, pa.int64()), column(2, pa.float64()), column(3, pa.int64()), column(4, pa.int64()), column(5, pa.int32())], names=["doc_id", "item_id", "similarity", "start_word", "n_words", "hamming"])
 
@@ -177,17 +263,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns and all other rows stay, nulls included."""
-    for held in _indexes(docs, benchmark, size):
+    columns = docs.columns
+    docs, indexes = _indexes(docs, benchmark, size)
+    for held in indexes:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(*held.value, size)
+            index = _index(held, size)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in index.matches(batch.column("text").cast(pa.string()), threshold)]] = False
+                keep[[r[0] for r in index.matches(batch.column("text").cast(pa.string()), batch.column(SHARED) if SHARED in batch.schema.names else None, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.select(*columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,38 @@ def test_contamination_against_all_windows(spark):
     assert op1.contaminated(_docs(spark, texts), benchmark.where("item_id < 0")).count() == 0
 
 
+def test_contamination_is_the_same_in_blocks_and_with_repeated_items(spark, monkeypatch):
+    random.seed(14)
+    common = [f"c{i}" for i in range(30)]
+    items = [[f"w{i}x{j}" for j in range(59)] for i in range(8)]
+    for i in range(1, 8):
+        items[i][10:40] = common  # shared by seven items, in different blocks
+    texts = []
+    for i, item in enumerate(items):
+        for at in (3, 30, 58):
+            texts.append(" ".join([*item[:at], "changed", *item[at + 1 :]]))
+        texts.append(" ".join(["before", *item[:9], *common, *items[(i + 1) % 8][40:], "after"]))
+    rows = [(i, " ".join(x)) for i, x in enumerate(items)]
+
+    def found(rows):
+        benchmark = spark.createDataFrame(rows, "item_id long, text string")
+        kept = op1.decontaminate(_docs(spark, texts), benchmark)
+        assert kept.columns == ["doc_id", "text", "toxicity", "extra"]
+        return sorted(op1.contaminated(_docs(spark, texts), benchmark).collect()), sorted(r.doc_id for r in kept.collect())
+
+    whole, kept = found(rows)
+    assert {(r.doc_id, r.item_id) for r in whole} >= {(0, 0), (1, 0), (2, 0)}
+    again = [(100 + k, x.upper() if k % 2 else x) for k, (_, x) in enumerate([rows[0]] * 9 + rows[1:3])]
+    more, kept_more = found(rows + again)
+    assert [r for r in more if r.item_id < 100] == whole and kept_more == kept
+    monkeypatch.setattr(op1, "BLOCK_BYTES", 700)
+    assert found(rows) == (whole, kept)
+    monkeypatch.setattr(op1, "WEIGHTS", 8)
+    assert found(rows) == (whole, kept)
+    monkeypatch.setattr(op1, "BLOCK_BYTES", 16 << 20)
+    assert found(rows) == (whole, kept)
+
+
 def _grams(w, size=5):
     return [tuple(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [tuple(w)] if w else []
 
