@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index Hamming search, exact weighted similarity.
 
 Every window of a document that has as many words as some benchmark item and shares a shingle with an item of that
-size gets a 64-bit SimHash of its shingles (a window without such a shingle has similarity 0 to every item of its size). Item
+size gets a 64-bit SimHash of its shingles (a window without such a shingle has similarity 0 to every item of its size). A document
+of fewer words than an item is itself the one window for it, so that an item cut at an end is found too. Item
 fingerprints are cut into BLOCKS blocks; two fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS bits in one of
 them, so looking up all such neighbours of a block finds every item within RADIUS. What is found is verified: the weighted Jaccard
 similarity of the two shingle bags, each shingle weighing one over the number of different item texts (as words) that hold it, must
@@ -139,21 +140,22 @@ class Index:
                 best: dict[int, tuple[float, int, int, int]] = {}
                 for n, hits in starts.items():
                     for start, item, distance in self._windows(here, weights, words, n, np.array(hits)):
-                        window = slice(start, start + max(1, n - self.size + 1))
+                        window = slice(start, start + max(1, min(n, words) - self.size + 1))
                         value = self.similarity(item, here[window], weights[window])
                         if value >= threshold - 1e-12 and (item not in best or (value, -start) > (best[item][0], -best[item][1])):
-                            best[item] = value, start, n, distance
+                            best[item] = value, start, min(n, words), distance
                 for item, (value, start, n, distance) in sorted(best.items()):
                     yield a + r, self.ids[item], value, start, n, distance
 
     def _windows(self, here: np.ndarray, weights: np.ndarray, words: int, n: int, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        if words < n or (n < self.size and words != n):
+        if n < self.size and words != n:
             return
-        span = max(1, n - self.size + 1)
-        begin = np.zeros(words - n + 2, np.int64)
-        np.add.at(begin, np.minimum(np.maximum(hits - span + 1, 0), words - n + 1), 1)
-        np.add.at(begin, np.minimum(hits + 1, words - n + 1), -1)
-        starts = np.flatnonzero(np.cumsum(begin)[: words - n + 1] > 0)
+        wide = min(n, words)
+        span, last = max(1, wide - self.size + 1), words - wide
+        begin = np.zeros(last + 2, np.int64)
+        np.add.at(begin, np.minimum(np.maximum(hits - span + 1, 0), last + 1), 1)
+        np.add.at(begin, np.minimum(hits + 1, last + 1), -1)
+        starts = np.flatnonzero(np.cumsum(begin)[: last + 1] > 0)
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
             for x in range(0, len(part), 8192):
                 some = part[x : x + 8192]
@@ -242,6 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     """SCHEMA rows: for each row of docs (doc_id, text) and each item (item_id, text) that it holds, the best window.
 
     A null or empty text holds and is no item; an item of fewer than `size` words is held only by a text of the same words alone.
+    n_words is the window's size: the item's, or the text's if that is shorter.
     Repeated documents give repeated rows; equal items are found each. Other columns are not read. No documents or items: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -178,6 +178,15 @@ def test_contamination_is_the_same_in_blocks_and_with_repeated_items(spark, monk
     assert found(rows) == (whole, kept)
 
 
+def test_contamination_of_documents_shorter_than_the_item(spark):
+    item = [f"w{j}" for j in range(59)]
+    texts = [" ".join(x) for x in (item[:-1], item[1:], item[2:-2], item[:30], item[:3], ["other", *item[:57]], item)]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.similarity, r.start_word, r.n_words) for r in op1.contaminated(_docs(spark, texts), benchmark).collect()}
+    assert found == {0: (pytest.approx(54 / 55), 0, 58), 1: (pytest.approx(54 / 55), 0, 58), 2: (pytest.approx(51 / 55), 0, 55), 5: (pytest.approx(53 / 56), 0, 58), 6: (1, 0, 59)}
+    assert {r.doc_id for r in op1.decontaminate(_docs(spark, texts), benchmark).collect()} == {3, 4}
+
+
 def _grams(w, size=5):
     return [tuple(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [tuple(w)] if w else []
 
