@@ -3,8 +3,9 @@
 Seeds are the e-mail addresses, IP addresses, card and phone numbers of fixed forms. The words around them induce lexical
 patterns (one word before, two before, one on each side). Patterns and the values that they surround make a graph, in which
 Spark scores both in turn: a pattern by the share of a kind among its values, a value by the patterns that hold it. A
-pattern of at least SUPPORT different seeds and CONFIDENCE then discovers candidates: number groups or address-like runs that the
-fixed forms miss, and whose shape suits the kind. Other tokens with digits count against a pattern.
+pattern of SUPPORT and CONFIDENCE discovers candidates: number groups or address-like runs that the fixed forms miss, and whose
+shape suits the kind. Support is the number of different seeds, and the scores of the discovered values of at least CONFIDENCE, which
+so bring in further patterns. Scores only rise; the rounds end when none does any more. Other tokens with digits count against a pattern.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from kerbline.llm import text as T
 from kerbline.llm.common import checkpoint, marked, table
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENCE, ROUNDS, UNKNOWN = 5, 0.9, 3, 0.1
+SUPPORT, CONFIDENCE, UNKNOWN = 5, 0.9, 0.1
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -135,20 +136,26 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bootstrap(rows: DataFrame) -> DataFrame:
     """(pattern, kind) of high confidence, from the graph of patterns and values."""
     edges = rows.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("shape").alias("shape"))
-    # only patterns of enough seeds can ever be confident
-    strong = edges.groupBy("pattern").agg(F.count_if(F.col("kind") >= 0).alias("seeds")).where(F.col("seeds") >= SUPPORT).select("pattern")
-    edges = checkpoint(edges.join(strong, "pattern"))
     known = edges.groupBy("value").agg(F.max("kind").alias("kind"), F.max("shape").alias("shape"))
-    kinds = F.explode(F.array(*[F.lit(k) for k in range(4)]))
-    score = known.select("value", kinds.alias("k"), F.when(F.col("kind") == F.col("k"), 1.0).otherwise(0.0).alias("score"), ((F.col("kind") < 0) & (F.col("shape") > 0)).alias("open"))
-    best = None
-    for _ in range(ROUNDS):
-        weight = F.when(F.col("open"), F.greatest(F.col("score"), F.lit(UNKNOWN))).otherwise(1.0)
-        seeds = F.count_if((F.col("score") == 1.0) & ~F.col("open"))
-        best = edges.select("pattern", "value").join(score, "value").groupBy("pattern", "k").agg((F.sum("score") / F.sum(weight)).alias("confidence"), seeds.alias("seeds"))
-        best = checkpoint(best.where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)))
-        held = edges.select("pattern", "value").join(best, "pattern").groupBy("value", "k").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("raised"))
-        score = score.join(held, ["value", "k"], "left").select("value", "k", "open", F.when(F.col("open"), F.coalesce("raised", F.lit(0.0))).otherwise(F.col("score")).alias("score"))
+    # only patterns that have enough seeds and candidates, were all these of one kind, can ever be confident
+    able = F.count_if((F.col("kind") >= 0) | (F.col("shape") > 0))
+    strong = edges.groupBy("pattern").agg(able.alias("able"), F.count("*").alias("n")).where((F.col("able") >= SUPPORT) & (F.col("able") >= CONFIDENCE * F.col("n"))).select("pattern")
+    edges = checkpoint(edges.select("pattern", "value").join(strong, "pattern").join(known, "value").withColumn("open", (F.col("kind") < 0) & (F.col("shape") > 0)))
+    whole = checkpoint(edges.groupBy("pattern").agg(F.sum(F.when(F.col("open"), UNKNOWN).otherwise(1.0)).alias("whole")))
+    seeds = edges.where("kind >= 0").select("value", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
+    score, last = seeds, 0
+    while True:
+        support = F.sum(F.when(~F.col("open") | (F.col("score") >= CONFIDENCE), F.col("score")).otherwise(0.0))
+        more = F.sum(F.when(F.col("open"), F.greatest(F.col("score") - UNKNOWN, F.lit(0.0))).otherwise(0.0))
+        best = edges.select("pattern", "value", "open").join(score, "value").groupBy("pattern", "k").agg(F.sum("score").alias("own"), more.alias("more"), support.alias("support"))
+        best = best.join(whole, "pattern").select("pattern", "k", "support", (F.col("own") / (F.col("whole") + F.col("more"))).alias("confidence"))
+        best = checkpoint(best.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).drop("support"))
+        held = edges.where("open").select("pattern", "value", "shape").join(best, "pattern").where(F.expr("shape & shiftleft(1, k)") > 0)
+        raised = checkpoint(held.groupBy("value", "k").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("score")))
+        total = best.select(F.col("confidence").alias("x")).union(raised.select("score")).agg(F.sum(F.round(F.col("x") * 10_000).cast("long"))).first()[0] or 0
+        if total <= last:
+            break
+        score, last = seeds.union(raised), total
     return best.groupBy("pattern").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("k"), F.max("confidence").alias("confidence"))
 
 

@@ -312,6 +312,21 @@ def test_contexts_discover_and_mask(spark):
     assert masked[16][0] == "mail <EMAIL>" and masked[13] == (None, -1) and masked[15] == ("nothing 12 here", -1) and len(masked) == len(texts)
 
 
+def test_contexts_found_through_discovered_values(spark):
+    number = lambda chain, i: f"555 0{chain}0 {4000 + i}"
+    contexts = ["please call me at {} tonight", "reach our desk on {} today", "fax papers over {} instead", "ring grandma via {} sundays", "pager code was {} formerly"]
+    texts = [contexts[0].format(f"+1 555 010 {1000 + i}") for i in range(30)]
+    for c in range(1, len(contexts)):  # each context shares values with the one before it only
+        texts += [contexts[k].format(number(c, i)) for i in range(20) for k in (c - 1, c)]
+    lone = [contexts[c].format(number(9, c)) for c in range(1, len(contexts))]
+    other = [f"the lot numbered {number(8, i)} arrived" for i in range(9)]  # candidates alone make no pattern
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts + lone + other)], "doc_id long, text string")
+    found = {r.doc_id: r.added and [(op9.KINDS[x.k], x.start, x.end) for x in r.added] for r in op9.find(docs).collect()}
+    for i, text in enumerate(lone, len(texts)):
+        assert found[i] == [("phone", text.index("555"), text.index("555") + 12)]
+    assert all(found[i] for i in range(30, len(texts))) and not any(found[i] for i in [*range(30), *range(len(texts) + len(lone), len(docs.collect()))])
+
+
 def test_digests_derive_from_results(spark):
     rows = op9.op9_pii(spark, DATA).collect()
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
