@@ -64,3 +64,18 @@ def test_distance_join_against_all_pairs(spark, mode):
     found = spatial.within_distance(points, points, 0.7, mode)
     as_set = lambda df: {(r[0], r[1]) for r in df.select("l.id", "r.id").collect()}
     assert as_set(found) == as_set(pairs) and found.count() == len(as_set(pairs))
+
+
+def test_walking_routes_run_over_every_leg(spark):
+    from conftest import DATA
+    from kerbline.operators.walk import walk_routes
+    from kerbline.plans import registry
+    from kerbline.plans.base import Tables
+    from kerbline.plans.network import _costed
+
+    t = Tables(spark, DATA)
+    legs = t("leg").withColumnRenamed("id", "request")
+    every = {r.request for r in walk_routes(legs, t("street_vertex"), _costed(t)).collect()}
+    assert any(x % 20 for x in every)
+    for name in ("rte-02", "rte-03"):
+        assert {r.request for r in registry.queries()[name](spark, DATA).collect()} == every
