@@ -7,6 +7,7 @@ column, or any lookup over ordinary columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,37 +137,42 @@ def allows(mask: Column, bits: int) -> Column:
     return mask.bitwiseAND(F.lit(bits)) != 0
 
 
-def _adjusted(mask: Column, denied: Column, allowed: Column, bits: int) -> Column:
-    return F.when(denied, remove(mask, bits)).when(allowed, add(mask, bits)).otherwise(mask)
+def _bits(flags: dict[int, Column]) -> Column:
+    """The mask of the bits whose flags hold. Each flag stands in it once, so a mask made of masks stays small."""
+    return sum((F.when(flag, bit).otherwise(0) for bit, flag in flags.items()), F.lit(0))
+
+
+def _entity_flags(tag: Tag, default: int) -> dict[int, Column]:
+    """Per permission bit whether an entity has it: a denied mode has none, an allowed one has, another as access in general says."""
+    keys = {CAR: ("motorcar", "motor_vehicle"), BICYCLE: ("bicycle",), PEDESTRIAN: ("foot",)}
+    either = lambda test, names: reduce(Column.__or__, (test(tag, m) for m in names))
+    closed, building = general_access_denied(tag), under_construction(tag)
+    return {
+        bit: F.when(building | either(explicitly_denied, names), False).when(either(explicitly_allowed, names), True).otherwise(~closed & F.lit(default & bit != 0))
+        for bit, names in keys.items()
+    }
 
 
 def entity_permissions(tag: Tag, default: int = ALL) -> Column:
-    car = explicitly_allowed(tag, "motorcar") | explicitly_allowed(tag, "motor_vehicle")
-    bike, foot = explicitly_allowed(tag, "bicycle"), explicitly_allowed(tag, "foot")
-    bits = lambda flag, bit: F.when(flag, bit).otherwise(0)
-    mask = F.when(general_access_denied(tag), bits(car, CAR) + bits(bike, BICYCLE) + bits(foot, PEDESTRIAN)).otherwise(default)
-    mask = _adjusted(mask, explicitly_denied(tag, "motorcar") | explicitly_denied(tag, "motor_vehicle"), car, CAR)
-    mask = _adjusted(mask, explicitly_denied(tag, "bicycle"), bike, BICYCLE)
-    mask = _adjusted(mask, explicitly_denied(tag, "foot"), foot, PEDESTRIAN)
-    return F.when(under_construction(tag), NONE).otherwise(mask)
+    return _bits(_entity_flags(tag, default))
 
 
 def way_permissions(tag: Tag, default: int = ALL) -> Column:
-    mask = entity_permissions(tag, default)
-    mask = F.when(explicitly_allowed(tag, "foot"), add(mask, PEDESTRIAN)).when(explicitly_denied(tag, "foot"), remove(mask, PEDESTRIAN)).otherwise(mask)
-    return F.when(explicitly_allowed(tag, "bicycle") & ~dismount(tag), add(mask, BICYCLE)).otherwise(mask)
+    flags = _entity_flags(tag, default)
+    foot = F.when(explicitly_allowed(tag, "foot"), True).when(explicitly_denied(tag, "foot"), False).otherwise(flags[PEDESTRIAN])
+    bike = (explicitly_allowed(tag, "bicycle") & ~dismount(tag)) | flags[BICYCLE]
+    return _bits({**flags, PEDESTRIAN: foot, BICYCLE: bike})
 
 
 def direction_permissions(tag: Tag, mask: Column) -> tuple[Column, Column]:
     """Front and back masks of a way with a permission mask."""
     f = way_flags(tag, F.lit(0))
-    cut = lambda x, flag, bits: F.when(flag, remove(x, bits)).otherwise(x)
-    both = (is_false(tag, "oneway:bicycle") | is_true(tag, "bicycle:backwards")) & allows(mask, BICYCLE)
-    front = cut(cut(mask, f["oneway_reverse"], BICYCLE | CAR), f["bike_reverse"], BICYCLE)
-    back = cut(cut(mask, f["oneway_forward"] | f["roundabout"], BICYCLE | CAR), f["bike_forward"], BICYCLE)
-    front, back = (F.when(both, add(x, BICYCLE)).otherwise(x) for x in (front, back))
-    front, back = cut(front, f["sidepath_forward"], BICYCLE), cut(back, f["sidepath_reverse"], BICYCLE)
-    return front, F.when(f["opposable"], add(back, BICYCLE)).otherwise(back)
+    car, bike, foot = (allows(mask, bit) for bit in (CAR, BICYCLE, PEDESTRIAN))
+    anyway = (is_false(tag, "oneway:bicycle") | is_true(tag, "bicycle:backwards")) & bike
+    against, along = f["oneway_reverse"], f["oneway_forward"] | f["roundabout"]
+    front = ((bike & ~against & ~f["bike_reverse"]) | anyway) & ~f["sidepath_forward"]
+    back = (((bike & ~along & ~f["bike_forward"]) | anyway) & ~f["sidepath_reverse"]) | f["opposable"]
+    return _bits({CAR: car & ~against, BICYCLE: front, PEDESTRIAN: foot}), _bits({CAR: car & ~along, BICYCLE: back, PEDESTRIAN: foot})
 
 
 def mode_mask(names: Column) -> Column:
