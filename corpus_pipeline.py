@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import op1_decontamination, op2_ngram_jaccard_join, op4_packing, op8_toxicity, op9_pii
-from kerbline.llm.common import checkpoint, marked, table
+from kerbline.llm.common import checkpoint, column_test, marked, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = op2_ngram_jaccard_join.similar_sets(docs)
     gone = checkpoint(found.where("component_id <> doc_id").select("doc_id").distinct())
     # rows whose id no marked key has need no join; the few others do
-    test = marked(gone)
+    test = column_test(marked(gone))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     hit = docs.where(test(key)).join(gone, "doc_id", "left_anti")
     return docs.where(~test(key)).unionByName(hit)
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is written before the next, which may read its documents several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir) if i == len(STAGES) - 1 else checkpoint(stage(spark, docs, sf_dir))
     return docs

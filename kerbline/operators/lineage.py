@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir; only a session without one gets a folder here, as in tests."""
+    """df written to spark.checkpoint.dir; only a local session without one gets a folder here, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kerbline-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kerbline-"))
     return df.checkpoint()
