@@ -21,13 +21,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Rows written to the cluster's shared checkpoint folder; only a session without one (a test) gets a folder here."""
+    """Rows written to the cluster's shared checkpoint folder; only a local session without one (a test) gets a folder here."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kerbline-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kerbline-"))
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df does not have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about BATCH_BYTES from here on: rows alone don't bound the memory of batches of long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for every node of an edge the smallest node that it reaches. Large-star and small-star rounds.
 
@@ -54,7 +79,7 @@ FILTER_BITS, FILTER_PARTS = 23, 64
 
 
 def marked(keys: DataFrame):
-    """A test, for 64-bit keys, that all keys of the one column pass and few others do: a filter of 2 ** FILTER_BITS bits, whatever
+    """A test, for arrays of 64-bit keys, that all keys of the one column pass and few others do: a filter of 2 ** FILTER_BITS bits, whatever
     the number of keys (1 MB at the driver and in each task). With a number of keys near 2 ** FILTER_BITS it only sieves less.
     """
     name = keys.columns[0]
@@ -82,15 +107,25 @@ def marked(keys: DataFrame):
     held = keys.sparkSession.sparkContext.broadcast(every.tobytes())
     unpacked: list[np.ndarray] = []
 
-    @F.pandas_udf("boolean")
-    def test(key: pd.Series) -> pd.Series:
+    def test(key: np.ndarray) -> np.ndarray:
         if not unpacked:
-            unpacked.append(np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool))
-        return pd.Series(unpacked[0][spot(key.to_numpy())])
+            unpacked.append(np.frombuffer(held.value, np.uint8))
+        at = spot(key)
+        return (unpacked[0][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
     return test
 
 
+def column_test(test):
+    """A test of marked as a function of a column."""
+
+    @F.pandas_udf("boolean")
+    def passes(key: pd.Series) -> pd.Series:
+        return pd.Series(test(key.to_numpy()))
+
+    return passes
+
+
 def spot(key: np.ndarray) -> np.ndarray:
     """A key's place in the filter."""
     return (mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)

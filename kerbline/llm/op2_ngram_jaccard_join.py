@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import text as T
-from kerbline.llm.common import checkpoint, components, marked, table
+from kerbline.llm.common import bounded_batches, checkpoint, components, marked, table
 
 BUCKET_BITS, PARTS, LEAF, SMALL = 20, 64, 1024, 8
 
@@ -59,7 +59,6 @@ def _summaries(size: int):
     """Per document its size and key; per task the counts of its distinct sets' shingles by hash bucket, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.drop_caches()
         counts, seen = np.zeros(1 << BUCKET_BITS, np.int32), set()
         for batch in batches:
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -79,6 +78,7 @@ def _summaries(size: int):
             blobs = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]
             none = pa.nulls(PARTS, pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "key": none, "part": pa.array(range(PARTS), pa.int32()), "counts": pa.array(blobs, pa.binary())})
+        T.tidy()
 
     return run
 
@@ -97,7 +97,6 @@ def _cells(size: int, percent: int, counts):
     """(token, pos, key, n) for each distinct set of the task and each shingle of its window, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.drop_caches()
         count, seen = np.frombuffer(counts.value, np.int32), set()
 
         def out(held: list) -> pa.RecordBatch:
@@ -122,16 +121,21 @@ def _cells(size: int, percent: int, counts):
                     held.clear()
             if held:
                 yield out(held)
+        T.tidy()
 
     return run
 
 
-def _packed_sets(size: int):
+def _packed_sets(size: int, wanted):
+    """The sets of the documents whose id passes wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(wanted(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))))
             held = [(_key(x), pack(x)) for _, x in _sets(batch.column("text"), size)]
             for a in range(0, len(held), 500):
                 yield pa.RecordBatch.from_pydict({"key": [k for k, _ in held[a : a + 500]], "shingles": [x for _, x in held[a : a + 500]]})
+        T.tidy()
 
     return run
 
@@ -270,7 +274,6 @@ def _regions(percent: int):
     """Regions sorted by pivot, the pivot's own set first: links of small ones; of large ones the members by ring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.drop_caches()
         now, held, center, more = None, [], None, False
 
         def rings(rows: list) -> pa.RecordBatch:
@@ -300,6 +303,7 @@ def _regions(percent: int):
                     yield rings(held)
                     held, more = [], True
         yield from done()
+        T.tidy()
 
     return run
 
@@ -357,6 +361,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     if not 67 <= percent <= 100:
         raise ValueError("percent must be from 67 to 100")
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = checkpoint(docs.mapInArrow(_summaries(size), "doc_id long, n long, key long, part int, counts binary"))
     counts = np.zeros((PARTS, (1 << BUCKET_BITS) // PARTS), np.int32)
@@ -371,8 +376,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     ids = read.where("part is null").select("doc_id", "n", "key")
     first = ids.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
     wanted = first.join(members.select("key").distinct(), "key", "left_semi").select("rep")
-    few = docs.where(F.col("doc_id").isNotNull()).where(marked(wanted)(F.col("doc_id")))
-    sets = few.mapInArrow(_packed_sets(size), "key long, shingles binary").dropDuplicates(["key"])
+    sets = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_packed_sets(size, marked(wanted)), "key long, shingles binary").dropDuplicates(["key"])
     regions = members.join(sets, "key").repartition("pivot").sortWithinPartitions("pivot", F.col("key") != F.col("pivot"), "key")
     found = checkpoint(regions.mapInArrow(_regions(percent), _FOUND))
     links = found.where("pivot is null").select("a", "b")

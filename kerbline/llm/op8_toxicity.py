@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import text as T
-from kerbline.llm.common import WORD_SEPARATORS, table
+from kerbline.llm.common import WORD_SEPARATORS, bounded_batches, table
 
 DECAY, REACH, LEAST, POWER, LETTERS, CACHED_WORDS = 0.75, 3, 0.45, 3, 32, 300_000
 _STEPS = [(a, b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
@@ -103,7 +103,36 @@ class Landmarks:
         return some[good], best[good] ** POWER
 
 
-def sentences(column: pa.Array, landmarks: Landmarks, cache: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+class Known:
+    """The kernel values of words against the landmarks, kept from block to block; of most words, which are like none, a number alone."""
+
+    def __init__(self, landmarks: list[bytes]):
+        self.landmarks, self.table = Landmarks(landmarks), T.WordTable(CACHED_WORDS)
+        self.row, self.values = np.zeros(0, np.int32), np.zeros((0, len(landmarks)), np.float32)
+
+    def rows(self, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """For each word its row in values, -1 without one."""
+        some, first, back = np.unique(h, return_index=True, return_inverse=True)
+        slots = self.table.find(some)
+        kept = self.table.full(int((slots < 0).sum()))
+        if kept is not None:
+            row = self.row[kept]
+            like = row >= 0
+            self.values = self.values[row[like]]
+            row[like] = np.arange(like.sum())
+            self.row, slots = row, self.table.find(some)
+        new = np.flatnonzero(slots < 0)
+        slots[new] = self.table.add(some[new])
+        for b in range(0, len(new), 2048):
+            part = first[new[b : b + 2048]]
+            like, value = self.landmarks.similar([data[s[i] : e[i]].tobytes() for i in part])
+            row = np.full(len(part), -1, np.int32)
+            row[like] = len(self.values) + np.arange(len(like))
+            self.row, self.values = np.concatenate([self.row, row]), np.concatenate([self.values, value])
+        return self.row[slots][back]
+
+
+def sentences(column: pa.Array, known: Known) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, sentence, features) for each sentence with a word that is like a landmark. Single letters in a row are one word.
 
     The features are sums of the words' kernel values, once over the sentence and once over the whole text, there per 100 words.
@@ -114,28 +143,16 @@ def sentences(column: pa.Array, landmarks: Landmarks, cache: dict) -> Iterator[t
         s, e = s + offsets[row], e + offsets[row]
         ends = np.isin(data[e - 1], (33, 46, 63)) if len(e) else np.zeros(0, bool)
         sentence = np.concatenate([[0], np.cumsum(ends)[:-1]]) if len(ends) else np.zeros(0, np.int64)
-        some, first, back = np.unique(h, return_index=True, return_inverse=True)
-        known = [cache.get(x) for x in some.tolist()]
-        new = [i for i, x in enumerate(known) if x is None]
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-        for b in range(0, len(new), 2048):
-            part = new[b : b + 2048]
-            like, value = landmarks.similar([data[s[first[i]] : e[first[i]]].tobytes() for i in part])
-            found = dict(zip(like.tolist(), value, strict=True))
-            for k, i in enumerate(part):
-                cache[int(some[i])] = known[i] = found.get(k, False)
-        hot = np.array([x is not False for x in known], bool)
-        at_words = np.flatnonzero(hot[back]) if len(known) else np.zeros(0, np.int64)
+        like_row = known.rows(data, h, s, e)
         out: dict[tuple[int, int], np.ndarray] = {}
-        for i in at_words.tolist():
-            key, value = (int(row[i]), int(sentence[i])), known[back[i]]
+        for i in np.flatnonzero(like_row >= 0).tolist():
+            key, value = (int(row[i]), int(sentence[i])), known.values[like_row[i]]
             out[key] = out[key] + value if key in out else value
         single = np.flatnonzero(e - s == 1)
         if len(single) > 2:
             run = np.split(single, np.flatnonzero((np.diff(single) > 1) | (np.diff(row[single]) > 0)) + 1)
             run = [r for r in run if len(r) > 2]
-            like, value = landmarks.similar([data[s[r]].tobytes() for r in run]) if run else ([], [])
+            like, value = known.landmarks.similar([data[s[r]].tobytes() for r in run]) if run else ([], [])
             for k, x in zip(like, value, strict=True):
                 key = (int(row[run[k][0]]), int(sentence[run[k][0]]))
                 out[key] = out[key] + x if key in out else x
@@ -154,9 +171,9 @@ class Model:
     slope: float
     shift: float
 
-    def scores(self, column: pa.Array, kernel: Landmarks, cache: dict) -> np.ndarray:
+    def scores(self, column: pa.Array, known: Known) -> np.ndarray:
         best = np.full(len(column), self.bias)
-        for row, _, value in sentences(column, kernel, cache):
+        for row, _, value in sentences(column, known):
             best[row] = max(best[row], float(value @ self.weights) + self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -30, 30)))
 
@@ -235,15 +252,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     held = docs.sparkSession.sparkContext.broadcast(picked)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, cache = Landmarks(held.value), T.word_cache(("likeness", *held.value))
+        owner = ("likeness", *held.value)
+        known = T.kept(owner, lambda: Known(held.value))
         for batch in batches:
-            found = [(r, x.astype(np.float16).tobytes()) for r, _, x in sentences(batch.column("text"), kernel, cache)]
+            found = [(r, x.astype(np.float16).tobytes()) for r, _, x in sentences(batch.column("text"), known)]
             ids, toxic = batch.column("doc_id"), batch.column("toxic")
             rows = pa.array([r for r, _ in found], pa.int64())
             every = pa.RecordBatch.from_pydict({"doc_id": ids, "toxic": toxic, "x": pa.nulls(len(ids), pa.binary())})
             yield every
             yield pa.RecordBatch.from_pydict({"doc_id": ids.take(rows), "toxic": toxic.take(rows), "x": pa.array([x for _, x in found], pa.binary())})
+        T.tidy(owner)
 
+    bounded_batches(docs.sparkSession)
     got = texts.mapInArrow(features, "doc_id long, toxic int, x binary").groupBy("doc_id", "toxic", "x").count().toPandas().sort_values(["doc_id", "x"], na_position="first")
     label = got[got.x.isna()].set_index("doc_id").toxic.groupby(level=0).max()
     got = got[got.x.notna()]
@@ -293,9 +313,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, cache = Landmarks(held.value.landmarks), T.word_cache(("likeness", *held.value.landmarks))
+        owner = ("likeness", *held.value.landmarks)
+        known = T.kept(owner, lambda: Known(held.value.landmarks))
         for batch in batches:
-            yield batch.append_column("toxicity", pa.array(held.value.scores(batch.column("text").cast(pa.string()), kernel, cache), pa.float64()))
+            yield batch.append_column("toxicity", pa.array(held.value.scores(batch.column("text").cast(pa.string()), known), pa.float64()))
+        T.tidy(owner)
+
+    bounded_batches(docs.sparkSession)
 
     return docs.mapInArrow(run, docs.withColumn("toxicity", F.lit(0.0)).schema)
 

@@ -7,7 +7,8 @@ a block come from one running sum; texts longer than a block are cut between wor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,64 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
-_caches: dict[object, dict] = {}
+_kept: dict[object, object] = {}
 
 
-def word_cache(owner: object) -> dict:
-    """What this worker has kept of words for an operator with its model, from task to task; that of another owner is dropped."""
-    for other in [k for k in _caches if k != owner]:
-        del _caches[other]
-    return _caches.setdefault(owner, {})
+def kept(owner: object, make) -> object:
+    """What this worker keeps for an operator with its model from task to task; it is made once, and that of another owner is dropped."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
 
 
-def drop_caches() -> None:
-    """For operators that keep no words: frees what others have kept in this worker."""
-    _caches.clear()
+def tidy(owner: object = None) -> None:
+    """At the end of a task: drops what is kept for others than owner and hands unused memory back to the system."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+class WordTable:
+    """Numbers for words, by their hashes, in sorted arrays: 17 bytes a word. An owner keeps what it knows of a word under its number.
+
+    Beyond `limit` words those met in one block only are forgotten, or all if too few are.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.keys, self.slots, self.again = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of sorted, different keys, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = np.where(self.keys[at] == keys, self.slots[at], -1)
+        self.again[found[found >= 0]] = True
+        return found
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """New numbers for sorted, unknown keys, counting on from the last."""
+        slots = len(self.again) + np.arange(len(keys))
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.slots = every[order], np.concatenate([self.slots, slots])[order]
+        self.again = np.concatenate([self.again, np.zeros(len(keys), bool)])
+        return slots
+
+    def full(self, more: int) -> np.ndarray | None:
+        """Before adding more words than fit: forgets some, and gives the old numbers of the others in the order of their new ones."""
+        if len(self.keys) + more <= self.limit:
+            return None
+        some = np.flatnonzero(self.again) if self.again.sum() < self.limit // 2 else np.zeros(0, np.int64)
+        new = np.full(len(self.again), -1)
+        new[some] = np.arange(len(some))
+        stay = new[self.slots] >= 0
+        self.keys, self.slots, self.again = self.keys[stay], new[self.slots[stay]], np.zeros(len(some), bool)
+        return some
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,8 +108,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of one piece; no word crosses a break."""
+def _piece(data: np.ndarray, breaks: np.ndarray, cut: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of one piece; no word crosses a break. cut(data, starts, ends) may cut words in two."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _SPACE[data]
@@ -80,6 +126,14 @@ def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inner = breaks[(breaks > 0) & (breaks < len(data))]
     after[inner - 1] = True
     ends = np.flatnonzero(after & ~space) + 1
+    if cut is not None:
+        inside = cut(data, starts, ends)
+        two = inside < ends
+        at = np.arange(len(starts)) + np.cumsum(two) - two
+        parts = np.zeros((2, len(starts) + int(two.sum())), np.int64)
+        parts[0, at], parts[1, at] = starts, inside
+        parts[0, at[two] + 1], parts[1, at[two] + 1] = inside[two], ends[two]
+        starts, ends = parts
     up, down = _power(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
@@ -110,10 +164,11 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
         a += 1
 
 
-def words(column: pa.Array, spans: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray] | tuple]:
+def words(column: pa.Array, spans: bool = False, cut: Callable | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray] | tuple]:
     """For blocks of rows: first row, hashes of their words, and where each row's words begin (one entry more than rows).
 
-    With spans, also the words' first byte and end in the row's own UTF-8 text.
+    With spans, also the words' first byte and end in the row's own UTF-8 text. With cut, a function of a block's bytes and its words' starts and
+    ends that gives a place in each word (or its end), words are cut there in two.
     """
     data, offsets = utf8(column)
     held: list[tuple] = []
@@ -125,7 +180,7 @@ def words(column: pa.Array, spans: bool = False) -> Iterator[tuple[int, np.ndarr
 
     row = 0
     for a, b, p, q in _pieces(data, offsets):
-        h, s, e = _piece(data[p:q], offsets[a:b] - p if b > a + 1 or p == offsets[a] else np.zeros(0, np.int64))
+        h, s, e = _piece(data[p:q], offsets[a:b] - p if b > a + 1 or p == offsets[a] else np.zeros(0, np.int64), cut)
         if b == a + 1 and (p > offsets[a] or q < offsets[b]):
             held.append((h, s + (p - offsets[a]), e + (p - offsets[a])))
             if q == offsets[b]:

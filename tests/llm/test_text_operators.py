@@ -211,6 +211,34 @@ def test_packing_is_a_partition_of_all_ids(spark):
     assert op4.pack(_docs(spark, []), op4.public_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("cut", [True, False])
+def test_packing_wastes_little(spark, cut):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").coalesce(2)
+    rows = op4.pack(docs.unionByName(docs.where("doc_id < 9")), op4.public_tokenizer(), cut=cut, words=3000).toPandas()
+    load = rows.groupby("sequence_id").length.sum()
+    assert load.max() == 4096 and rows.duplicated(["sequence_id", "offset"]).sum() == 0
+    padded = load[(load & (load - 1)) != 0]
+    assert (4096 - padded).sum() == 0 if cut else (4096 - padded).sum() < 0.06 * load.sum()
+    assert (rows[rows.doc_id < 9].groupby(["doc_id", "start"]).size() >= 2).all() or cut
+    total = rows[rows.doc_id >= 9].groupby("doc_id").agg(total=("length", "sum"), whole=("doc_tokens", "max"))
+    assert (total.total == total.whole).all()
+
+
+def test_packing_words_as_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(op4.public_tokenizer())
+    random.seed(8)
+    letters = "abzAZ09\u00e9\u00c9\u00df\u00ff\u00d7\u00f7\u00bb\u00ab.,;:!?'\"-  \n\t\x0b\u00a0\u2003\u0301\u0130\u03a3\u03c2\u65e5\U0001f642|"
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 50))) for _ in range(2000)] + ["a<|endoftext|>b", "It's.", None]
+    encoder, seen = op4.Encoder(op4.public_tokenizer(), 500), 0  # so few that words are forgotten
+    for a, ids, at in encoder.encode(pa.array(texts * 3, pa.string()), 2):
+        for i in range(len(at) - 1):
+            assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode((texts * 3)[a + i] or "", add_special_tokens=False).ids, 2]
+            seen += 1
+    assert seen == 3 * len(texts)
+
+
 def test_differencing():
     random.seed(5)
     sizes = np.array([random.randint(1, 4000) for _ in range(600)])
@@ -312,6 +340,85 @@ def test_contexts_discover_and_mask(spark):
     assert masked[16][0] == "mail <EMAIL>" and masked[13] == (None, -1) and masked[15] == ("nothing 12 here", -1) and len(masked) == len(texts)
 
 
+def test_secrets_and_forms(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [f'we set token = "{key(i)}" once' for i in range(12)] + ['we set token = "abc12345" once', f'we set color = "{"ab" * 20}" once']
+    texts += [f"at +1 (555) 010-{1000 + i} now" for i in range(12)] + ["at +1 (555) 010-4242 10.1.2.3 now"]  # too many digits in a row for the fixed form
+    texts += [f"sum {4111111111111111 + i}" for i in range(40)]  # one in ten is a card number by its digits, which makes no form
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.added and [(op9.KINDS[x.k], texts[r.doc_id][x.start : x.end]) for x in r.added] for r in op9.find(docs).collect()}
+    assert all(found[i] == [("secret", key(i))] for i in range(12)) and found[12] == [("secret", "abc12345")] and found[13] is None
+    assert found[26] == [("phone", "+1 (555) 010-4242")] and not any(found[i] for i in range(14, 26)) and not any(found[i] for i in range(27, len(texts)))
+    masked = {r.doc_id: r.text for r in op9.mask(docs).collect()}
+    assert masked[12] == 'we set token = "<SECRET>" once' and masked[26] == "at <PHONE> <IP> now"
+
+
+def test_pii_odd_input(spark):
+    rows = [(1, "mail q@w.org", 7, "x"), (1, "mail q@w.org", 7, "x"), (1, "other 1.2.3.4", 8, None), (None, "mail a@b.cd", 9, "z"), (2, None, 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash long, added string").withColumns({"more_spans": F.lit("keep"), "doc_key": F.lit(3)})
+    masked = sorted(op9.mask(docs).collect(), key=repr)
+    assert op9.mask(docs).schema == docs.schema and len(masked) == 5 and all(r.more_spans == "keep" and r.doc_key == 3 for r in masked)
+    assert sorted((r.text_hash, r.added or "", r.text or "") for r in masked) == [(1, "", ""), (7, "x", "mail <EMAIL>"), (7, "x", "mail <EMAIL>"), (8, "", "other <IP>"), (9, "z", "mail <EMAIL>")]
+    assert op9.mask(docs.where("doc_id > 99")).count() == 0 and op9.find(docs.where("doc_id > 99")).count() == 0
+    assert [r.n_email for r in op9.find(docs.where("doc_id is null")).collect()] == [1]
+
+
+def test_pii_of_long_texts_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"{i}.5 x{i % 7}" for i in range(n)) + "," + ",".join(str(i) for i in range(n))
+        began = time.process_time()
+        spans = op9._occurrences(text, op9.base_spans(text))
+        assert sum(1 for _ in op9._patterns(text, spans)) > n
+        return time.process_time() - began
+
+    assert seconds(40_000) < 12 * seconds(10_000) + 1
+
+
+def _plain_bootstrap(rows):
+    """The rounds of patterns and values, over plain dictionaries."""
+    edges, kinds, shapes = {}, {}, {}
+    for pattern, value, kind, shape in rows:
+        edges.setdefault(pattern, set()).add(value)
+        kinds[value], shapes[value] = max(kinds.get(value, -1), kind), max(shapes.get(value, 0), shape)
+    open_ = {v for v in kinds if kinds[v] < 0 and shapes[v] > 0}
+    score, last = {(v, k): 1.0 for v, k in kinds.items() if k >= 0}, -1
+    while True:
+        best = {}
+        for p, values in edges.items():
+            light = lambda v: v in open_ and not p.startswith(op9.FORM)
+            whole = sum(op9.UNKNOWN if light(v) else 1.0 for v in values)
+            for k in range(len(op9.KINDS)):
+                own = {v: score[v, k] for v in values if (v, k) in score and (v not in open_ or light(v))}
+                support = sum(x for v, x in own.items() if v not in open_ or x >= op9.CONFIDENCE)
+                more = sum(max(x - op9.UNKNOWN, 0) for v, x in own.items() if light(v))
+                if own and support >= op9.SUPPORT and sum(own.values()) / (whole + more) >= op9.CONFIDENCE:
+                    best[p, k] = sum(own.values()) / (whole + more)
+        raised = {}
+        for (p, k), c in best.items():
+            for v in edges[p] & open_:
+                if shapes[v] >> k & 1:
+                    raised[v, k] = raised.get((v, k), 1.0) * (1.0001 - c)
+        total = round(sum(best.values()) + sum(1 - x for x in raised.values()), 3)
+        if total <= last:
+            return {(p, k) for p, k in best if best[p, k] == max(best.get((p, x), 0) for x in range(len(op9.KINDS)))}
+        score.update({key: 1 - x for key, x in raised.items()})
+        last = total
+
+
+def test_patterns_against_plain_rounds(spark):
+    random.seed(12)
+    words, forms = ["call", "desk", "at", "lot", "ring", "no"], [lambda: f"+1 555 {random.randint(100, 999)} {random.randint(1000, 1040)}", lambda: f"555 {random.randint(100, 104)} {random.randint(1000, 1020)}", lambda: str(random.randint(0, 50)), lambda: f"u{random.randint(0, 30)}@w.org"]
+    texts = []
+    for _ in range(900):
+        w = random.choice(words)
+        texts.append(f"so {w} {random.choice(forms[:2] if w in ('call', 'desk', 'ring') else forms)()} end")
+    rows = [tuple(r) for r in spark.createDataFrame([(i, x, i) for i, x in enumerate(texts)], "doc_id long, text string, text_hash long").mapInArrow(op9._read, op9._READ).where("pattern is not null").select("pattern", "value", "kind", "shape").collect()]
+    found = {(r.pattern, r.k) for r in op9._bootstrap(spark.createDataFrame(rows, "pattern string, value string, kind int, shape int")).collect()}
+    assert found == _plain_bootstrap(rows) and len(found) > 3
+
+
 def test_contexts_found_through_discovered_values(spark):
     number = lambda chain, i: f"555 0{chain}0 {4000 + i}"
     contexts = ["please call me at {} tonight", "reach our desk on {} today", "fax papers over {} instead", "ring grandma via {} sundays", "pager code was {} formerly"]
