@@ -2,20 +2,25 @@
 
 A URL's tokens are its scheme, its host and that host's parents, its path's segments with digits folded, and its query's keys.
 Spark's FP-growth finds the frequent token combinations of labelled URLs and those of the blocked ones with them; a combination that
-blocked URLs make up to the share `confidence`, and to half even at the lower end of a three-sigma interval, is a rule, unless a
+at least `least` blocked URLs hold, and blocked URLs make up to the share `confidence`, is a rule, unless a
 part of it already is one of at least that confidence.
-An inverted index holds each rule under its rarest token: a URL meets only the rules of its own tokens and then must have all of theirs.
+An inverted index holds each rule under its rarest token: a URL meets only the rules of its own tokens and then must have all of theirs. Rules go to
+the tasks RULES_AT_ONCE at a time, so a URL is judged where its row is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import checkpoint, table
+from kerbline.llm.common import bounded_batches, checkpoint, fresh, table
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+RULES_AT_ONCE = 100_000
 _UPPER, _LOWER, _BAD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "=blocked"
 
 
@@ -49,17 +54,11 @@ def fixed(url_host: str, url_path: str, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def _at_least(bad: Column, every: Column, z: float = 3.0) -> Column:
-    """The lower end of Wilson's interval for the share of blocked URLs: few pages prove little."""
-    share = bad / every
-    return (share + z * z / (2 * every) - z * F.sqrt(share * (1 - share) / every + z * z / (4 * every * every))) / (1 + z * z / every)
-
-
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 5) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, least: int = 20) -> DataFrame:
     """(tokens, rarest, confidence) rules from pages (page_id, url) and labels (page_id, blocked boolean).
 
     support is the least share of labelled pages that hold a combination, least the least number of blocked ones. Pages without
-    tokens or label are left out; without labelled pages there are no rules.
+    tokens, label or page_id are left out; without labelled pages there are no rules.
     """
     rows = pages.join(labels.where("blocked is not null"), "page_id").select(tokens(F.col("url")).alias("items"), "blocked").where("size(items) > 0")
     rows = checkpoint(rows.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items")))
@@ -67,11 +66,10 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence
     if rows.isEmpty():
         return none
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(rows).freqItemsets
-    found = checkpoint(found.where(F.size("items") <= 5).select(F.array_sort("items").alias("items"), "freq"))
+    found = checkpoint(found.select(F.array_sort("items").alias("items"), "freq"))
     blocked = found.where(F.array_contains("items", _BAD) & (F.col("freq") >= least) & (F.size("items") > 1)).select(F.array_remove("items", _BAD).alias("items"), F.col("freq").alias("bad"))
     every = found.where(~F.array_contains("items", _BAD))
     rules = blocked.join(every, "items").select(F.col("items").alias("tokens"), (F.col("bad") / F.col("freq")).alias("confidence"), "bad", "freq").where(F.col("confidence") >= confidence)
-    rules = rules.where(_at_least(F.col("bad"), F.col("freq")) >= 0.5)
     rules = checkpoint(rules.withColumn("rule_id", F.xxhash64("tokens")))
     # a rule goes if dropping one of its tokens leaves a rule of no less confidence
     parts = rules.where(F.size("tokens") > 1).select("rule_id", "confidence", F.explode("tokens").alias("out"), "tokens").select("rule_id", F.col("confidence").alias("own"), F.array_remove("tokens", F.col("out")).alias("tokens"))
@@ -82,30 +80,55 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = 0.002, confidence
     return checkpoint(kept.join(rarest, "rule_id").select("tokens", "rarest", "confidence"))
 
 
-def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence) of the distinct URLs of pages that some rule blocks."""
-    urls = pages.select("url").where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("needs"), "confidence")
-    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
-    return met.groupBy("url").agg(F.max("confidence").alias("confidence"))
+def _matching(held, items: str, out: str):
+    """Raises the column out to the greatest confidence of the rules whose tokens are all among the column items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[str, list[tuple[frozenset, float]]] = {}
+        for needs, rarest, confidence in held.value:
+            index.setdefault(rarest, []).append((frozenset(needs), confidence))
+        for batch in batches:
+            best = batch.column(out).to_pylist()
+            for i, own in enumerate(batch.column(items).to_pylist()):
+                near = [rule for token in own for rule in index.get(token, ())]
+                for needs, confidence in near:
+                    if needs.issubset(own) and (best[i] is None or confidence > best[i]):
+                        best[i] = confidence
+            yield batch.set_column(batch.schema.get_field_index(out), out, pa.array(best, pa.float64()))
+
+    return run
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], **mining) -> DataFrame:
     """pages (page_id, url) with host, path, rule, verdict and the mined confidence (null if no mined rule matches).
 
     The longest fixed rule decides, else a mined rule blocks, else the page is allowed. Every row stays, also repeated ones, null
     URLs (empty host and path) and null page_ids; columns of those names are replaced. No rows: none.
     """
+    bounded_batches(pages.sparkSession)
     pages = pages.drop("host", "path", "rule", "verdict", "confidence")
-    met = matched(pages, mine(pages, labels))
-    judged = pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).join(met, "url", "left")
-    judged = judged.withColumn("_fixed", fixed("host", "path", rules))
-    verdict = F.coalesce(F.col("_fixed.verdict"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
-    return judged.withColumns({"rule": F.col("_fixed.rule"), "verdict": verdict}).drop("_fixed")
+    items, chosen = fresh(pages, "url_tokens", "fixed_rule")
+    mined = mine(pages, labels, **mining)
+    parts = -(-mined.count() // RULES_AT_ONCE)
+    judged = pages.withColumns({items: tokens(F.col("url")), "confidence": F.lit(None).cast("double")})
+    for part in range(parts):
+        some = mined.where(F.pmod(F.xxhash64("tokens"), F.lit(parts)) == part).collect()  # about RULES_AT_ONCE
+        judged = judged.mapInArrow(_matching(pages.sparkSession.sparkContext.broadcast([tuple(r) for r in some]), items, "confidence"), judged.schema)
+    judged = judged.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    judged = judged.withColumn(chosen, fixed("host", "path", rules))
+    verdict = F.coalesce(F.col(f"{chosen}.verdict"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
+    return judged.withColumns({"rule": F.col(f"{chosen}.rule"), "verdict": verdict}).drop(chosen, items)
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, blocked) of pages by the labels (doc_id, quality, toxic) of the document whose number ends their path; low quality or toxic is blocked."""
+    number = F.regexp_extract(path(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long")
+    bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")) == 1
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("number")).agg(bad.alias("blocked"))
+    return pages.where("page_id is not null").select("page_id", number.alias("number")).join(known, "number").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("blocked"))
+    labels = page_labels(pages, table(spark, sf_dir, "labels"))
     return judge(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")

@@ -36,21 +36,23 @@ def unescape_role(role: Column) -> Column:
 def leaf_paths(nodes: DataFrame) -> DataFrame:
     """(leaf, node, up): every node on the path from each leaf to its root, up steps above the leaf.
 
-    nodes has node and parent (null for a root), each node once. A parent that is no node makes its child a root; nodes on a cycle
-    reach no leaf and give nothing.
+    nodes has node and parent (null for a root), each node once. A parent that is no node makes its child a root. Nodes on a cycle, and
+    all that hang on one, have no root and give nothing: links that still lead on after as many steps as there are nodes are theirs.
     """
     known = nodes.select(F.col("node").alias("parent"))
     links = nodes.where("parent is not null").join(known, "parent").select("node", F.col("parent").alias("above"))
     links = checkpoint(links)
-    leaves = nodes.join(links.select(F.col("above").alias("node")).distinct(), "node", "left_anti")
-    paths, step = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), 1
-    while not links.isEmpty():
-        more = paths.join(links, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
+    leaves = nodes.join(links.select(F.col("above").alias("node")).distinct(), "node", "left_anti").select("node")
+    reach, total = [], links.count()
+    while not links.isEmpty() and 1 << len(reach) <= total:
+        reach.append(links)
+        links = checkpoint(links.select(F.col("above").alias("via"), F.col("node").alias("low")).join(links.select(F.col("node").alias("via"), "above"), "via").select(F.col("low").alias("node"), "above"))
+    if not links.isEmpty():
+        leaves = leaves.join(links.select("node"), "node", "left_anti")
+    paths = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k, links in enumerate(reach):
+        more = paths.join(links, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = checkpoint(paths.union(more))
-        next_ = links.select(F.col("above").alias("via"), F.col("node").alias("low")).join(links.select(F.col("node").alias("via"), "above"), "via")
-        links, step = checkpoint(next_.select(F.col("low").alias("node"), "above").where("node <> above")), 2 * step
-        if step > 1 << 40:
-            break  # only a cycle is that long
     return paths
 
 

@@ -1,13 +1,12 @@
 """Graph operators over edge tables: neighbours, reachability, components and shortest paths.
 
 Loops are driven by small counts; state lives in DataFrames whose lineage is cut in the shared checkpoint folder. Components take a logarithm of
-rounds; reachability and distances a round per hop, each touching only the frontier.
+rounds, paths a round per block of vertices that they cross, reachability and distances a round per hop, each touching only the frontier.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,62 +80,96 @@ def distances(edges: DataFrame, sources: DataFrame, cost: str = "distance") -> D
     return best
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, cost: str = "distance", most_edges: int = 2_000_000) -> DataFrame:
+#: Costs are whole numbers of this many to one within searches, so that sums don't depend on their order and ties are ties.
+PARTS = 1_000_000_000
+#: Searches that one task takes over a block of vertices at most, about.
+SEARCHES = 20_000
+
+
+def _within_block(states: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Least costs of each request within one block, from its states there: (request, id, cost, enters); enters marks vertices of other blocks.
+
+    A search ends at the request's first target in the block, or where it costs more than `most`."""
+    near: dict[int, list[tuple[int, int]]] = {}
+    for s, d, c in zip(edges.s.tolist(), edges.d.tolist(), edges.c.tolist(), strict=True):
+        near.setdefault(s, []).append((c, d))
+    out: list[tuple] = []
+    for request, own in states.groupby("request", sort=False):
+        heap = sorted(zip(own.cost.tolist(), own.id.tolist(), strict=True))
+        most, targets = own.most.iloc[0], set(own.targets.iloc[0])
+        most = float("inf") if pd.isna(most) else most
+        done: dict[int, int] = {}
+        while heap:
+            cost, at = heapq.heappop(heap)
+            if cost > most or at in done:
+                continue
+            done[at] = cost
+            if at in targets:
+                most = cost
+            for c, d in near.get(at, ()):
+                if cost + c <= most and d not in done:
+                    heapq.heappush(heap, (cost + c, d))
+        out += [(request, at, cost) for at, cost in done.items()]
+    found = pd.DataFrame(out, columns=["request", "id", "cost"])
+    found["enters"] = found.id // BLOCK != (states.block.iloc[0] if len(states) else 0)
+    return found
+
+
+#: Vertices of ids within so wide a range are a block.
+BLOCK = 512
+
+
+def shortest_paths(edges: DataFrame, requests: DataFrame, cost: str = "distance", most_edges: int | None = None) -> DataFrame:
     """(request, path, cost) for requests (request, start, targets array): the cheapest path to any target; no row if none is reached.
 
-    The graph is sent to every task once, after its edges are counted: with more than most_edges of them the requests are
-    answered by relaxation joins instead. Ties go to the path found first by cost, then vertex.
+    Vertices are cut into blocks of BLOCK neighbouring ids. A round searches each block that a request has newly entered, all searches of a block
+    in few tasks that hold its edges alone, and the next begins where they leave it; a state that costs more than the request's cheapest target
+    so far goes no further. So the rounds count the blocks along a path, not its edges, and no task sees the whole graph (most_edges, once a
+    bound for that, is not used). Costs must not be negative; they count in parts of 1e-9, at least one an edge. Of targets of
+    equal cost the least is taken, of equal ways to a vertex the one from the least vertex.
     """
-    slim = edges.select("vertexStartId", "vertexEndId", F.col(cost).cast("double").alias("cost"))
-    if slim.count() > most_edges:
-        return _by_relaxation(slim, requests)
-    near: dict[int, list[tuple[int, float]]] = {}
-    for s, d, c in slim.orderBy("vertexStartId", "vertexEndId").collect():  # at most most_edges rows
-        near.setdefault(s, []).append((d, c))
-    held = edges.sparkSession.sparkContext.broadcast(near)
-
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for request, start, targets in zip(frame.request, frame.start, frame.targets, strict=True):
-                found = _search(held.value, start, set(targets))
-                if found:
-                    rows.append((request, *found))
-            yield pd.DataFrame(rows, columns=["request", "path", "cost"])
-
-    return requests.mapInPandas(answer, "request long, path array<long>, cost double")
-
-
-def _search(near: dict[int, list[tuple[int, float]]], start: int, targets: set[int]) -> tuple[list[int], float] | None:
-    best, before, done, heap = {start: 0.0}, {}, set(), [(0.0, start)]
-    while heap:
-        cost, at = heapq.heappop(heap)
-        if at in done:
-            continue
-        done.add(at)
-        if at in targets:
-            path = [at]
-            while path[-1] != start:
-                path.append(before[path[-1]])
-            return path[::-1], cost
-        for to, c in near.get(at, ()):
-            if cost + c < best.get(to, float("inf")):
-                best[to], before[to] = cost + c, at
-                heapq.heappush(heap, (cost + c, to))
-    return None
-
-
-def _by_relaxation(edges: DataFrame, requests: DataFrame) -> DataFrame:
-    edges = checkpoint(edges)
-    best = checkpoint(requests.select("request", F.col("start").alias("id"), F.lit(0.0).alias("cost"), F.array("start").alias("path")))
-    frontier = best
-    while not frontier.isEmpty():
-        step = frontier.join(edges.withColumnRenamed("cost", "c"), frontier["id"] == F.col("vertexStartId"))
-        step = step.groupBy("request", F.col("vertexEndId").alias("id")).agg(F.min_by(F.struct((F.col("cost") + F.col("c")).alias("cost"), F.concat("path", F.array("vertexEndId")).alias("path")), F.struct(F.col("cost") + F.col("c"), "path")).alias("new"))
-        frontier = checkpoint(step.join(best.select("request", "id", F.col("cost").alias("old")), ["request", "id"], "left").where("old is null or new.cost < old - 1e-12").select("request", "id", "new.cost", "new.path"))
-        best = checkpoint(best.unionByName(frontier).groupBy("request", "id").agg(F.min_by(F.struct("cost", "path"), F.struct("cost", "path")).alias("b")).select("request", "id", "b.cost", "b.path"))
-    ends = requests.select("request", F.explode("targets").alias("id"))
-    return best.join(ends, ["request", "id"]).groupBy("request").agg(F.min_by(F.struct("path", "cost"), F.struct("cost", "id")).alias("b")).select("request", "b.path", "b.cost")
+    whole = F.greatest(F.round(F.col(cost).cast("double") * PARTS).cast("long"), F.lit(1))
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
+    near = edges.where("vertexStartId <> vertexEndId").groupBy(F.col("vertexStartId").alias("s"), F.col("vertexEndId").alias("d")).agg(F.min(whole).alias("c"))
+    near = checkpoint(near.withColumn("block", block("s")))
+    asked = checkpoint(requests.select("request", "start", F.array_distinct("targets").alias("targets")))
+    goals = asked.select("request", F.explode("targets").alias("id")).withColumn("goal", F.lit(True))
+    best = asked.select("request", F.col("start").alias("id"), F.lit(0).cast("long").alias("cost"), F.lit(True).alias("new"))
+    best = checkpoint(best.join(goals, ["request", "id"], "left"))
+    while True:
+        bound = best.where("goal").groupBy("request").agg(F.min("cost").alias("most"))
+        entered = best.where("new").select("request", "id", "cost", block("id").alias("block")).join(bound, "request", "left").where("most is null or cost <= most")
+        if entered.isEmpty():
+            break
+        entered = entered.join(asked.select("request", "targets"), "request")
+        deals = entered.groupBy("block").agg(F.ceil(F.count("*") / SEARCHES).cast("int").alias("deals"))
+        states = entered.join(deals, "block").select("request", "id", "cost", "most", "targets", "block", F.pmod(F.xxhash64("request"), F.col("deals")).cast("int").alias("deal"))
+        copies = deals.select(F.col("block").alias("part"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("copy"))
+        held = near.join(copies, F.col("block") == F.col("part")).select("s", "d", "c", "part", "copy")
+        found = states.groupBy("block", "deal").cogroup(held.groupBy("part", "copy")).applyInPandas(_within_block, "request long, id long, cost long, enters boolean")
+        found = found.groupBy("request", "id").agg(F.min(F.struct(F.col("cost"), F.col("enters"))).alias("f")).select("request", "id", F.col("f.cost").alias("next"), "f.enters")
+        both = best.drop("new").join(found.join(goals.withColumnRenamed("goal", "aim"), ["request", "id"], "left"), ["request", "id"], "full")
+        better = F.col("next").isNotNull() & (F.col("cost").isNull() | (F.col("next") < F.col("cost")))
+        best = checkpoint(both.select("request", "id", F.least("cost", "next").alias("cost"), (better & F.col("enters")).alias("new"), F.coalesce("goal", "aim").alias("goal")))
+    ends = checkpoint(best.where("goal").groupBy("request").agg(F.min(F.struct("cost", "id")).alias("end")).select("request", "end.*"))
+    # edges along which a state's cost was reached; of several the one from the least vertex
+    kept = best.select("request", "id", "cost").join(ends.select("request", F.col("cost").alias("most")), "request").where("cost <= most").drop("most")
+    ahead = kept.join(near, F.col("id") == F.col("s")).select("request", F.col("d").alias("id"), F.col("id").alias("above"), (F.col("cost") + F.col("c")).alias("cost"))
+    links = ahead.join(kept, ["request", "id", "cost"]).groupBy("request", F.col("id").alias("node")).agg(F.min("above").alias("above"))
+    return _walked(ends, checkpoint(links))
+
+
+def _walked(ends: DataFrame, links: DataFrame) -> DataFrame:
+    """(request, path, cost) from each request's end (request, id, cost) back along links (request, node, above); the reach doubles each round."""
+    paths, step = ends.select("request", F.col("id").alias("node"), F.lit(0).cast("long").alias("up")), 1
+    while not links.isEmpty():
+        more = paths.join(links, ["request", "node"]).select("request", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
+        paths = checkpoint(paths.union(more))
+        over = links.select("request", F.col("node").alias("low"), F.col("above").alias("node")).join(links, ["request", "node"])
+        links, step = checkpoint(over.select("request", F.col("low").alias("node"), "above")), 2 * step
+    order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "node"))), lambda x: x["node"])
+    found = paths.groupBy("request").agg(order.alias("path"))
+    return found.join(ends, "request").select("request", "path", (F.col("cost") / PARTS).alias("cost"))
 
 
 def walk_cost(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -27,6 +27,62 @@ def test_mined_rules(spark):
     assert {r.page_id: r.verdict for r in op3.judge(pages, labels, []).where("page_id >= 900").collect()} == {900: "block", 901: "allow"}
 
 
+def test_rules_of_several_tokens_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(op3, "RULES_AT_ONCE", 2)
+    rows, blocked = [], {}
+    for i in range(600):  # only the three together are blocked, and another path alone
+        a, b, c = i % 2, i // 2 % 2, i // 4 % 2
+        rows.append((i, f"http://{'x' if a else 'y'}.org/{'p' if b else 'q'}/{'r' if c else 's'}/{'bad' if i % 8 == 0 else 'fine'}"))
+        blocked[i] = bool(a and b and c) or i % 8 == 0
+    pages = spark.createDataFrame([*rows, (900, "http://x.org/p/r/new"), (901, "http://x.org/p/s/new"), (902, "http://z.net/bad"), (902, "http://z.net/bad"), (None, "http://x.org/r/p"), (903, None)], "page_id long, url string")
+    labels = spark.createDataFrame(list(blocked.items()), "page_id long, blocked boolean")
+    mined = {tuple(sorted(r.tokens)): r.confidence for r in op3.mine(pages, labels, confidence=0.9).collect()}
+    # every combination's share by counting
+    tokens = {r.page_id: set(r.t) for r in pages.where("page_id < 600").select("page_id", op3.tokens(F.col("url")).alias("t")).collect()}
+    share = lambda need: (lambda ids: sum(blocked[i] for i in ids) / len(ids))([i for i, t in tokens.items() if t >= set(need)])
+    assert ("path bad",) in mined and all(share(need) == pytest.approx(c) and c >= 0.9 for need, c in mined.items())
+    assert not any(share(set(need) - {t}) >= c for need, c in mined.items() if len(need) > 1 for t in need)
+    assert any({"host x.org", "path p", "path r"} >= set(need) and len(need) == 3 for need in mined)
+    got = [(r.page_id, r.verdict) for r in op3.judge(pages, labels, [], confidence=0.9).where("page_id is null or page_id >= 900").collect()]
+    assert sorted(got, key=repr) == sorted([(900, "block"), (901, "allow"), (902, "block"), (902, "block"), (None, "block"), (903, "allow")], key=repr)
+    assert op3.judge(pages.where("page_id < 0"), labels, op3.RULES).count() == 0
+
+
+def test_verdicts_of_all_pages_by_plain_rules(spark):
+    rows = op3.op3_url_filters(spark, "/root/testdata/sf0.01").collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(rows) == len(urls)
+    for r in rows:
+        rest = (urls[r.page_id] or "").partition("://")[2]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = rest[:cut].lower(), rest[cut:]
+        path = tail.split("?")[0].split("#")[0]
+        fits = [(len(rule), rule, verdict) for rule, verdict in op3.RULES if (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith("/" + rule.split("/", 1)[1])]
+        _, rule, verdict = max(fits, default=(0, None, "block" if r.confidence is not None else "allow"))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+
+
+def test_pages_take_the_labels_of_their_documents(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/en/7?x"), (2, "http://a.b/en/7.html"), (3, "http://a.b/8/"), (4, "http://a.b/en"), (5, None), (6, "http://a.b/9")], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0), (9, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in op3.page_labels(pages, labels).collect()} == {(1, True), (2, True), (3, False), (6, True)}
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5])
+def test_cycles_give_nothing(spark, length):
+    ring = [(1, f"c{i}", f"c{(i + 1) % length}", "user", "x", 1.0) for i in range(length)]
+    hung = [(1, "t", "c0", "user", "y", 1.0), (1, "leaf", "t", "user", "z", 1.0), (2, "root", None, "user", "kept", None), (2, "end", "root", "assistant", None, None)]
+    nodes = spark.createDataFrame(ring + hung, "tree long, node string, parent string, role string, text string, score double").withColumn("leaf", F.lit(5)).withColumn("turns", F.lit(6))
+    got = op5.format_trees(nodes, best=3).collect()
+    assert [(r.tree, r["rank"], r.n_turns) for r in got] == [(2, 1, 2)]
+
+
+def test_ties_and_repeated_turns_of_conversations(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (None, 0, None, None), (2, None, "user", "d")]
+    done = op5.format_trees(op5.chains(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).select("tree", op5.read_turns(F.col("formatted")).alias("t")).collect()
+    assert {r.tree: [tuple(t) for t in r.t] for r in done} == {1: [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "c")], None: [("", "")], 2: [("user", "d")]}
+
+
 def test_trees_are_formatted_by_their_best_branch(spark):
     rows = [(1, "a", None, "user", "hi <|im_end|> \\ there", 0.0), (1, "b", "a", "assistant", "low", 0.1), (1, "c", "a", "assistant", "<|im_start|>", 0.9), (1, "d", "c", "we\\nird\n", None, 0.5), (2, "e", "gone", "assistant", "alone", None)]
     nodes = spark.createDataFrame(rows, "tree long, node string, parent string, role string, text string, score double")
