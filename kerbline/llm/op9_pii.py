@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import text as T
-from kerbline.llm.common import bounded_batches, checkpoint, column_test, fresh, marked, table
+from kerbline.llm.common import bounded_batches, checkpoint, column_test, fresh, marked, salted_join, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SECRET, BASE = 4, 4
-SUPPORT, CONFIDENCE, UNKNOWN, SALTS, UNIT = 5, 0.9, 0.1, 16, 64
+SUPPORT, CONFIDENCE, UNKNOWN, UNIT = 5, 0.9, 0.1, 64
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -198,12 +198,6 @@ def _unit_value(x: str) -> str:
     return x if len(x) <= UNIT else hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _met(large: DataFrame, small: DataFrame, on: str, by: str) -> DataFrame:
-    """The inner join of large and small on a column, rows of a hot key of large dealt to SALTS tasks by another column."""
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return large.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
-
-
 def _bootstrap(rows: DataFrame) -> DataFrame:
     """(pattern, k, confidence) of the patterns of high confidence, from the graph of patterns and values."""
     edges = rows.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("shape").alias("shape"))
@@ -211,7 +205,7 @@ def _bootstrap(rows: DataFrame) -> DataFrame:
     # only patterns that have enough seeds and candidates, were all these of one kind, can ever be confident
     able = F.count_if((F.col("kind") >= 0) | (F.col("shape") > 0))
     strong = edges.groupBy("pattern").agg(able.alias("able"), F.count("*").alias("n")).where((F.col("able") >= SUPPORT) & (F.col("able") >= CONFIDENCE * F.col("n"))).select("pattern")
-    edges = _met(_met(edges.select("pattern", "value"), strong, "pattern", "value"), known, "value", "pattern")
+    edges = salted_join(salted_join(edges.select("pattern", "value"), strong, "pattern", "value"), known, "value", "pattern")
     edges = checkpoint(edges.withColumn("open", (F.col("kind") < 0) & (F.col("shape") > 0)).withColumn("light", F.col("open") & ~F.startswith("pattern", F.lit(FORM))))
     whole = checkpoint(edges.groupBy("pattern").agg(F.sum(F.when(F.col("light"), UNKNOWN).otherwise(1.0)).alias("whole")))
     seeds = edges.where("kind >= 0").select("value", F.col("kind").alias("k"), F.lit(1.0).alias("score")).distinct()
@@ -221,10 +215,10 @@ def _bootstrap(rows: DataFrame) -> DataFrame:
         more = F.sum(F.when(F.col("light"), F.greatest(F.col("score") - UNKNOWN, F.lit(0.0))).otherwise(0.0))
         # a form counts its seeds alone: to be of a common form proves nothing of a discovered value
         counted = edges.where("light or not open").select("pattern", "value", "open", "light")
-        best = _met(counted, score, "value", "pattern").groupBy("pattern", "k").agg(F.sum("score").alias("own"), more.alias("more"), support.alias("support"))
+        best = salted_join(counted, score, "value", "pattern").groupBy("pattern", "k").agg(F.sum("score").alias("own"), more.alias("more"), support.alias("support"))
         best = best.join(whole, "pattern").select("pattern", "k", "support", (F.col("own") / (F.col("whole") + F.col("more"))).alias("confidence"))
         best = checkpoint(best.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).drop("support"))
-        held = _met(edges.where("open").select("pattern", "value", "shape"), best, "pattern", "value").where(F.expr("shape & shiftleft(1, k)") > 0)
+        held = salted_join(edges.where("open").select("pattern", "value", "shape"), best, "pattern", "value").where(F.expr("shape & shiftleft(1, k)") > 0)
         raised = checkpoint(held.groupBy("value", "k").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("score")))
         total = best.select(F.col("confidence").alias("x")).union(raised.select("score")).agg(F.sum(F.round(F.col("x") * 10_000).cast("long"))).first()[0] or 0
         if total <= last:
@@ -235,7 +229,7 @@ def _bootstrap(rows: DataFrame) -> DataFrame:
 
 def _added(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, text_hash, added): the candidates that confident patterns of a suiting kind surround."""
-    open_ = _met(rows.where("kind < 0 and shape > 0"), patterns.withColumn("at", F.lit(0)), "pattern", "value").where(F.expr("shape & shiftleft(1, k)") > 0)
+    open_ = salted_join(rows.where("kind < 0 and shape > 0"), patterns.withColumn("at", F.lit(0)), "pattern", "value").where(F.expr("shape & shiftleft(1, k)") > 0)
     one = open_.groupBy("doc_id", "text_hash", "start", "end").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("k"))
     return one.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "k", "end"))).alias("added"))
 

@@ -117,6 +117,33 @@ def test_archives_survive_magic_in_payloads(spark):
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if i == last else ("revisit", last))
 
 
+def test_records_are_valid_and_odd_pages_stay(spark):
+    import glob
+    import gzip
+
+    rows = [(1, None, "same"), (1, "http://x/", "same"), (None, "u", "same"), (2, "u", "same"), (3, "u", "s"), (4, "u", "s"), (5, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("clash"), "first": F.lit(9)})
+    folder = op10.archive_folder(spark)
+    op10.write(pages, folder, revisit_from=2)
+    text = b"".join(gzip.open(f).read() for f in sorted(glob.glob(folder.removeprefix("file:") + "/*.gz")))
+    seen = 0
+    while text:
+        head, _, rest = text.partition(b"\r\n\r\n")
+        lines = head.split(b"\r\n")
+        fields = dict(x.split(b": ", 1) for x in lines[1:] if b": " in x)
+        assert lines[0] == b"WARC/1.0" and {b"WARC-Type", b"WARC-Date", b"Content-Type", b"Content-Length"} <= set(fields)
+        assert (fields[b"WARC-Type"] == b"revisit") == (b"WARC-Profile" in fields)
+        size = int(fields[b"Content-Length"])
+        assert rest[:size].startswith(b"HTTP/1.1 200 OK\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+        text, seen = rest[size + 4 :], seen + 1
+    assert seen == len(rows)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in op10.read(spark, folder).collect()), key=repr)
+    assert got == sorted([(1, "revisit", 2, 4), (1, "revisit", 2, 4), (None, "response", None, 4), (2, "response", None, 4), (3, "response", None, 1), (4, "response", None, 1), (5, "response", None, 0)], key=repr)
+    empty = op10.archive_folder(spark)
+    op10.write(pages.where("page_id > 9"), empty)
+    assert op10.read(spark, empty).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op5_chat_formatting", "op10_warc"])
 def test_against_sql(spark, name):
     import os
