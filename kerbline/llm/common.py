@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.text import mix
+from kerbline.operators.lineage import checkpoint, shared_folder  # noqa: F401
 
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -20,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Rows written to the cluster's shared checkpoint folder; only a local session without one (a test) gets a folder here."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kerbline-"))
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that df does not have, whatever its columns are called."""
     taken, out = {c.lower() for c in df.columns}, []

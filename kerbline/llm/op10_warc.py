@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import checkpoint, salted_join, table
+from kerbline.llm.common import checkpoint, salted_join, shared_folder, table
 
 MAGIC, LINE, GAP = "WARC/1.0\r\n", "\r\n", "\r\n\r\n"
 # Fixed values of the format.
@@ -148,8 +148,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
-    checkpoint(spark.range(1))  # sets a folder where the session has none
-    return f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
