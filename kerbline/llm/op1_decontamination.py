@@ -4,16 +4,20 @@ Every window of a document that has as many words as some benchmark item and sha
 size gets a 64-bit SimHash of its shingles (a window without such a shingle has similarity 0 to every item of its size). A document
 of fewer words than an item is itself the one window for it, so that an item cut at an end is found too. Item
 fingerprints are cut into BLOCKS blocks; two fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS bits in one of
-them, so looking up all such neighbours of a block finds every item within RADIUS. What is found is verified: the weighted Jaccard
+them. Each block has an index from its value to the items whose own block lies so near, as one bit an item, GROUP items at a time; what any
+block's bucket holds is an item that may lie within RADIUS, and all that do are among them. Those that do are verified: the weighted Jaccard
 similarity of the two shingle bags, each shingle weighing one over the number of different item texts (as words) that hold it, must
 reach the threshold. Those numbers are counted in Spark over the whole benchmark: neither repeated items nor the cut into blocks changes them.
 A shingle of one item weighs as much as one of none, so only shared shingles are sent: WEIGHTS of them with the items, more of them in passes
 over the texts, each of which adds to a column what its part of them says of the row.
+
+An item of fewer words than a shingle is one shingle and is found wherever a text holds its words in a row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -25,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from kerbline.llm import text as T
-from kerbline.llm.common import checkpoint, table
+from kerbline.llm.common import bounded_batches, checkpoint, table
 
-BLOCKS, RADIUS, BLOCK_BYTES, SIEVE_BITS, WEIGHTS = 4, 19, 16 << 20, 22, 1 << 20
+BLOCKS, RADIUS, GROUP, BLOCK_BYTES, SIEVE_BITS, WEIGHTS = 5, 19, 64, 4 << 20, 22, 1 << 20
+_WIDTH = -(-64 // BLOCKS)
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming int"
 SHARED = "__shared_shingles"
 _PAIR = np.dtype([("shingle", "<u8"), ("n", "<i8")])
@@ -57,16 +62,20 @@ class Index:
         if kept:
             self.print[kept] = self._pack(np.array(marks))
         sizes: dict[int, set[int]] = {}
-        for bag, n in zip(bags, self.words, strict=True):
+        self.short: dict[int, dict[int, list[int]]] = {}  # by words and hash
+        for i, (bag, n) in enumerate(zip(bags, self.words, strict=True)):
             for x in bag:
-                sizes.setdefault(x, set()).add(n)
+                if n < size:
+                    self.short.setdefault(n, {}).setdefault(x, []).append(i)
+                else:
+                    sizes.setdefault(x, set()).add(n)
         self.shingle = np.array(sorted(sizes), np.uint64)
         self.sizes = [sorted(sizes[x]) for x in self.shingle.tolist()]
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[self._spot(self.shingle)] = True
-        near = [0] + [sum(1 << b for b in bits) for r in range(1, RADIUS // BLOCKS + 1) for bits in combinations(range(64 // BLOCKS), r)]
+        near = [0] + [sum(1 << b for b in bits) for r in range(1, RADIUS // BLOCKS + 1) for bits in combinations(range(_WIDTH), r)]
         self.near = np.array(near, np.int64)
-        self.tables: dict[int, list[list[list[int]]]] = {}
+        self.tables: dict[int, list[tuple[np.ndarray, list[np.ndarray]]]] = {}
 
     @staticmethod
     def _spot(x: np.ndarray) -> np.ndarray:
@@ -90,29 +99,39 @@ class Index:
     def _pack(sums: np.ndarray) -> np.ndarray:
         return np.packbits(sums > 1e-4, axis=1).view(np.uint64).reshape(-1)
 
-    def _table(self, n: int) -> list[np.ndarray]:
-        """For each block, which of its values lie near the block of some item of n words."""
+    @staticmethod
+    def _block(prints: np.ndarray, b: int) -> np.ndarray:
+        """The values of block b; the last block has fewer bits."""
+        return ((prints >> np.uint64(_WIDTH * b)) & np.uint64((1 << min(_WIDTH, 64 - _WIDTH * b)) - 1)).astype(np.int64)
+
+    def _table(self, n: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """Groups of the items of n words, each with an index per block from values to the items near them, as bits."""
         if n not in self.tables:
-            width = 64 // BLOCKS
             out = []
-            for b in range(BLOCKS):
-                near = np.zeros(1 << width, bool)
-                for i in self.by_words[n]:
-                    near[(int(self.print[i]) >> (width * b) & ((1 << width) - 1)) ^ self.near] = True
-                out.append(near)
+            for a in range(0, len(self.by_words[n]), GROUP):
+                items, index = self.by_words[n][a : a + GROUP], []
+                for b in range(BLOCKS):
+                    bucket = np.zeros(1 << _WIDTH, np.uint64)
+                    for i, value in enumerate(self._block(self.print[items], b).tolist()):
+                        bucket[value ^ self.near] |= np.uint64(1 << i)
+                    index.append(bucket)
+                out.append((items, index))
             self.tables[n] = out
         return self.tables[n]
 
     def within(self, prints: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
         """(place, item, distance) of all items of n words within RADIUS of the fingerprints."""
-        width = 64 // BLOCKS
-        some = np.zeros(len(prints), bool)
-        for b, near in enumerate(self._table(n)):
-            some |= near[((prints >> np.uint64(width * b)) & np.uint64((1 << width) - 1)).astype(np.int64)]
-        places, items = np.flatnonzero(some), self.by_words[n]
-        distance = np.bitwise_count(prints[places, None] ^ self.print[None, items])
-        for p, i in np.argwhere(distance <= RADIUS).tolist():
-            yield int(places[p]), int(items[i]), int(distance[p, i])
+        blocks = [self._block(prints, b) for b in range(BLOCKS)]
+        for items, index in self._table(n):
+            met = index[0][blocks[0]]
+            for b in range(1, BLOCKS):
+                met |= index[b][blocks[b]]
+            hit = np.flatnonzero(met)
+            place, bit = np.nonzero(np.unpackbits(met[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : len(items)])
+            place, item = hit[place], items[bit]
+            distance = np.bitwise_count(prints[place] ^ self.print[item])
+            near = np.flatnonzero(distance <= RADIUS)
+            yield from zip(place[near].tolist(), item[near].tolist(), distance[near].tolist(), strict=True)
 
     def similarity(self, item: int, shingles: np.ndarray, weights: np.ndarray) -> float:
         mine, other = self.bags[item], Counter(shingles.tolist())
@@ -125,19 +144,27 @@ class Index:
     def matches(self, column: pa.Array, more: pa.Array | None, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item id, similarity, first word, words, Hamming distance): the best window of each row for each item."""
         for a, h, at in T.words(column):
+            small: dict[int, dict[int, int]] = {}  # row, item, first word
+            for n, known in self.short.items():
+                grams, keys = T.grams(h, n), np.array(sorted(known), np.uint64)
+                for p in np.flatnonzero(_found(grams, keys)[1]).tolist():
+                    r = int(np.searchsorted(at, p, "right")) - 1
+                    if p + n <= at[r + 1]:
+                        for item in known[int(grams[p])]:
+                            small.setdefault(r, {}).setdefault(item, p - int(at[r]))
             s, to = T.shingles(h, at, self.size)
             hit = np.flatnonzero(self.sieve[self._spot(s)])
             place, same = _found(s[hit], self.shingle)
             hit = hit[same]
             row = np.searchsorted(to, hit, "right") - 1
-            for r in np.unique(row).tolist():
+            for r in sorted({*np.unique(row).tolist(), *small}):
                 here, words = s[to[r] : to[r + 1]], int(at[r + 1] - at[r])
                 weights = self.weights(here, more[a + r].as_py() if more is not None else None)
                 starts: dict[int, list[int]] = {}
                 for p, q in zip((hit[row == r] - to[r]).tolist(), place[row == r].tolist(), strict=True):
                     for n in self.sizes[q]:
                         starts.setdefault(n, []).append(p)
-                best: dict[int, tuple[float, int, int, int]] = {}
+                best = {item: (1.0, start, self.words[item], 0) for item, start in small.get(r, {}).items()}
                 for n, hits in starts.items():
                     for start, item, distance in self._windows(here, weights, words, n, np.array(hits)):
                         window = slice(start, start + max(1, min(n, words) - self.size + 1))
@@ -148,8 +175,6 @@ class Index:
                     yield a + r, self.ids[item], value, start, n, distance
 
     def _windows(self, here: np.ndarray, weights: np.ndarray, words: int, n: int, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        if n < self.size and words != n:
-            return
         wide = min(n, words)
         span, last = max(1, wide - self.size + 1), words - wide
         begin = np.zeros(last + 2, np.int64)
@@ -219,8 +244,9 @@ def _marked(rows: DataFrame, part, size: int) -> DataFrame:
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, list]:
-    """docs, with the column SHARED if one broadcast can't hold the weights; arguments of Index, broadcast, of the benchmark in blocks of
+    """docs, with the column SHARED if one broadcast can't hold the weights; arguments of Index, broadcast, and a name, of the benchmark in blocks of
     about BLOCK_BYTES of text: one for a usual benchmark."""
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -232,18 +258,23 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFram
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
         block = ([r["item_id"] for r in rows], [r["text"] for r in rows]), [r[SHARED] if rest else None for r in rows]
         held.append(docs.sparkSession.sparkContext.broadcast(block))
-    return docs, [(block, first) for block in held]
+    return docs, [(block, first, uuid.uuid4().hex) for block in held]
 
 
 def _index(held: tuple, size: int) -> Index:
-    (block, more), shared = held[0].value, held[1].value
-    return Index(*block, size, shared, more)
+    """The index of a block, kept by the worker from task to task."""
+
+    def make() -> Index:
+        (block, more), shared = held[0].value, held[1].value
+        return Index(*block, size, shared, more)
+
+    return T.kept(held[2], make)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """SCHEMA rows: for each row of docs (doc_id, text) and each item (item_id, text) that it holds, the best window.
 
-    A null or empty text holds and is no item; an item of fewer than `size` words is held only by a text of the same words alone.
+    A null or empty text holds and is no item; an item of fewer than `size` words is held by a text with its words in a row.
     n_words is the window's size: the item's, or the text's if that is shorter.
     Repeated documents give repeated rows; equal items are found each. Other columns are not read. No documents or items: no rows.
     """
@@ -258,6 +289,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
                 rows = list(index.matches(batch.column("text"), batch.column(SHARED) if SHARED in batch.schema.names else None, threshold))
                 column = lambda k, kind: pa.array([r[k] for r in rows], kind)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(column(0, pa.int64())), column(1, pa.int64()), column(2, pa.float64()), column(3, pa.int64()), column(4, pa.int64()), column(5, pa.int32())], names=["doc_id", "item_id", "similarity", "start_word", "n_words", "hamming"])
+            T.tidy(held[2])
 
         one = docs.mapInArrow(run, SCHEMA)
         found = one if found is None else found.union(one)
@@ -265,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; all columns and all other rows stay, nulls included."""
+    """docs without the rows whose text holds a benchmark item; all columns and all other rows stay, nulls, empty texts and repeated rows included."""
     columns = docs.columns
     docs, indexes = _indexes(docs, benchmark, size)
     for held in indexes:
@@ -276,6 +308,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshol
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r[0] for r in index.matches(batch.column("text").cast(pa.string()), batch.column(SHARED) if SHARED in batch.schema.names else None, threshold)]] = False
                 yield batch.filter(pa.array(keep))
+            T.tidy(held[2])
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs.select(*columns)

@@ -133,7 +133,7 @@ def test_contamination_against_all_windows(spark):
         words = [w.decode() for w in words]
         for i, bag in enumerate(bags):
             n = len(items[i].split())
-            for s in range(len(words) - n + 1) if n >= 5 or len(words) == n else []:
+            for s in range(len(words) - n + 1):
                 other = Counter(_grams(words[s : s + n]))
                 both = sum(weight(g) * min(c, bag[g]) for g, c in other.items())
                 every = sum(weight(g) * max(bag[g], other[g]) for g in set(bag) | set(other))
@@ -211,6 +211,45 @@ def test_packing_is_a_partition_of_all_ids(spark):
     assert op4.pack(_docs(spark, []), op4.public_tokenizer()).count() == 0
 
 
+def test_the_search_misses_few_windows_just_above_the_threshold():
+    random.seed(21)
+    items = [" ".join(f"w{random.randint(0, 5000)}" for _ in range(random.choice((20, 35, 59)))) for _ in range(150)]
+    index = op1.Index(list(range(len(items))), items, 5, np.zeros(0, op1._PAIR), [None] * len(items))
+    met = near = 0
+    for i, item in enumerate(items):
+        for _ in range(12):
+            words = item.split()
+            for at in sorted(random.sample(range(len(words)), random.randint(1, 2))):
+                words[at] = f"z{random.randint(0, 5000)}"
+            a, b = (set(zip(*[x[k:] for k in range(5)])) for x in (words, item.split()))
+            value = len(a & b) / len(a | b)
+            if 0.8 <= value < 0.9:
+                near += 1
+                met += any(r[1] == i for r in index.matches(pa.array([" ".join(words)]), None, 0.8))
+    assert near > 300 and met >= 0.995 * near
+
+
+def test_buckets_hold_all_items_within_the_radius():
+    random.seed(22)
+    items = [" ".join(f"w{random.randint(0, 900)}" for _ in range(12)) for _ in range(150)]
+    index = op1.Index(list(range(len(items))), items, 5, np.zeros(0, op1._PAIR), [None] * len(items))
+    prints = np.array([int(index.print[random.randrange(150)]) ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 24))) for _ in range(400)], np.uint64)
+    every = np.bitwise_count(prints[:, None] ^ index.print[None, :])
+    expected = {(int(p), int(i), int(every[p, i])) for p, i in np.argwhere(every <= op1.RADIUS)}
+    assert {tuple(map(int, x)) for x in index.within(prints, 12)} == expected and len(expected) > 200
+
+
+def test_decontamination_keeps_all_else(spark):
+    item = " ".join(f"b{i}" for i in range(14))
+    rows = [(1, f"x {item} y", "a"), (1, "clean", "b"), (1, "clean", "b"), (None, None, None), (2, "", ""), (None, item.upper(), "c"), (3, "says yes now", "d"), (4, "yes", "e"), (5, "yesterday", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string").withColumn("similarity", F.lit(1))
+    benchmark = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, "Yes", 1), (None, "clean", 1), (9, None, 1), (10, "", 1)], "item_id long, text string, doc_id int")
+    kept = op1.decontaminate(docs, benchmark)
+    assert kept.schema == docs.schema and sorted((r.item_id or "") for r in kept.collect()) == ["", "", "b", "b", "f"]
+    assert op1.decontaminate(docs.where("doc_id > 99"), benchmark).count() == 0 and op1.decontaminate(docs, benchmark.where("item_id > 99")).count() == len(rows)
+    assert sorted({(r.doc_id, r.item_id) for r in op1.contaminated(docs, benchmark).collect()}, key=repr) == sorted([(1, 7), (None, 7), (3, 8), (4, 8)], key=repr)
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_packing_wastes_little(spark, cut):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").coalesce(2)
