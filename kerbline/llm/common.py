@@ -34,11 +34,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 SALTS = 16
 
 
-def salted_join(large: DataFrame, small: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
-    """The join of large and small on a column, rows of a hot key of large dealt to SALTS tasks by another column; small goes to all of them."""
+def salted_join(large: DataFrame, small: DataFrame, on: str | list[str], by: str, how: str = "inner") -> DataFrame:
+    """The join of large and small on columns, rows of a hot key of large dealt to SALTS tasks by another column; small goes to all of them."""
     (salt,) = fresh(large, *fresh(small, "salt"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return large.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [on, salt], how).drop(salt)
+    keys = [on] if isinstance(on, str) else on
+    return large.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [*keys, salt], how).drop(salt)
 
 
 BATCH_BYTES = 8 << 20

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import text as T
-from kerbline.llm.common import bounded_batches, checkpoint, components, marked, table
+from kerbline.llm.common import bounded_batches, checkpoint, components, marked, salted_join, table
 
 BUCKET_BITS, PARTS, LEAF, SMALL = 20, 64, 1024, 8
 
@@ -374,7 +374,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     members = members.groupBy("pivot", "key").agg(F.count("*").alias("times"), F.min("small").alias("small")).where("not small or times > 1")
     members = checkpoint(members.select(F.explode(F.array(F.struct("pivot", "key"), F.struct("pivot", F.col("pivot").alias("key")))).alias("x")).select("x.*").distinct())
     ids = read.where("part is null").select("doc_id", "n", "key")
-    first = ids.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
+    first = checkpoint(ids.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     wanted = first.join(members.select("key").distinct(), "key", "left_semi").select("rep")
     sets = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_packed_sets(size, marked(wanted)), "key long, shingles binary").dropDuplicates(["key"])
     regions = members.join(sets, "key").repartition("pivot").sortWithinPartitions("pivot", F.col("key") != F.col("pivot"), "key")
@@ -386,8 +386,10 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     rep = first.groupBy("key").agg(F.min("rep").alias("rep"))
     links = links.join(rep.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a").join(rep.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b")
     root = components(links, "x", "y").withColumnsRenamed({"node": "rep", "root": "component_id"})
-    out = ids.join(first, ["key", "n"], "left").join(root, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+    # a large group of copies is dealt to several tasks; a set without copies stands for itself
+    ids = salted_join(ids, first.where("copies > 1").drop("copies"), ["key", "n"], "doc_id", "left").withColumn("own", F.coalesce("rep", "doc_id")).drop("rep")
+    out = salted_join(ids, root.withColumnRenamed("rep", "own"), "own", "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "own").alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
