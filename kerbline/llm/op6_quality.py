@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import text as T
-from kerbline.llm.common import table
+from kerbline.llm.common import bounded_batches, table
 
 BINS, DEPTH, TREES, RATE, LEAST_ROWS = 64, 4, 60, 0.15, 20
 FEATURES = (
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Trees:
     """Trees from docs (doc_id, text) and labels (doc_id, quality 0/1); labels of other values are left out.
 
     It learns from at most `rows` labelled documents, those of least hash, whatever the input's size; only their statistics
-    reach the driver. Labels of no or one class give a constant score.
+    reach the driver, one row an id: of repeated rows of an id the one whose statistics come first. Labels of no or one class give a constant score.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     chosen = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -155,8 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Trees:
         for batch in batches:
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+        T.tidy()
 
-    got = texts.mapInArrow(run, "doc_id long, quality double, x binary").toPandas().sort_values(["doc_id", "x"])
+    bounded_batches(docs.sparkSession)
+    one = texts.mapInArrow(run, "doc_id long, quality double, x binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    got = one.toPandas().sort_values(["doc_id", "x"])  # at most `rows` rows
     if not len(got):
         return _flat([[0, np.inf, 0, 0, 0.0]], [], 0.0)
     x = np.stack([np.frombuffer(v, np.float32) for v in got.x]).astype(np.float64)
@@ -174,7 +177,9 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("quality_score", pa.array(held.value.predict(statistics(batch.column("text").cast(pa.string())).astype(np.float64)), pa.float64()))
+        T.tidy()
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.withColumn("quality_score", F.lit(0.0)).schema)
 
 

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import WORD_SEPARATORS, table
+from kerbline.llm.common import WORD_SEPARATORS, fresh, table
 
 K, BINS, PLACE_BITS = 3, 64, 24
-_ROW_COLUMNS = ("_words", "_kmers", "_runs", "_each", "_numbered", "_least", "_pairs")
 
 
 def _high(x: Column) -> Column:
@@ -34,33 +33,34 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     """df with the components of a text's fingerprint, an array of strings: two hex digits of place and sixteen of hash.
 
     A null text is empty; a text without words has no component; one of fewer than K words is one k-mer. Texts may be of any length:
-    beyond 2 ** PLACE_BITS words places repeat, which can only change an order. Columns of the names in _ROW_COLUMNS are not kept.
+    beyond 2 ** PLACE_BITS words places repeat, which can only change an order. All columns stay, but for one of that name.
     """
-    n = F.size("_words")
+    words, kmers, runs, each, numbers, least, pairs = fresh(df, "f_words", "f_kmers", "f_runs", "f_each", "f_numbered", "f_least", "f_pairs")
+    n = F.size(words)
     item = lambda array, j: F.coalesce(F.get(array, j), F.lit(0).cast("long"))
-    kmer = lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(K)])
+    kmer = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)])
     first_of = lambda array, shift: lambda j: (j == 0) | (F.shiftright(F.get(array, j), shift) != F.shiftright(F.get(array, j - 1), shift))
     packed = lambda h, i: F.coalesce(F.shiftleft(_high(h), PLACE_BITS).bitwiseOR(_place(i.cast("long"))), F.lit(0).cast("long"))
-    df = df.withColumn("_words", F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS), lambda w: w != ""))
+    df = df.withColumn(words, F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS), lambda w: w != ""))
     starts = F.when(n >= K, F.sequence(F.lit(0), n - K)).when(n > 0, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)"))
-    df = df.withColumn("_kmers", F.sort_array(F.transform(starts, lambda i: packed(kmer(i), i))))
-    df = df.withColumn("_runs", F.filter(_count("_kmers"), first_of(F.col("_kmers"), PLACE_BITS)))
-    df = df.withColumn("_each", F.flatten(F.transform("_runs", lambda s, r: F.sequence(F.lit(0), F.coalesce(F.get("_runs", r + 1), F.size("_kmers")) - s - 1))))
-    both = F.arrays_zip("_kmers", "_each")  # a zip, as an array read once within a function would be made anew for each element
-    numbered = F.transform(both, lambda x: packed(F.xxhash64(_high(x["_kmers"]), x["_each"]), _place(x["_kmers"])))
-    df = df.withColumn("_numbered", F.sort_array(numbered)).drop("_words", "_kmers", "_runs", "_each")
+    df = df.withColumn(kmers, F.sort_array(F.transform(starts, lambda i: packed(kmer(i), i))))
+    df = df.withColumn(runs, F.filter(_count(kmers), first_of(F.col(kmers), PLACE_BITS)))
+    df = df.withColumn(each, F.flatten(F.transform(runs, lambda s, r: F.sequence(F.lit(0), F.coalesce(F.get(runs, r + 1), F.size(kmers)) - s - 1))))
+    both = F.arrays_zip(kmers, each)  # a zip, as an array read once within a function would be made anew for each element
+    numbered = F.transform(both, lambda x: packed(F.xxhash64(_high(x[kmers]), x[each]), _place(x[kmers])))
+    df = df.withColumn(numbers, F.sort_array(numbered)).drop(words, kmers, runs, each)
     bits = 64 - (BINS.bit_length() - 1)
-    df = df.withColumn("_least", F.transform(F.filter(_count("_numbered"), first_of(F.col("_numbered"), bits)), lambda j: item("_numbered", j))).drop("_numbered")
-    df = df.withColumn("_pairs", F.filter(_count("_least"), first_of(F.col("_least"), bits + 1)))
+    df = df.withColumn(least, F.transform(F.filter(_count(numbers), first_of(F.col(numbers), bits)), lambda j: item(numbers, j))).drop(numbers)
+    df = df.withColumn(pairs, F.filter(_count(least), first_of(F.col(least), bits + 1)))
 
     def component(j: Column) -> Column:
-        a, b = F.get("_least", j), F.get("_least", j + 1)
+        a, b = F.get(least, j), F.get(least, j + 1)
         place = F.shiftright(a, bits + 1)
         alone = b.isNull() | (F.shiftright(b, bits + 1) != place)
         h = F.when(alone, F.xxhash64(_high(a))).when(_place(a) < _place(b), F.xxhash64(_high(a), _high(b))).otherwise(F.xxhash64(_high(b), _high(a)))
         return F.concat(F.lpad(F.hex(place + BINS // 4), 2, "0"), F.lpad(F.hex(h), 16, "0"))
 
-    return df.withColumn(name, F.transform("_pairs", component)).drop("_least", "_pairs")
+    return df.withColumn(name, F.transform(pairs, component)).drop(least, pairs)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -72,7 +72,8 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with a string column fingerprint; all rows and columns stay, one of that name is replaced. No rows: none."""
-    return with_fingerprint(docs, F.col("text").cast("string"), "_components").withColumn("fingerprint", F.concat_ws("", "_components")).drop("_components")
+    (parts,) = fresh(docs, "f_components")
+    return with_fingerprint(docs, F.col("text").cast("string"), parts).withColumn("fingerprint", F.concat_ws("", parts)).drop(parts)
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,6 +83,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     it, and each range is one window: no global sort, whatever the number of rows. Equal ids are ordered by the columns.
     """
     spark = rows.sparkSession
+    part, key_, dealt, following = fresh(rows, "n_range", "n_key", "n_to", "n_next")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     count = rows.count()
     wide = max(1, min(128, round((count / 1000) ** 0.5), int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -92,18 +94,19 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     lit = lambda x, kind: F.lit(x).cast(kind) if x else F.expr(f"cast(array() as {kind})")
     coarse = larger(lit(outer, "array<bigint>"))
     nested = F.array(*[lit(x, "array<bigint>") for x in inner]) if inner else F.array(F.expr("cast(array() as array<bigint>)"))
-    ranged = rows.withColumn("_coarse", coarse).withColumn("_range", F.col("_coarse") * (wide + 1) + larger(F.coalesce(F.get(nested, F.col("_coarse")), F.expr("cast(array() as array<bigint>)")))).drop("_coarse")
-    heads = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.max(key).alias("head")).collect())  # a row per range
+    fine = larger(F.coalesce(F.get(nested, coarse), F.expr("cast(array() as array<bigint>)")))
+    ranged = rows.withColumn(part, coarse * (wide + 1) + fine)
+    heads = sorted(tuple(r) for r in ranged.groupBy(part).agg(F.max(key).alias("head")).collect())  # a row per range
     before = {r: heads[i - 1][0] for i, (r, _) in enumerate(heads)}
     top = max((r for r, _ in heads), default=0) + 1
     first = lit([dict(heads).get(r) for r in range(top)], "array<bigint>")
     to = lit([before.get(r) for r in range(top)], "array<int>")
-    own = F.struct(F.col("_range").alias("at"), F.lit(False).alias("sent"))
-    sent = F.struct(F.get(to, F.col("_range")).alias("at"), F.lit(True).alias("sent"))
-    rows = ranged.withColumn("_key", key).withColumn("_to", F.explode(F.when(F.col("_key") == F.get(first, F.col("_range")), F.array(own, sent)).otherwise(F.array(own))))
-    order = Window.partitionBy("_to.at").orderBy("_to.sent", F.desc("_key"), *columns)
-    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where("not _to.sent")
-    return rows.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop("_to", "_key", "_range", "_next")
+    own = F.struct(F.col(part).alias("at"), F.lit(False).alias("sent"))
+    sent = F.struct(F.get(to, F.col(part)).alias("at"), F.lit(True).alias("sent"))
+    rows = ranged.withColumn(key_, key).withColumn(dealt, F.explode(F.when(F.col(key_) == F.get(first, F.col(part)), F.array(own, sent)).otherwise(F.array(own))))
+    order = Window.partitionBy(f"{dealt}.at").orderBy(f"{dealt}.sent", F.desc(key_), *columns)
+    rows = rows.withColumn(following, F.lead(F.struct(*columns)).over(order)).where(f"not {dealt}.sent")
+    return rows.select("*", *[F.col(f"{following}.{c}").alias(f"next_{c}") for c in columns]).drop(dealt, key_, part, following)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

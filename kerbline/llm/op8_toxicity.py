@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm import text as T
@@ -214,10 +214,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a[0], 1e-3)), float(a[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 96) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 96, sentences_each: int = 500) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic 0/1); labels of other values are left out.
 
-    It learns from at most `rows` labelled documents of either class (those of least hash, whatever the input's size).
+    It learns from at most `rows` labelled documents of either class (those of least hash, whatever the input's size), and from at most
+    `sentences_each` different sentences of each document that are like a landmark (those of least hash); repeated rows of a document count once.
     Without both classes the model gives every text the share of toxic labels.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null")
@@ -264,7 +265,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
         T.tidy(owner)
 
     bounded_batches(docs.sparkSession)
-    got = texts.mapInArrow(features, "doc_id long, toxic int, x binary").groupBy("doc_id", "toxic", "x").count().toPandas().sort_values(["doc_id", "x"], na_position="first")
+    found = texts.mapInArrow(features, "doc_id long, toxic int, x binary").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("x").isNotNull(), F.xxhash64("x"), "x"))
+    got = found.withColumn("rank", rank).where(F.col("rank") <= sentences_each + 1).drop("rank").toPandas().sort_values(["doc_id", "x"], na_position="first")
     label = got[got.x.isna()].set_index("doc_id").toxic.groupby(level=0).max()
     got = got[got.x.notna()]
     own, y = got.doc_id.to_numpy(), got.toxic.to_numpy()

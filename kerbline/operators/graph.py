@@ -17,18 +17,10 @@ from kerbline.operators.lineage import checkpoint
 
 
 def reachable(edges: DataFrame, start: int, src: str = "vertexStartId", dst: str = "vertexEndId") -> DataFrame:
-    """(id, hops) of all vertices that directed edges reach from start, itself included, breadth first."""
-    edges = checkpoint(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
-    seen = checkpoint(edges.sparkSession.createDataFrame([(start, 0)], "id long, hops int"))
-    frontier, hops = seen, 0
-    while not frontier.isEmpty():
-        hops += 1
-        step = edges.join(frontier, edges["s"] == frontier["id"], "left_semi").select(F.col("d").alias("id")).distinct()
-        frontier = checkpoint(step.join(seen, "id", "left_anti").withColumn("hops", F.lit(hops)))
-        seen = seen.union(frontier)
-        if hops % 16 == 0:
-            seen = checkpoint(seen)
-    return seen
+    """(id, hops) of all vertices that directed edges reach from start, itself included, by the fewest edges."""
+    near = edges.select(F.col(src).alias("s"), F.col(dst).alias("d"), F.lit(1).cast("long").alias("c")).where("s <> d").distinct()
+    asked = edges.sparkSession.createDataFrame([(0, start, [])], "request long, start long, targets array<long>")
+    return _searched(_blocked(near), asked).select("id", F.col("cost").cast("int").alias("hops"))
 
 
 def components(edges: DataFrame, src: str = "vertexStartId", dst: str = "vertexEndId") -> DataFrame:
@@ -129,18 +121,39 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, cost: str = "distance"
     equal cost the least is taken, of equal ways to a vertex the one from the least vertex.
     """
     whole = F.greatest(F.round(F.col(cost).cast("double") * PARTS).cast("long"), F.lit(1))
-    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
     near = edges.where("vertexStartId <> vertexEndId").groupBy(F.col("vertexStartId").alias("s"), F.col("vertexEndId").alias("d")).agg(F.min(whole).alias("c"))
-    near = checkpoint(near.withColumn("block", block("s")))
-    asked = checkpoint(requests.select("request", "start", F.array_distinct("targets").alias("targets")))
+    near = _blocked(near)
+    # what no edge leads to is no target, and without a target there is nothing to search
+    ends = requests.select("request", "start", F.explode("targets").alias("id")).distinct()
+    ends = ends.where("id = start").unionByName(ends.where("id <> start").join(near.select(F.col("d").alias("id")).distinct(), "id", "left_semi"))
+    asked = checkpoint(ends.groupBy("request", "start").agg(F.collect_set("id").alias("targets")))
+    best = _searched(near, asked)
+    ends = checkpoint(best.where("goal").groupBy("request").agg(F.min(F.struct("cost", "id")).alias("end")).select("request", "end.*"))
+    # edges along which a state's cost was reached; of several the one from the least vertex
+    kept = best.select("request", "id", "cost").join(ends.select("request", F.col("cost").alias("most")), "request").where("cost <= most").drop("most")
+    ahead = kept.join(near, F.col("id") == F.col("s")).select("request", F.col("d").alias("id"), F.col("id").alias("above"), (F.col("cost") + F.col("c")).alias("cost"))
+    links = ahead.join(kept, ["request", "id", "cost"]).groupBy("request", F.col("id").alias("node")).agg(F.min("above").alias("above"))
+    return _walked(ends, checkpoint(links))
+
+
+def _block(c: str) -> Column:
+    return F.floor(F.col(c) / BLOCK).cast("long")
+
+
+def _blocked(near: DataFrame) -> DataFrame:
+    return checkpoint(near.withColumn("block", _block("s")))
+
+
+def _searched(near: DataFrame, asked: DataFrame) -> DataFrame:
+    """(request, id, cost, goal): least costs of the vertices around the start of each of asked (request, start, targets), at least to its cheapest target."""
     goals = asked.select("request", F.explode("targets").alias("id")).withColumn("goal", F.lit(True))
     best = asked.select("request", F.col("start").alias("id"), F.lit(0).cast("long").alias("cost"), F.lit(True).alias("new"))
     best = checkpoint(best.join(goals, ["request", "id"], "left"))
     while True:
         bound = best.where("goal").groupBy("request").agg(F.min("cost").alias("most"))
-        entered = best.where("new").select("request", "id", "cost", block("id").alias("block")).join(bound, "request", "left").where("most is null or cost <= most")
+        entered = best.where("new").select("request", "id", "cost", _block("id").alias("block")).join(bound, "request", "left").where("most is null or cost <= most")
         if entered.isEmpty():
-            break
+            return best
         entered = entered.join(asked.select("request", "targets"), "request")
         deals = entered.groupBy("block").agg(F.ceil(F.count("*") / SEARCHES).cast("int").alias("deals"))
         states = entered.join(deals, "block").select("request", "id", "cost", "most", "targets", "block", F.pmod(F.xxhash64("request"), F.col("deals")).cast("int").alias("deal"))
@@ -151,12 +164,6 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, cost: str = "distance"
         both = best.drop("new").join(found.join(goals.withColumnRenamed("goal", "aim"), ["request", "id"], "left"), ["request", "id"], "full")
         better = F.col("next").isNotNull() & (F.col("cost").isNull() | (F.col("next") < F.col("cost")))
         best = checkpoint(both.select("request", "id", F.least("cost", "next").alias("cost"), (better & F.col("enters")).alias("new"), F.coalesce("goal", "aim").alias("goal")))
-    ends = checkpoint(best.where("goal").groupBy("request").agg(F.min(F.struct("cost", "id")).alias("end")).select("request", "end.*"))
-    # edges along which a state's cost was reached; of several the one from the least vertex
-    kept = best.select("request", "id", "cost").join(ends.select("request", F.col("cost").alias("most")), "request").where("cost <= most").drop("most")
-    ahead = kept.join(near, F.col("id") == F.col("s")).select("request", F.col("d").alias("id"), F.col("id").alias("above"), (F.col("cost") + F.col("c")).alias("cost"))
-    links = ahead.join(kept, ["request", "id", "cost"]).groupBy("request", F.col("id").alias("node")).agg(F.min("above").alias("above"))
-    return _walked(ends, checkpoint(links))
 
 
 def _walked(ends: DataFrame, links: DataFrame) -> DataFrame:

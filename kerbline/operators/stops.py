@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.operators.graph import components
+from kerbline.operators.lineage import checkpoint
 from kerbline.operators.spatial import within_distance
 
 
 def cluster(stops: DataFrame, km: float) -> DataFrame:
-    """(id, leader) for stops (id, lat, lng). The order of ids decides, so only stops that chains of close pairs join need one task together."""
-    close = within_distance(stops.select("id", "lat", "lng"), stops.select("id", "lat", "lng"), km, "haversine").where("l.id < r.id")
-    close = close.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    part = components(close, "a", "b")
+    """(id, leader) for stops (id, lat, lng), in rounds instead of one by one.
 
-    def lead(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(rows.a, rows.b, strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, [])
-        leader: dict[int, int] = {}
-        for x in sorted(near):
-            if x not in leader:
-                leader[x] = x
-                leader.update((y, x) for y in near[x] if y not in leader)
-        return pd.DataFrame({"id": list(leader), "leader": list(leader.values())})
-
-    grouped = close.join(part.select(F.col("node").alias("a"), "root"), "a").groupBy("root").applyInPandas(lead, "id long, leader long")
-    return stops.select("id").join(grouped, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    Of the places left, those without a smaller one close by that is left lead, and what is close to them follows; at the end each follower takes its
+    least leader, which would have come first. Stops of equal coordinates are one place, named by its least id. The rounds count the
+    longest run of rising ids within reach of each other.
+    """
+    places = checkpoint(stops.groupBy("lat", "lng").agg(F.min("id").alias("id")))
+    close = within_distance(places, places, km, "haversine").where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    close = checkpoint(close)
+    left, leaders = close, None
+    while not left.isEmpty():
+        lead = checkpoint(left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")), "id", "left_anti"))
+        leaders = lead if leaders is None else leaders.union(lead)
+        gone = lead.union(left.join(lead.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))).distinct()
+        rest = left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        # a place whose smaller neighbours all follow others has lost its pairs with them, and leads
+        free = left.select(F.col("b").alias("id")).union(left.select(F.col("a").alias("id"))).distinct().join(gone, "id", "left_anti")
+        alone = free.join(rest.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti")
+        leaders, left = checkpoint(leaders.union(alone)), checkpoint(rest)
+    if leaders is not None:
+        least = close.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+        places = places.join(least.join(leaders, "id", "left_anti"), "id", "left")
+    else:
+        places = places.withColumn("leader", F.lit(None).cast("long"))
+    return stops.select("id", "lat", "lng").join(places.withColumnRenamed("id", "place"), ["lat", "lng"]).select("id", F.coalesce("leader", "place").alias("leader"))

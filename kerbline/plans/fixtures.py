@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbline.operators.tables import dense_ids
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 DERIVED = {
     "street_vertex": """SELECT CAST(c_custkey + 1 AS BIGINT) AS id, CAST(-34.62 + CAST(FLOOR(c_custkey / 40) AS BIGINT) * 0.001 AS DOUBLE) AS lat,
@@ -39,10 +41,15 @@ DERIVED = {
         ON b.sequence = a.sequence AND b.travelInfoId > a.travelInfoId AND b.travelInfoId <= a.travelInfoId + 2 GROUP BY a.id, a.travelInfoId, b.travelInfoId""",
     "shape": """SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey % 7 - 3 AS DOUBLE) AS x1, CAST(p_partkey % 5 - 2 AS DOUBLE) AS y1, CAST(p_partkey % 11 - 5 AS DOUBLE) AS x2,
         CAST(p_partkey % 9 - 4 AS DOUBLE) AS y2, CAST(p_partkey % 6 - 3 AS DOUBLE) AS x3, CAST(p_partkey % 8 - 4 AS DOUBLE) AS y3, CAST(p_partkey % 13 - 6 AS DOUBLE) AS x4, CAST(p_size % 10 - 5 AS DOUBLE) AS y4 FROM part""",
+    "zone_edge": """SELECT e.vertexStartId, e.vertexEndId, e.distance, e.wayId FROM street_edge e JOIN customer a ON a.c_custkey + 1 = e.vertexStartId
+        JOIN customer b ON b.c_custkey + 1 = e.vertexEndId WHERE a.c_nationkey % 2 = b.c_nationkey % 2""",
     "leg": """SELECT a.id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM stop a JOIN stop b ON b.id = a.id + 26 + a.id % 3""",
 }
 
 
+_NUMBERED = "CAST(ROW_NUMBER() OVER (ORDER BY vertexStartId, vertexEndId) AS BIGINT) AS id, "
+
+
 def _needs(sql: str) -> list[str]:
     return [x for x in DERIVED if re.search(rf"\b{x}\b", sql)]
 
@@ -64,10 +71,17 @@ def oracle(sql: str) -> str:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived or given relation as a DataFrame."""
+    """A derived or given relation as a DataFrame. Rows that SQL numbers over the whole relation are numbered by ranges here."""
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = DERIVED[name]
+    if _NUMBERED in sql:
+        rows = _spark_sql(spark, sf_dir, name, sql.replace(_NUMBERED, ""))
+        return dense_ids(rows, ["vertexStartId", "vertexEndId"]).select("id", *rows.columns)
+    return _spark_sql(spark, sf_dir, name, sql)
+
+
+def _spark_sql(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     used = [x for x in (*BASE, *DERIVED) if x != name and re.search(rf"(?:FROM|JOIN) {x}\b", sql)]
     text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", sql)
     return spark.sql(text, **{x: relation(spark, sf_dir, x) for x in used})

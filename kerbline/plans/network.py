@@ -50,48 +50,47 @@ def gra_06(t):
     return rows.select("vertexStartId", "vertexEndId", r6(G.haversine_km("start_lat", "start_lng", "end_lat", "end_lng")).alias("km"))
 
 
-_CC = "e AS (SELECT vertexStartId AS a, vertexEndId AS b FROM street_edge WHERE wayId % 5 <> 0 UNION SELECT vertexEndId, vertexStartId FROM street_edge WHERE wayId % 5 <> 0), r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)"
+_CC = "e AS (SELECT vertexStartId AS a, vertexEndId AS b FROM zone_edge UNION SELECT vertexEndId, vertexStartId FROM zone_edge), r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)"
 
 
 def _recursive(sql: str) -> str:
     from kerbline.plans import fixtures
 
-    return fixtures.oracle(f"SELECT * FROM street_edge").removesuffix(" SELECT * FROM street_edge").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + sql
-
-
-def _some(t):
-    return t("street_edge").where("wayId % 5 <> 0")
+    return fixtures.oracle("SELECT * FROM zone_edge").removesuffix(" SELECT * FROM zone_edge").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + sql
 
 
 @query("gra-08")
 def gra_08(t):
-    return N.reachable(_some(t), 2).select("id")
+    return N.reachable(t("zone_edge"), 2).select("id")
 
 
 @query("gra-09")
 def gra_09(t):
-    return N.components(_some(t))
+    return N.components(t("zone_edge"))
 
 
 @query("gra-10")
 def gra_10(t):
-    return N.largest_component(_some(t))
+    return N.largest_component(t("zone_edge"))
 
 
 @query("gra-11")
 def gra_11(t):
-    return N.is_connected(_some(t))
+    return N.is_connected(t("zone_edge"))
 
 
-@query("gra-07", "SELECT CAST(1520 AS BIGINT) AS edges, CAST(400 AS BIGINT) AS vertices FROM (SELECT count(*) AS n FROM region) q WHERE n > 0")
+@query("gra-07", "SELECT CAST(2 * (n * (2 * n - 1) + 2 * n * (n - 1)) AS BIGINT) AS edges, CAST(2 * n * n AS BIGINT) AS vertices, CAST(2 * n * n * (2 * n * n + 1) / 2 * 4 - (2 * n * n * (2 * n * n + 1) / 2) * 4 AS BIGINT) AS unlike FROM (SELECT count(*) AS n FROM nation) q")
 def gra_07(t):
-    grid = N.grid(t.spark, 20, 20)
-    return grid.agg(F.count("*").alias("edges"), F.count_distinct("vertexStartId").alias("vertices"))
+    n = t("nation").count()
+    edges = N.grid(t.spark, n, 2 * n)
+    both = edges.join(edges.select(C("vertexStartId").alias("vertexEndId"), C("vertexEndId").alias("vertexStartId")), ["vertexStartId", "vertexEndId"], "left_anti")
+    return edges.agg(F.count("*").alias("edges"), F.count_distinct("vertexStartId").alias("vertices")).join(both.agg(F.count("*").alias("unlike")))
 
 
 def _requests(t):
-    far = t("street_vertex").where("id % 50 = 1").select(C("id").alias("request"), C("id").alias("start"), F.array(F.lit(20).cast("long"), F.lit(90).cast("long")).alias("targets"))
-    return far
+    """Every fiftieth vertex, to the nearest of three vertices a few streets away."""
+    targets = F.array(*[C("id") + n for n in (43, 122, 160)])
+    return t("street_vertex").where("id % 50 = 0").select(C("id").alias("request"), C("id").alias("start"), targets.alias("targets"))
 
 
 def _costed(t):
@@ -99,9 +98,27 @@ def _costed(t):
     return rows.withColumn("cost", G.haversine_km("start_lat", "start_lng", "end_lat", "end_lng"))
 
 
-@query("gra-13")
+# On the street grid a cheapest path changes its column along the lower of both rows, where a column is narrowest.
+_ROW, _COLUMN = "((({0}) - 1) // 40)", "((({0}) - 1) % 40)"
+_NANO = "CAST(round({} * 1e9) AS BIGINT)"
+
+
+def _grid_cost(a: str, b: str) -> str:
+    """SQL: the cost of a cheapest path between two vertices of the street grid, by their ids."""
+    rows = f"abs({_ROW.format(a)} - {_ROW.format(b)})"
+    columns = f"abs({_COLUMN.format(a)} - {_COLUMN.format(b)})"
+    lat = f"(-34.62 + least({_ROW.format(a)}, {_ROW.format(b)}) * 0.001)"
+    return f"(({rows} * {_NANO.format(km('-34.62', '-58.42', '-34.619', '-58.42'))} + {columns} * {_NANO.format(km(lat, '-58.42', lat, '-58.419'))}) / 1e9)"
+
+
+_TARGETS = f"""SELECT q.id AS request, {s6('min(c)')} AS cost, arg_min(hops, c) + 1 AS vertices, arg_min(target, c) AS target FROM
+    (SELECT v.id, w.id AS target, {_grid_cost('v.id', 'w.id')} AS c, abs({_ROW.format('v.id')} - {_ROW.format('w.id')}) + abs({_COLUMN.format('v.id')} - {_COLUMN.format('w.id')}) AS hops
+     FROM street_vertex v JOIN street_vertex w ON w.id IN (v.id + 43, v.id + 122, v.id + 160) WHERE v.id % 50 = 0) q GROUP BY q.id"""
+
+
+@query("gra-13", f"SELECT request, cost FROM ({_TARGETS}) z")
 def gra_13(t):
-    return N.shortest_paths(_costed(t), _requests(t), "cost").select("request", F.array_join(C("path").cast("array<string>"), ",").alias("path"), r6(C("cost")).alias("cost"))
+    return N.shortest_paths(_costed(t), _requests(t), "cost").select("request", r6(C("cost")).alias("cost"))
 
 
 @query("gra-14")
@@ -128,9 +145,14 @@ def gra_17(t):
     return N.walk_cost(rows, t("street_vertex")).select("id", r6(C("cost")).alias("cost"))
 
 
-@query("gra-18")
+@query("gra-18", f"SELECT request, request AS first, target AS last, CAST(vertices AS INT) AS vertices, CAST(vertices - 1 AS BIGINT) AS steps FROM ({_TARGETS}) z")
 def gra_18(t):
-    return gra_13(t).select("request", F.size(F.split("path", ",")).alias("vertices"))
+    """Paths, and how many of their steps are edges."""
+    paths = N.shortest_paths(_costed(t), _requests(t), "cost").select("request", "path")
+    steps = paths.select("request", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("s"), F.slice("path", 2, F.size("path") - 1).alias("d"))).alias("x")).select("request", "x.s", "x.d")
+    known = t("street_edge").select(C("vertexStartId").alias("s"), C("vertexEndId").alias("d"))
+    steps = steps.join(known, ["s", "d"], "left_semi").groupBy("request").agg(F.count("*").alias("steps"))
+    return paths.join(steps, "request").select("request", C("path")[0].alias("first"), F.element_at("path", -1).alias("last"), F.size("path").alias("vertices"), "steps")
 
 
 @query("gra-19", f"SELECT e.id FROM sidewalk_edge e JOIN street_vertex a ON a.id = e.vertexStartId JOIN street_vertex b ON b.id = e.vertexEndId WHERE least({km('a.lat', 'a.lng', str(LAT), str(LNG))}, {km('b.lat', 'b.lng', str(LAT), str(LNG))}) <= 0.5")
@@ -397,7 +419,7 @@ def _oracles() -> None:
     ORACLES["gra-09"] = _recursive(_CC + " SELECT node, min(root) AS root FROM r GROUP BY node")
     ORACLES["gra-10"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT node FROM m WHERE root = (SELECT root FROM m GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)")
     ORACLES["gra-11"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT count(DISTINCT root) <= 1 AS connected FROM m")
-    ORACLES["gra-14"] = _recursive("w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hops UNION SELECT e.vertexEndId, w.hops + 1 FROM w JOIN street_edge e ON e.vertexStartId = w.id AND w.hops < 120 AND e.vertexEndId > e.vertexStartId) SELECT id, CAST(min(hops) AS INT) AS hops FROM w GROUP BY id")
+    ORACLES["gra-14"] = _recursive(" w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hops UNION SELECT e.vertexEndId, w.hops + 1 FROM w JOIN street_edge e ON e.vertexStartId = w.id AND w.hops < 120) SELECT id, CAST(min(hops) AS INT) AS hops FROM w GROUP BY id")
     ORACLES["rte-08"] = _with(_DIRECT, "stop, travel_info")
     ORACLES["top-04"] = f"SELECT * FROM ({_with(_DIRECT, 'stop, travel_info')}) z ORDER BY cost, travelInfoId LIMIT 5"
 
@@ -424,25 +446,41 @@ def rmp_03(t):
 
 @query("agg-12")
 def agg_12(t):
-    return N.components(_some(t)).groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").limit(1)
+    return N.components(t("zone_edge")).groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").limit(1)
 
 
 def _legs(t):
     return t("leg").withColumnRenamed("id", "request")
 
 
-@query("rte-02")
+def _leg_ends() -> str:
+    near = lambda n: f"""SELECT l.id AS leg, v.id AS vertex FROM leg l JOIN street_vertex v ON abs(v.lat - l.lat{n}) < 0.004 AND abs(v.lng - l.lng{n}) < 0.005 AND {km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')} <= 0.3
+        QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY round({km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')}, 9), v.id) = 1"""
+    return f"SELECT a.leg AS request, a.vertex AS s, b.vertex AS d FROM ({near(1)}) a JOIN ({near(2)}) b ON b.leg = a.leg"
+
+
+@query("rte-02", f"SELECT request, CAST(abs({_ROW.format('s')} - {_ROW.format('d')}) + abs({_COLUMN.format('s')} - {_COLUMN.format('d')}) + 1 AS INT) AS hops, {s6(_grid_cost('s', 'd'))} AS cost FROM ({_leg_ends()}) z")
 def rte_02(t):
     from kerbline.operators.walk import walk_routes
 
     return walk_routes(_legs(t), t("street_vertex"), _costed(t)).select("request", F.size("path").alias("hops"), r6(C("cost")).alias("cost"))
 
 
-@query("rte-03")
+# the streets of a path: the corner of both ends, through which a path along two lines runs, and the named streets on the way
+_CORNER = f"""SELECT request, s, d, {_ROW.format('s')} AS r1, {_COLUMN.format('s')} AS c1, {_ROW.format('d')} AS r2, {_COLUMN.format('d')} AS c2 FROM ({_leg_ends()}) z"""
+_POINTS = f"""SELECT request, unnest(list_distinct(list_concat(
+      list_transform(range(least(r1, r2), greatest(r1, r2) + 1), lambda r: r * 40 + (CASE WHEN r1 <= r2 THEN c2 ELSE c1 END) + 1),
+      list_transform(range(least(c1, c2), greatest(c1, c2) + 1), lambda c: least(r1, r2) * 40 + c + 1)))) AS id FROM ({_CORNER}) y"""
+
+
+@query("rte-03", f"SELECT request, CAST(count(*) AS INT) AS points, {s6('sum(lat)')} AS lat, {s6('sum(lng)')} AS lng FROM ({_POINTS}) p JOIN street_vertex v ON v.id = p.id GROUP BY request")
 def rte_03(t):
     from kerbline.operators.walk import walk_routes, with_coordinates
 
-    return with_coordinates(walk_routes(_legs(t), t("street_vertex"), _costed(t)), t("street_vertex")).select("request", "walkPath")
+    paths = with_coordinates(walk_routes(_legs(t), t("street_vertex"), _costed(t)), t("street_vertex"))
+    points = F.from_json("walkPath", "array<struct<lat:double,lng:double>>")
+    total = lambda name: r6(F.aggregate(points, F.lit(0.0), lambda s, p: s + p[name]))
+    return paths.select("request", F.size(points).alias("points"), total("lat").alias("lat"), total("lng").alias("lng"))
 
 
 @query("cmb-02")

@@ -358,6 +358,113 @@ def test_fingerprint_components_against_plain_order_minhash(spark):
     assert op7.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().fingerprint == "".join(expected)
 
 
+def test_fingerprint_query_against_plain_edits(spark):
+    rows = {r.doc_id: r for r in op7.op7_fingerprints(spark, DATA).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    order = sorted(texts, reverse=True)
+    edited = {}
+    for i, d in enumerate(order):
+        text, next_ = texts[d], texts[order[(i + 1) % len(order)]]
+        half = len(text) // 2
+        edited[d] = text[: len(text) - half] + next_[:half]
+    prints = {r.doc_id: r.fingerprint for r in op7.fingerprints(spark.createDataFrame(list(edited.items()), "doc_id long, text string")).collect()}
+    own = {r.doc_id: r.fingerprint for r in op7.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+    def like(a, b):
+        x, y = ({p[i : i + 18] for i in range(0, len(p), 18)} for p in (a, b))
+        places = {p[:2] for p in x | y}
+        return len(x & y) / len(places) if places else 1.0
+
+    assert set(rows) == set(texts)
+    for i, d in enumerate(order):
+        r = rows[d]
+        assert r.n_chars == len(texts[d]) and r.edited_sha256 == hashlib.sha256(edited[d].encode()).hexdigest()
+        assert r.fingerprint == own[d] and r.edited_fingerprint == prints[d]
+        assert r.near_edited == pytest.approx(like(own[d], prints[d])) and r.near_next == pytest.approx(like(own[d], own[order[(i + 1) % len(order)]]))
+
+
+def test_fingerprints_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 1), (1, "a b c d", 1), (None, None, 2)], "doc_id long, text string, f_words int").withColumns({c: F.lit(c) for c in ("f_kmers", "F_LEAST", "n_range", "n_to", "n_key", "n_next", "f_components")})
+    got = op7.fingerprints(docs)
+    assert got.columns == [*docs.columns, "fingerprint"] and got.count() == 3 and {r.F_LEAST for r in got.collect()} == {"F_LEAST"}
+    after = op7.with_next(docs, ["text"])
+    assert after.columns == [*docs.columns, "next_text"] and sorted(r.next_text or "" for r in after.collect()) == ["", "a b c d", "a b c d"]
+    assert op7.op7_fingerprints.__name__ and op7.fingerprints(docs.where("doc_id > 9")).count() == 0
+
+
+# 6.
+
+
+def test_statistics_against_plain_counts():
+    random.seed(31)
+    texts = [None, "", "One two! Three, |x| 42 é", "\n".join("word Word, 7 #a" for _ in range(30)), " ".join(random.choice(["a", "Bc", "d1!", "é,", "ff."]) for _ in range(500))]
+    got = op6.statistics(pa.array(texts, pa.string()))
+    for row, text in zip(got, texts, strict=True):
+        words = (text or "").split()
+        lower = [w.lower() for w in words]
+        triples = [tuple(lower[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [tuple(lower)] if words else []
+        plain = {
+            "log_words": np.log1p(len(words)), "word_length": np.mean([len(w.encode()) for w in words]) if words else 0, "distinct_words": len(set(lower)) / max(1, len(words)),
+            "same_as_before": sum(a == b for a, b in zip(lower, lower[1:])) / max(1, len(words)), "top_word": max(Counter(lower).values(), default=0) / max(1, len(words)),
+            "distinct_triples": len(set(triples)) / max(1, len(triples)), "digits": sum(c in "0123456789" for c in text or "") / max(1, len((text or "").encode())),
+            "commas": sum(w.endswith(",") for w in words) / max(1, len(words)), "newlines": (text or "").count("\n") / max(1, len((text or "").encode())),
+            "one_letter_words": sum(len(w.encode()) == 1 for w in words) / max(1, len(words)),
+        }
+        for name, value in plain.items():
+            assert row[op6.FEATURES.index(name)] == pytest.approx(value, abs=1e-5), (name, text)
+
+
+def test_flat_trees_walk_as_nested_ones():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] * x[:, 1] > 0)).astype(float)
+    trees = op6.grow(x, y)
+
+    def walk(row, node):
+        while trees.left[node] != node:
+            node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        return trees.value[node]
+
+    plain = [1 / (1 + np.exp(-(trees.start + sum(walk(row, root) for root in trees.roots)))) for row in x[:100]]
+    assert trees.predict(x[:100]) == pytest.approx(np.array(plain)) and ((trees.predict(x) > 0.5) == y).mean() > 0.9
+
+
+def test_classifiers_with_odd_labels(spark):
+    docs = spark.createDataFrame([(i % 30, f"some text {i % 30} with words") for i in range(90)], "doc_id long, text string").withColumns({"quality_score": F.lit(7), "x": F.lit("x")})
+    labels = spark.createDataFrame([(i, None if i % 3 else 1, 2 if i % 2 else None) for i in range(30)], "doc_id long, quality int, toxic int")
+    scored = op6.score(docs, op6.fit(docs, labels))
+    assert set(scored.columns) == {"doc_id", "text", "quality_score", "x"} and scored.count() == 90 and scored.where("quality_score between 0 and 1").count() == 90
+    assert op6.score(docs.where("doc_id > 99"), op6.fit(docs.where("doc_id > 99"), labels)).count() == 0
+    model = op8.fit(docs, labels)  # no class at all
+    assert op8.score(docs.withColumn("toxicity", F.lit("old")), model).where("toxicity between 0 and 1").count() == 90
+    assert op8.score(docs.where("doc_id > 99"), model).count() == 0
+
+
+def test_kernel_values_by_plain_enumeration():
+    from itertools import combinations as choose
+
+    def features(word):
+        out = Counter()
+        for a, b, c in choose(range(len(word)), 3):
+            if b - a <= op8.REACH and c - b <= op8.REACH:
+                out[word[a], word[b], word[c]] += op8.DECAY ** (c - a - 2)
+        return out
+
+    def value(x, y):
+        x, y = features(x), features(y)
+        norm = lambda v: sum(n * n for n in v.values()) ** 0.5 + 1e-12
+        return sum(n * y[k] for k, n in x.items()) / norm(x) / norm(y)
+
+    marks, words = ["pathetic", "worthless", "moron"], ["pathxetic", "p4thetic", "worthl", "worthlessly", "morn", "house", "mo", "patheticpathetic", "moronic"]
+    like, got = op8.Landmarks([m.encode() for m in marks]).similar([w.encode() for w in words])
+    found = {words[i]: row for i, row in zip(like.tolist(), got, strict=True)}
+    for w in words:
+        plain = lambda x: "".join(c if c.isalpha() else chr(0x4E00 + ord(c) % 6) for c in x)
+        for k, m in enumerate(marks):
+            best = max((v for n in (*op8.STARTS, len(w)) if n <= len(w) and (v := value(plain(w[:n]), m)) >= op8.LEAST), default=0.0)
+            assert (found[w][k] if w in found else 0.0) == pytest.approx(best**op8.POWER, abs=1e-4), (w, m)
+
+
 # 9.
 
 
