@@ -41,6 +41,21 @@ DERIVED = {
         ON b.sequence = a.sequence AND b.travelInfoId > a.travelInfoId AND b.travelInfoId <= a.travelInfoId + 2 GROUP BY a.id, a.travelInfoId, b.travelInfoId""",
     "shape": """SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey % 7 - 3 AS DOUBLE) AS x1, CAST(p_partkey % 5 - 2 AS DOUBLE) AS y1, CAST(p_partkey % 11 - 5 AS DOUBLE) AS x2,
         CAST(p_partkey % 9 - 4 AS DOUBLE) AS y2, CAST(p_partkey % 6 - 3 AS DOUBLE) AS x3, CAST(p_partkey % 8 - 4 AS DOUBLE) AS y3, CAST(p_partkey % 13 - 6 AS DOUBLE) AS x4, CAST(p_size % 10 - 5 AS DOUBLE) AS y4 FROM part""",
+    "area_way": """SELECT CAST(c_custkey + 1 AS BIGINT) AS id, CASE c_custkey % 7 WHEN 0 THEN 'pedestrian' WHEN 1 THEN 'footway' WHEN 2 THEN 'proposed' END AS highway,
+        CASE c_custkey % 5 WHEN 0 THEN 'parking' WHEN 1 THEN 'bicycle_parking' END AS amenity, CASE c_custkey % 9 WHEN 0 THEN 'no' WHEN 5 THEN 'yes' END AS park_ride,
+        CASE c_custkey % 3 WHEN 0 THEN 'yes' END AS area, CASE c_custkey % 13 WHEN 0 THEN 'no' WHEN 1 THEN 'private' END AS access,
+        CASE c_custkey % 8 WHEN 0 THEN '1=first@12.5' WHEN 1 THEN '+2' WHEN 2 THEN 'roof@9' WHEN 3 THEN '-1' WHEN 4 THEN 'x' END AS level,
+        CASE c_custkey % 2 WHEN 1 THEN '1' END AS layer, CASE c_custkey % 11 WHEN 0 THEN c_name END AS name, CAST(CASE WHEN c_custkey % 10 = 9 THEN 4 ELSE 5 END AS INT) AS nodes FROM customer""",
+    "area_node": """SELECT CAST(c_custkey + 1 AS BIGINT) AS wayId, CAST(pos AS BIGINT) AS pos, CAST((c_custkey + 1) * 10 + CASE WHEN pos = 5 THEN 1 ELSE pos END AS BIGINT) AS nodeId,
+        CAST(-34.62 + CAST(FLOOR(c_custkey / 40) AS BIGINT) * 0.001 + dy * CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 8 = 0 THEN 0.0041 ELSE 0.0017 END WHEN 3 THEN 0.0002 ELSE 0.0003 END AS DOUBLE) AS lat,
+        CAST(-58.42 + (c_custkey % 40) * 0.001 + dx * CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 8 = 0 THEN 0.0041 ELSE 0.0017 END WHEN 3 THEN 0.0002 ELSE 0.0003 END AS DOUBLE) AS lng,
+        (c_custkey * 10 + pos) % 97 <> 0 AS known FROM customer JOIN (SELECT 1 AS pos, -1 AS dx, -1 AS dy UNION ALL SELECT 2, 1, -1 UNION ALL SELECT 3, 1, 1 UNION ALL SELECT 4, -1, 1 UNION ALL SELECT 5, -1, -1) corner
+        ON c_custkey % 10 <> 9 OR pos < 5""",
+    "area_member": """SELECT CAST(FLOOR(c_custkey / 4) + 1 AS BIGINT) AS relationId, CAST(c_custkey + 1 AS BIGINT) AS wayId, CASE c_custkey % 4 WHEN 3 THEN 'inner' ELSE 'outer' END AS role FROM customer
+        UNION ALL SELECT CAST(FLOOR(c_custkey / 4) + 1 AS BIGINT), CAST(c_custkey + 1000000 AS BIGINT), 'outer' FROM customer WHERE c_custkey % 44 = 0""",
+    "area_relation": """SELECT CAST(FLOOR(c_custkey / 4) + 1 AS BIGINT) AS id, CASE c_custkey % 20 WHEN 16 THEN 'restriction' WHEN 12 THEN 'route' WHEN 8 THEN CASE WHEN c_custkey % 40 = 8 THEN 'level_map' ELSE 'public_transport' END ELSE 'multipolygon' END AS type,
+        CASE c_custkey % 3 WHEN 0 THEN 'road' END AS route, CASE c_custkey % 7 WHEN 0 THEN 'pedestrian' WHEN 1 THEN 'service' WHEN 2 THEN 'proposed' END AS highway, CASE c_custkey % 3 WHEN 1 THEN 'parking' END AS amenity,
+        CASE c_custkey % 9 WHEN 4 THEN 'yes' END AS park_ride, CASE c_custkey % 5 WHEN 3 THEN 'stop_area' WHEN 4 THEN 'platform' END AS public_transport, CASE c_custkey % 17 WHEN 0 THEN 'no' END AS access, c_name AS name FROM customer WHERE c_custkey % 4 = 0""",
     "zone_edge": """SELECT e.vertexStartId, e.vertexEndId, e.distance, e.wayId FROM street_edge e JOIN customer a ON a.c_custkey + 1 = e.vertexStartId
         JOIN customer b ON b.c_custkey + 1 = e.vertexEndId WHERE a.c_nationkey % 2 = b.c_nationkey % 2""",
     "leg": """SELECT a.id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM stop a JOIN stop b ON b.id = a.id + 26 + a.id % 3""",

@@ -168,22 +168,12 @@ def gra_20(t):
 # Map building.
 
 
-@query("etl-02", "SELECT highway, CAST(count(*) AS BIGINT) AS ways FROM way WHERE highway NOT IN ('construction', 'proposed') GROUP BY highway")
-def etl_02(t):
-    return t("way").where(T.routable_highway(WAY)).groupBy("highway").agg(F.count("*").alias("ways"))
-
-
 @query("etl-04", """SELECT id, CAST(CASE level WHEN '1=first@12.5' THEN 1 WHEN '+2' THEN 2 WHEN 'roof@9' THEN 3 WHEN '-1' THEN -1 ELSE 0 END AS INT) AS floor,
     CASE level WHEN '1=first@12.5' THEN 12.5::DOUBLE WHEN 'roof@9' THEN 9::DOUBLE ELSE 0::DOUBLE END AS altitude, level IS NULL OR level NOT IN ('roof@9', 'x') AS reliable FROM way""")
 def etl_04(t):
     return t("way").select("id", T.level(C("level")).alias("l")).select("id", "l.floor", "l.altitude", "l.reliable")
 
 
-@query("etl-03", "SELECT id, coalesce(level, 'default') AS level FROM way")
-def etl_03(t):
-    return t("way").select("id", F.coalesce("level", F.lit("default")).alias("level"))
-
-
 _AL, _DN = "coalesce({} IN ('yes','1','true','designated','official','permissive','unknown'), FALSE)", "coalesce({} IN ('no','license'), FALSE)"
 _CAR, _BIKE, _FOOT = _AL.format("motorcar"), _AL.format("bicycle"), _AL.format("foot")
 _NOCAR, _NOBIKE, _NOFOOT = _DN.format("motorcar"), "coalesce(bicycle IN ('no','license','use_sidepath'), FALSE)", _DN.format("foot")
@@ -234,17 +224,6 @@ def etl_15(t):
     return W.directed_edges(parts, t("way"), WAY).groupBy("wayId").agg(F.count("*").alias("edges"))
 
 
-@query("etl-16", "SELECT DISTINCT v.id, v.lat, v.lng FROM street_vertex v WHERE v.id IN (SELECT vertexStartId FROM street_edge WHERE wayId < 20) OR v.id IN (SELECT vertexEndId FROM street_edge WHERE wayId < 20)")
-def etl_16(t):
-    return W.vertices(t("street_edge").where("wayId < 20"), t("street_vertex"))
-
-
-@query("etl-19", "SELECT n.wayId, CAST(count(*) AS BIGINT) AS known FROM way_node n JOIN stop s ON s.id = n.nodeId % 4000 GROUP BY n.wayId")
-def etl_19(t):
-    at = t("stop").select(C("id").alias("key"))
-    return t("way_node").withColumn("key", C("nodeId") % 4000).join(at, "key").groupBy("wayId").agg(F.count("*").alias("known"))
-
-
 # Sidewalks and ramps.
 
 

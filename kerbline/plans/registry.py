@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.plans import base, geometry, network, relational  # noqa: F401  each registers its queries
+from kerbline.plans import areas, base, geometry, network, relational, routes  # noqa: F401  each registers its queries
 
 
 def queries() -> dict:
