@@ -78,33 +78,36 @@ PARTS = 1_000_000_000
 SEARCHES = 20_000
 
 
-def _within_block(states: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Least costs of each request within one block, from its states there: (request, id, cost, enters); enters marks vertices of other blocks.
-
-    A search ends at the request's first target in the block, or where it costs more than `most`."""
-    near: dict[int, list[tuple[int, int]]] = {}
-    for s, d, c in zip(edges.s.tolist(), edges.d.tolist(), edges.c.tolist(), strict=True):
-        near.setdefault(s, []).append((c, d))
-    out: list[tuple] = []
-    for request, own in states.groupby("request", sort=False):
-        heap = sorted(zip(own.cost.tolist(), own.id.tolist(), strict=True))
-        most, targets = own.most.iloc[0], set(own.targets.iloc[0])
-        most = float("inf") if pd.isna(most) else most
-        done: dict[int, int] = {}
-        while heap:
-            cost, at = heapq.heappop(heap)
-            if cost > most or at in done:
-                continue
-            done[at] = cost
-            if at in targets:
-                most = cost
-            for c, d in near.get(at, ()):
-                if cost + c <= most and d not in done:
-                    heapq.heappush(heap, (cost + c, d))
-        out += [(request, at, cost) for at, cost in done.items()]
-    found = pd.DataFrame(out, columns=["request", "id", "cost"])
-    found["enters"] = found.id // BLOCK != (states.block.iloc[0] if len(states) else 0)
-    return found
+def _within_block(block: int):
+    """A function of states and edges of one block of so many ids: least costs of each request there, as (request, id, cost, enters); enters marks
+    vertices of other blocks. A search ends at the request's first target in the block, or where it costs more than `most`."""
+
+    def searched(states: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[tuple[int, int]]] = {}
+        for s, d, c in zip(edges.s.tolist(), edges.d.tolist(), edges.c.tolist(), strict=True):
+            near.setdefault(s, []).append((c, d))
+        out: list[tuple] = []
+        for request, own in states.groupby("request", sort=False):
+            heap = sorted(zip(own.cost.tolist(), own.id.tolist(), strict=True))
+            most, targets = own.most.iloc[0], set(own.targets.iloc[0])
+            most = float("inf") if pd.isna(most) else most
+            done: dict[int, int] = {}
+            while heap:
+                cost, at = heapq.heappop(heap)
+                if cost > most or at in done:
+                    continue
+                done[at] = cost
+                if at in targets:
+                    most = cost
+                for c, d in near.get(at, ()):
+                    if cost + c <= most and d not in done:
+                        heapq.heappush(heap, (cost + c, d))
+            out += [(request, at, cost) for at, cost in done.items()]
+        found = pd.DataFrame(out, columns=["request", "id", "cost"])
+        found["enters"] = found.id // block != (states.block.iloc[0] if len(states) else 0)
+        return found
+
+    return searched
 
 
 #: Vertices of ids within so wide a range are a block.
@@ -159,7 +162,7 @@ def _searched(near: DataFrame, asked: DataFrame) -> DataFrame:
         states = entered.join(deals, "block").select("request", "id", "cost", "most", "targets", "block", F.pmod(F.xxhash64("request"), F.col("deals")).cast("int").alias("deal"))
         copies = deals.select(F.col("block").alias("part"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("copy"))
         held = near.join(copies, F.col("block") == F.col("part")).select("s", "d", "c", "part", "copy")
-        found = states.groupBy("block", "deal").cogroup(held.groupBy("part", "copy")).applyInPandas(_within_block, "request long, id long, cost long, enters boolean")
+        found = states.groupBy("block", "deal").cogroup(held.groupBy("part", "copy")).applyInPandas(_within_block(BLOCK), "request long, id long, cost long, enters boolean")
         found = found.groupBy("request", "id").agg(F.min(F.struct(F.col("cost"), F.col("enters"))).alias("f")).select("request", "id", F.col("f.cost").alias("next"), "f.enters")
         both = best.drop("new").join(found.join(goals.withColumnRenamed("goal", "aim"), ["request", "id"], "left"), ["request", "id"], "full")
         better = F.col("next").isNotNull() & (F.col("cost").isNull() | (F.col("next") < F.col("cost")))

@@ -61,7 +61,7 @@ def _recursive(sql: str) -> str:
 
 @query("gra-08")
 def gra_08(t):
-    return N.reachable(t("zone_edge"), 2).select("id")
+    return N.reachable(t("street_edge"), 2).select("id")
 
 
 @query("gra-09")
@@ -79,12 +79,13 @@ def gra_11(t):
     return N.is_connected(t("zone_edge"))
 
 
-@query("gra-07", "SELECT CAST(2 * (n * (2 * n - 1) + 2 * n * (n - 1)) AS BIGINT) AS edges, CAST(2 * n * n AS BIGINT) AS vertices, CAST(2 * n * n * (2 * n * n + 1) / 2 * 4 - (2 * n * n * (2 * n * n + 1) / 2) * 4 AS BIGINT) AS unlike FROM (SELECT count(*) AS n FROM nation) q")
+@query("gra-07", "SELECT CAST(2 * (n * (2 * n - 1) + 2 * n * (n - 1)) AS BIGINT) AS edges, CAST(2 * n * n AS BIGINT) AS vertices, CAST(0 AS BIGINT) AS one_way FROM (SELECT count(*) AS n FROM nation) q")
 def gra_07(t):
+    """A grid as high as there are nations and twice as wide; every edge has its way back."""
     n = t("nation").count()
     edges = N.grid(t.spark, n, 2 * n)
     both = edges.join(edges.select(C("vertexStartId").alias("vertexEndId"), C("vertexEndId").alias("vertexStartId")), ["vertexStartId", "vertexEndId"], "left_anti")
-    return edges.agg(F.count("*").alias("edges"), F.count_distinct("vertexStartId").alias("vertices")).join(both.agg(F.count("*").alias("unlike")))
+    return edges.agg(F.count("*").alias("edges"), F.count_distinct("vertexStartId").alias("vertices")).join(both.agg(F.count("*").alias("one_way")))
 
 
 def _requests(t):
@@ -210,11 +211,6 @@ def _parts(t):
     return win_03(t)
 
 
-@query("etl-14")
-def etl_14(t):
-    return W.directed_edges(_parts(t), t("way"), WAY).groupBy("wayId").agg(F.count("*").alias("edges"), F.sum("permission").alias("permissions"))
-
-
 _OPENWAY = f"SELECT id, {_FRONT} AS f, {_BACK} AS b FROM (SELECT *, {_MASK} AS m FROM {_WAYS}) q WHERE m <> 0 AND highway NOT IN ('construction', 'proposed') AND ({_OPEN} OR {_CAR} OR {_BIKE} OR {_FOOT})"
 
 
@@ -238,15 +234,6 @@ def swk_08(t):
     return t("ramp").select("id", F.lit(G.SIDEWALK_OFFSET).alias("step"))
 
 
-@query("swk-09")
-def swk_09(t):
-    from kerbline.operators.sidewalks import build
-
-    corners, walks, crosses = build(t("street_vertex"), t("street_edge"), G.SIDEWALK_OFFSET)
-    count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count(corners, "corner").union(count(walks, "sidewalk")).union(count(crosses, "crossing"))
-
-
 @query("rmp-02", "SELECT c.id, coalesce(s.r, c.rampStartId) AS rampStartId, c.rampEndId FROM crossing c LEFT JOIN (SELECT id, id % 9 + 1 AS r FROM crossing WHERE id % 4 = 0) s ON s.id = c.id")
 def rmp_02(t):
     lines = t("crossing").where("id % 4 = 0").select(C("id").alias("line"), (C("id") % 9 + 1).alias("rampId"), C("vertexStartId").alias("vertexId"), C("id").alias("crossingId"))
@@ -316,16 +303,6 @@ def top_04(t):
     return R.cheapest(rte_08(t), 5, ["travelInfoId"])
 
 
-@query("rte-09", "SELECT fromTravelInfoId, toTravelInfoId, CAST(count(*) AS BIGINT) AS changes FROM combination WHERE fromTravelInfoId IN (1, 2, 3) GROUP BY fromTravelInfoId, toTravelInfoId")
-def rte_09(t):
-    return t("combination").where(C("fromTravelInfoId").isin(1, 2, 3)).groupBy("fromTravelInfoId", "toTravelInfoId").agg(F.count("*").alias("changes"))
-
-
-@query("rte-10")
-def rte_10(t):
-    return R.transfer_routes(t("stop"), t("travel_info"), R.combinations(t("stop")), (-34.602, -58.415), (-34.59, -58.39))
-
-
 @query("rte-11", "SELECT s.id, CAST(abs(s.sequence - 4) + 100 + CASE WHEN s.isAccessible THEN 0 ELSE 60 END + CASE WHEN i.type <> 'SUBWAY' THEN 50 ELSE 0 END AS BIGINT) AS cost FROM stop s JOIN travel_info i ON i.id = s.travelInfoId")
 def rte_11(t):
     rows = t("stop").join(t("travel_info").select(C("id").alias("travelInfoId"), "type"), "travelInfoId")
@@ -337,24 +314,12 @@ def rte_12(t):
     return t("leg").select("id", r6(R.walk_leg_cost(G.haversine_km("lat1", "lng1", "lat2", "lng2"))).alias("cost"))
 
 
-@query("rte-13", "SELECT s.travelInfoId, string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.sequence) AS stops, CAST(sum((NOT s.isAccessible)::INT) AS BIGINT) AS inaccessible FROM stop s WHERE s.sequence BETWEEN 2 AND 7 GROUP BY s.travelInfoId")
-def rte_13(t):
-    stops = F.transform(F.sort_array(F.collect_list(F.struct("sequence", "id"))), lambda x: x["id"].cast("string"))
-    return t("stop").where("sequence between 2 and 7").groupBy("travelInfoId").agg(F.array_join(stops, ",").alias("stops"), F.sum((~C("isAccessible")).cast("int")).alias("inaccessible"))
-
-
 @query("rte-15", f"SELECT id, isAccessible AND NOT {within('lat', 'lng', LAT, LNG, 0.2)} AS isAccessible FROM stop")
 def rte_15(t):
     near = t("stop").where(S.in_radius(LAT, LNG, 0.2)).select("id", F.lit(False).alias("isAccessible"))
     return B.update(t("stop").select("id", "isAccessible"), near, ["id"])
 
 
-@query("rte-16", f"SELECT 'RAMP' AS type, id FROM ramp WHERE {RECT} UNION ALL SELECT 'STOP', id FROM stop WHERE {RECT}")
-def rte_16(t):
-    inside = lambda name, kind: t(name).where(S.in_rectangle(*RECTANGLE)).select(F.lit(kind).alias("type"), "id")
-    return inside("ramp", "RAMP").unionByName(inside("stop", "STOP"))
-
-
 @query("rte-17", f"SELECT travelInfoId, CAST(count(*) AS BIGINT) AS stops FROM stop WHERE travelInfoId IN (SELECT travelInfoId FROM stop WHERE {within('lat', 'lng', LAT, LNG, 0.3)}) GROUP BY travelInfoId")
 def rte_17(t):
     lines = t("stop").where(S.in_radius(LAT, LNG, 0.3)).select("travelInfoId")
@@ -367,12 +332,6 @@ def rte_18(t):
     return t("combination").join(near.withColumnRenamed("id", "fromStopId"), "fromStopId", "left_semi").join(near.withColumnRenamed("id", "toStopId"), "toStopId", "left_semi").select("fromStopId", "toStopId")
 
 
-@query("rte-19", f"SELECT e.vertexStartId, e.vertexEndId, a.lat FROM street_edge e JOIN street_vertex a ON a.id = e.vertexStartId WHERE {within('a.lat', 'a.lng', LAT, LNG, 0.5)}")
-def rte_19(t):
-    rows = S.edges_near(t("street_edge"), t("street_vertex"), LAT, LNG, 0.5)
-    return S.with_endpoints(rows, t("street_vertex")).select("vertexStartId", "vertexEndId", C("start_lat").alias("lat"))
-
-
 @query("rte-20", f"SELECT DISTINCT r.id FROM ramp r JOIN crossing c ON c.rampStartId = r.id OR c.rampEndId = r.id WHERE {within('r.lat', 'r.lng', LAT, LNG, 1.5)}")
 def rte_20(t):
     return S.ramps_with_crossings(t("ramp").where(S.in_radius(LAT, LNG, 1.5)), t("crossing")).select("id").distinct()
@@ -394,7 +353,7 @@ def snp_08(t):
 def _oracles() -> None:
     from kerbline.plans.base import ORACLES
 
-    ORACLES["gra-08"] = _recursive(_CC + " SELECT DISTINCT node AS id FROM r WHERE root = 2")
+    ORACLES["gra-08"] = _recursive(" w AS (SELECT CAST(2 AS BIGINT) AS id UNION SELECT e.vertexEndId FROM w JOIN street_edge e ON e.vertexStartId = w.id) SELECT id FROM w")
     ORACLES["gra-09"] = _recursive(_CC + " SELECT node, min(root) AS root FROM r GROUP BY node")
     ORACLES["gra-10"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT node FROM m WHERE root = (SELECT root FROM m GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)")
     ORACLES["gra-11"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT count(DISTINCT root) <= 1 AS connected FROM m")
@@ -432,8 +391,12 @@ def _legs(t):
     return t("leg").withColumnRenamed("id", "request")
 
 
-def _leg_ends() -> str:
-    near = lambda n: f"""SELECT l.id AS leg, v.id AS vertex FROM leg l JOIN street_vertex v ON abs(v.lat - l.lat{n}) < 0.004 AND abs(v.lng - l.lng{n}) < 0.005 AND {km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')} <= 0.3
+def _column_row() -> tuple[str, str]:
+    return _ROW, _COLUMN
+
+
+def _leg_ends(legs: str = "leg") -> str:
+    near = lambda n: f"""SELECT l.id AS leg, v.id AS vertex FROM {legs} l JOIN street_vertex v ON abs(v.lat - l.lat{n}) < 0.004 AND abs(v.lng - l.lng{n}) < 0.005 AND {km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')} <= 0.3
         QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY round({km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')}, 9), v.id) = 1"""
     return f"SELECT a.leg AS request, a.vertex AS s, b.vertex AS d FROM ({near(1)}) a JOIN ({near(2)}) b ON b.leg = a.leg"
 
@@ -474,20 +437,6 @@ def cmb_02(t):
     return found.select(F.floor(C("request") / 1000).alias("fromStopId"), (C("request") % 1000).alias("toTravelInfoId"), "walkPath")
 
 
-@query("swk-02")
-def swk_02(t):
-    from kerbline.operators.sidewalks import corners
-
-    return corners(t("street_vertex"), t("street_edge")).groupBy("vertex").agg(F.count("*").alias("corners"))
-
-
-@query("swk-05")
-def swk_05(t):
-    from kerbline.operators.sidewalks import corners, sidewalks
-
-    return sidewalks(corners(t("street_vertex"), t("street_edge")))
-
-
 def _more_oracles() -> None:
     from kerbline.plans.base import ORACLES
 

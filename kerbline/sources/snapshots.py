@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.operators.lineage import shared_folder
+
 
 class Snapshots:
     """One table's versions under a folder. Readers keep their version while a new one is written."""
@@ -64,3 +67,23 @@ class Snapshots:
     def is_fresh(self, seconds: float) -> bool:
         found = self.current()
         return bool(found) and time.time() - found[2] < seconds
+
+
+def grouped(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rows): all rows of each key as an array of structs, for look-ups by key."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct(*rest)).alias("rows"))
+
+
+def fetch(groups: DataFrame, keys: DataFrame) -> DataFrame:
+    """The groups of several keys (key) at once; keys without one give nothing."""
+    return groups.join(keys.distinct(), "key", "left_semi")
+
+
+def saved_together(spark: SparkSession, tables: dict[str, DataFrame], folder: str | None = None) -> dict[str, DataFrame]:
+    """Tables written into one new folder and read back. The folder's `done` file comes last: readers take no folder without it."""
+    folder = folder or f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}")
+    spark.range(1).coalesce(1).write.parquet(f"{folder}/done")
+    return {name: spark.read.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in tables.items()}

@@ -5,6 +5,7 @@ from kerbline.functions import geo as G
 from kerbline.operators import graph as N
 from kerbline.operators import sidewalks, spatial
 
+# Golden graphs, their paths and their counts.
 GRAPH = {1: [2, 6], 2: [1, 3], 3: [2, 7, 4], 4: [3, 8], 5: [6, 11], 6: [1, 5], 7: [3], 8: [4, 9], 9: [8, 14], 10: [11, 12, 13], 11: [5, 10], 12: [10, 15], 13: [10, 18], 14: [9, 18], 15: [12, 16], 16: [15, 17], 17: [16, 19], 18: [13, 14, 19], 19: [17, 18]}
 PATHS = [
     ([], [4], [1, 2, 3, 4]), ([], [18], [1, 6, 5, 11, 10, 13, 18]), ([], [19], [1, 6, 5, 11, 10, 13, 18, 19]), ([], [19, 14], [1, 2, 3, 4, 8, 9, 14]), ([], [19, 14, 7], [1, 2, 3, 7]),
@@ -31,6 +32,61 @@ def test_both_ways_of_search_agree_and_nothing_is_found_without_a_way(spark):
     assert few == many == {1: 60.0, 2: few[2], 4: 0.0}
 
 
+def test_paths_are_the_same_in_small_blocks_and_many_tasks(spark, monkeypatch):
+    import heapq
+    import random
+
+    random.seed(9)
+    edges = [(a, b, random.choice((1.0, 2.0, 2.5))) for a in range(1, 41) for b in random.sample(range(1, 41), 3)]
+    requests = [(i, random.randint(1, 40), random.sample(range(1, 45), 2)) for i in range(60)]
+    near = {}
+    for a, b, c in edges:
+        near.setdefault(a, {})[b] = min(c, near.get(a, {}).get(b, c))
+
+    def plain(start, targets):  # costs, then from each target the least vertex before
+        best, heap = {}, [(0.0, start)]
+        while heap:
+            cost, at = heapq.heappop(heap)
+            if at not in best:
+                best[at] = cost
+                for b, c in near.get(at, {}).items():
+                    if b != at:
+                        heapq.heappush(heap, (cost + c, b))
+        ends = sorted((best[t], t) for t in targets if t in best)
+        if not ends:
+            return None
+        path = [ends[0][1]]
+        while path[-1] != start:
+            path.append(min(a for a in near if path[-1] in near[a] and a != path[-1] and a in best and best[a] + near[a][path[-1]] == best[path[-1]]))
+        return path[::-1], ends[0][0]
+
+    for block, searches in ((512, 20_000), (5, 4)):
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "SEARCHES", searches)
+        e = spark.createDataFrame(edges, "vertexStartId long, vertexEndId long, distance double")
+        q = spark.createDataFrame(requests, "request long, start long, targets array<long>")
+        found = {r.request: (r.path, r.cost) for r in N.shortest_paths(e, q).collect()}
+        assert found == {i: p for i, s, t in requests if (p := plain(s, t))}
+
+
+def test_clusters_against_one_by_one(spark):
+    import random
+
+    from kerbline.operators.stops import cluster
+
+    random.seed(11)
+    points = [(i, round(-34.6 + random.randint(0, 12) * 0.0004, 6), round(-58.4 + random.randint(0, 12) * 0.0004, 6)) for i in random.sample(range(1000), 120)]
+    stops = spark.createDataFrame(points, "id long, lat double, lng double")
+    close = {(r[0], r[1]) for r in spatial.within_distance(stops, stops, 0.06, "haversine").select("l.id", "r.id").collect()}
+    leader = {}
+    for x in sorted(p[0] for p in points):
+        if x not in leader:
+            leader[x] = x
+            leader.update((y, x) for y in (p[0] for p in points) if (x, y) in close and y not in leader)
+    assert {r.id: r.leader for r in cluster(stops, 0.06).collect()} == leader and len(set(leader.values())) < len(leader)
+    assert cluster(stops.where("id < 0"), 0.06).count() == 0
+
+
 def test_grids_are_components(spark):
     parts = [N.grid(spark, n, n, offset) for n, offset in ((20, 0), (10, 401), (15, 502), (3, 728))]
     edges = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
