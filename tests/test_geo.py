@@ -49,3 +49,14 @@ def test_boxes(spark, lat, lng, km, crosses):
     assert tuple(box) == pytest.approx(G.box_of(lat, lng, km)) and box.crosses == crosses
     with pytest.raises(ValueError):
         G.box_of(lat, lng, -1)
+
+
+def test_radius_is_checked():
+    import pytest
+
+    from kerbline.operators.spatial import checked_radius
+
+    assert checked_radius(0.5, 1.0) == 0.5
+    for bad in (-0.1, 1.5):
+        with pytest.raises(ValueError):
+            checked_radius(bad, 1.0)

@@ -22,6 +22,74 @@ def test_osm(spark, tmp_path):
     assert {r.id for r in vertices.collect()} == {1, 2, 3, 4}
 
 
+def test_graph_file(spark, tmp_path):
+    from kerbline.sources import graph_json
+
+    edge = '{"id": 5, "name": "A", "distance": 12.5, "stairs": false, "wheelchairAccessible": true, "startOsmNodeId": %d, "endOsmNodeId": %d, "trip": null}'
+    (tmp_path / "g.json").write_text('[{"index": 0, "label": "v", "x": -58.4, "y": -34.6, "nodeId": 7, "outgoingStreetEdges": [%s], "incomingStreetEdges": []},\n {"index": 1, "nodeId": 8, "x": 1, "y": 2, "outgoingStreetEdges": [%s, %s]}]' % (edge % (7, 8), edge % (8, 7), edge % (8, 9)))
+    found = graph_json.vertices(spark, str(tmp_path / "g.json"))
+    assert {(r.vertexStartId, r.vertexEndId, r.distance) for r in graph_json.edges(found).collect()} == {(7, 8, 12.5), (8, 7, 12.5), (8, 9, 12.5)}
+    assert {tuple(r) for r in graph_json.places(found).collect()} == {(7, -34.6, -58.4), (8, 2.0, 1.0)}
+
+
+def test_jobs_save_the_largest_part(spark, tmp_path):
+    from kerbline.sources import jobs
+
+    more = XML.replace("</osm>", '<node id="5" lat="-34.7" lon="-58.5"/><node id="6" lat="-34.71" lon="-58.5"/><way id="30"><nd ref="5"/><nd ref="6"/><tag k="highway" v="residential"/></way></osm>')
+    (tmp_path / "a.osm").write_text(more)
+    built = jobs.build_streets(spark, str(tmp_path / "a.osm"), str(tmp_path / "streets"))
+    assert {(r.vertexStartId, r.vertexEndId) for r in built["edge"].collect()} == {(1, 2), (2, 1), (2, 3), (3, 2), (2, 4)} and {r.id for r in built["vertex"].collect()} == {1, 2, 3, 4}
+    assert spark.read.parquet(str(tmp_path / "streets/edge")).count() == 5
+    near = {1: [2, 4], 2: [1, 3, 5], 3: [2, 5, 6], 4: [1, 5, 7], 5: [2, 3, 4, 6, 8, 9], 6: [3, 5, 9, 10], 7: [4, 8], 8: [5, 7, 9], 9: [5, 6, 8], 10: [6], 11: [12], 12: [11, 13], 13: [12]}
+    at = {1: (0, 0), 2: (0, 10), 3: (0, 20), 4: (-10, 0), 5: (-10, 10), 6: (-10, 20), 7: (-20, 0), 8: (-20, 10), 9: (-20, 20), 10: (-10, 30), 11: (-50, 40), 12: (-50, 50), 13: (-50, 60)}
+    vertices = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in at.items()], "id long, lat double, lng double")
+    edges = spark.createDataFrame([(a, b) for a, x in near.items() for b in x], "vertexStartId long, vertexEndId long")
+    walks = jobs.build_sidewalks(spark, vertices, edges, 1.0)
+    assert (walks["sidewalk"].count(), walks["crossing"].count()) == (30, 28)  # fixed values of the prototype after purging
+
+
+def test_ramps_are_loaded_and_moved(spark, tmp_path):
+    from kerbline.sources import jobs
+
+    (tmp_path / "a.csv").write_text("geo;a;b;c;d;street\nPOINT (-58.4 -34.6);1;2;3;4;Rivadavia\n")
+    (tmp_path / "b.csv").write_text("lng;lat;street\n-58.5;-34.7;Callao\n")
+    loaded = jobs.load_ramps(spark, [str(tmp_path / "a.csv")], [str(tmp_path / "b.csv")])
+    assert {(r.id, r.address) for r in loaded.collect()} == {(1, "Callao"), (2, "Rivadavia")}
+    crossings = spark.createDataFrame([(1, 1, 2, None, None), (2, 1, 3, None, None)], "id long, vertexStartId long, vertexEndId long, rampStartId long, rampEndId long")
+    vertices = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 10.0), (3, 10.0, 0.0)], "id long, lat double, lng double")
+    lines = spark.createDataFrame([(0, 2, 1, 1)], "line long, rampId long, vertexId long, crossingId long")
+    done = jobs.associate_and_move(spark, crossings, vertices, lines)
+    assert {(r.id, r.rampStartId) for r in done["crossing"].collect()} == {(1, 2), (2, None)} and [r.id for r in done["ramp"].collect()] == [2]
+
+
+def test_reload_tries_again(spark, tmp_path):
+    shot, calls = Snapshots(spark, str(tmp_path / "s")), []
+
+    def build():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not there yet")
+        return spark.range(4)
+
+    assert shot.reload(build, attempts=3, wait=0.0) == 1 and len(calls) == 3 and shot.read().count() == 4
+    calls.clear()
+    try:
+        Snapshots(spark, str(tmp_path / "t")).reload(build, attempts=2, wait=0.0)
+    except OSError:
+        assert len(calls) == 2
+    else:
+        raise AssertionError("no failure was passed on")
+
+
+def test_rings_of_relations(spark):
+    member = spark.createDataFrame([(1, 10, "outer"), (1, 11, "inner"), (2, 10, "outer"), (2, 99, "outer")], "id long, wayId long, role string")
+    way = spark.createDataFrame([(10, [1, 2, 3, 1]), (11, [1, 2])], "id long, nodeIds array<long>")
+    node = spark.createDataFrame([(i, float(i), -float(i)) for i in (1, 2, 3)], "id long, lat double, lng double")
+    assert {(r.id, r.wayId) for r in osm.resolved(member, way).collect()} == {(1, 10), (1, 11)}
+    (ring,) = osm.rings(member, way, node).collect()
+    assert (ring.id, ring.wayId, [tuple(p) for p in ring.ring]) == (1, 10, [(1.0, -1.0), (2.0, -2.0), (3.0, -3.0), (1.0, -1.0)])
+
+
 def test_ramp_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("geo;a;b;c;d;street\nPOINT (-58.4 -34.6);1;2;3;4;Rivadavia\n")
     (tmp_path / "b.csv").write_text("lng;lat;street\n-58.5;-34.7;Callao\n")
