@@ -56,6 +56,14 @@ DERIVED = {
     "area_relation": """SELECT CAST(FLOOR(c_custkey / 4) + 1 AS BIGINT) AS id, CASE c_custkey % 20 WHEN 16 THEN 'restriction' WHEN 12 THEN 'route' WHEN 8 THEN CASE WHEN c_custkey % 40 = 8 THEN 'level_map' ELSE 'public_transport' END ELSE 'multipolygon' END AS type,
         CASE c_custkey % 3 WHEN 0 THEN 'road' END AS route, CASE c_custkey % 7 WHEN 0 THEN 'pedestrian' WHEN 1 THEN 'service' WHEN 2 THEN 'proposed' END AS highway, CASE c_custkey % 3 WHEN 1 THEN 'parking' END AS amenity,
         CASE c_custkey % 9 WHEN 4 THEN 'yes' END AS park_ride, CASE c_custkey % 5 WHEN 3 THEN 'stop_area' WHEN 4 THEN 'platform' END AS public_transport, CASE c_custkey % 17 WHEN 0 THEN 'no' END AS access, c_name AS name FROM customer WHERE c_custkey % 4 = 0""",
+    "tagged": """SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 6 WHEN 0 THEN 'bus_stop' WHEN 1 THEN 'elevator' WHEN 2 THEN 'steps' WHEN 3 THEN 'residential' END AS highway,
+        CASE p_partkey % 7 WHEN 0 THEN 'tram_stop' WHEN 1 THEN 'station' WHEN 2 THEN 'halt' WHEN 3 THEN 'rail' END AS railway,
+        CASE p_partkey % 8 WHEN 0 THEN 'bus_station' WHEN 1 THEN 'bicycle_rental' WHEN 2 THEN 'parking' WHEN 3 THEN 'bicycle_parking' END AS amenity, CASE p_partkey % 5 WHEN 0 THEN 'bollard' WHEN 1 THEN 'gate' END AS barrier,
+        CASE p_partkey % 9 WHEN 0 THEN 'roundabout' END AS junction, CASE p_partkey % 11 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'true' WHEN 3 THEN 'no' END AS oneway,
+        CASE p_partkey % 13 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'no' END AS oneway_bicycle, CASE p_partkey % 10 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' END AS bicycle_backwards,
+        CASE p_partkey % 3 WHEN 0 THEN 'use_sidepath' END AS bicycle_forward, CASE p_partkey % 4 WHEN 0 THEN 'use_sidepath' WHEN 1 THEN 'yes' END AS bicycle_backward,
+        CASE p_partkey % 12 WHEN 0 THEN 'opposite_lane' WHEN 1 THEN 'lane' END AS cycleway, CASE p_partkey % 14 WHEN 0 THEN 'opposite' END AS cycleway_left, CASE p_partkey % 15 WHEN 0 THEN 'opposite_track' END AS cycleway_right,
+        CASE p_partkey % 16 WHEN 0 THEN 'yes' END AS area, CAST(p_size % 6 AS INT) AS nodes FROM part""",
     "zone_edge": """SELECT e.vertexStartId, e.vertexEndId, e.distance, e.wayId FROM street_edge e JOIN customer a ON a.c_custkey + 1 = e.vertexStartId
         JOIN customer b ON b.c_custkey + 1 = e.vertexEndId WHERE a.c_nationkey % 2 = b.c_nationkey % 2""",
     "leg": """SELECT a.id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM stop a JOIN stop b ON b.id = a.id + 26 + a.id % 3""",

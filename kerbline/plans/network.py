@@ -261,8 +261,9 @@ def rte_04(t):
 
 @query("rte-05", "SELECT id, CASE WHEN count(address) = 0 THEN '-' ELSE string_agg(address, ' y ' ORDER BY address) END AS said FROM (SELECT id, address FROM (SELECT DISTINCT e.vertexStartId AS id, i.address FROM street_edge e LEFT JOIN street_info i ON i.wayId = e.wayId) d QUALIFY row_number() OVER (PARTITION BY id ORDER BY address NULLS LAST) <= 2) q GROUP BY id")
 def rte_05(t):
-    found = t("street_edge").join(t("street_info"), "wayId", "left").groupBy(C("vertexStartId").alias("id")).agg(F.slice(F.sort_array(F.collect_set("address")), 1, 2).alias("names"))
-    return found.select("id", F.when(F.size("names") == 0, "-").otherwise(F.array_join("names", " y ")).alias("said"))
+    from kerbline.operators.walk import intersections
+
+    return intersections(t("street_edge"), t("street_info"))
 
 
 @query("rte-06", "SELECT s.id, coalesce(i.address, '-') AS address FROM sidewalk_edge s LEFT JOIN street_info i ON i.wayId = s.streetEdgeBelongToId")
@@ -415,17 +416,26 @@ _POINTS = f"""SELECT request, unnest(list_distinct(list_concat(
       list_transform(range(least(c1, c2), greatest(c1, c2) + 1), lambda c: least(r1, r2) * 40 + c + 1)))) AS id FROM ({_CORNER}) y"""
 
 
-@query("rte-03", f"SELECT request, CAST(count(*) AS INT) AS points, {s6('sum(lat)')} AS lat, {s6('sum(lng)')} AS lng FROM ({_POINTS}) p JOIN street_vertex v ON v.id = p.id GROUP BY request")
+_SAID = "SELECT id, CASE WHEN count(address) = 0 THEN '-' ELSE string_agg(address, ' y ' ORDER BY address) END AS said FROM (SELECT id, address FROM (SELECT DISTINCT e.vertexStartId AS id, i.address FROM street_edge e LEFT JOIN street_info i ON i.wayId = e.wayId) d QUALIFY row_number() OVER (PARTITION BY id ORDER BY address NULLS LAST) <= 2) q GROUP BY id"
+
+
+@query("rte-03", f"""SELECT p.request, CAST(count(*) AS INT) AS points, {s6('sum(v.lat)')} AS lat, {s6('sum(v.lng)')} AS lng, CAST(count(*) FILTER (WHERE p.id <> e.d AND p.id % 97 IN (SELECT wayId FROM street_info)) AS INT) AS named, any_value(f.said) AS "from", any_value(g.said) AS "to"
+    FROM ({_POINTS}) p JOIN street_vertex v ON v.id = p.id JOIN ({_leg_ends()}) e ON e.request = p.request JOIN ({_SAID}) f ON f.id = e.s JOIN ({_SAID}) g ON g.id = e.d GROUP BY p.request""")
 def rte_03(t):
-    from kerbline.operators.walk import walk_routes, with_coordinates
+    from kerbline.operators.walk import walk_routes, with_coordinates, with_streets
 
     paths = with_coordinates(walk_routes(_legs(t), t("street_vertex"), _costed(t)), t("street_vertex"))
+    paths = with_streets(paths, t("street_edge"), t("street_info"))
     points = F.from_json("walkPath", "array<struct<lat:double,lng:double>>")
     total = lambda name: r6(F.aggregate(points, F.lit(0.0), lambda s, p: s + p[name]))
-    return paths.select("request", F.size(points).alias("points"), total("lat").alias("lat"), total("lng").alias("lng"))
+    named = F.size(F.filter("streets", lambda x: x != "-"))
+    return paths.select("request", F.size(points).alias("points"), total("lat").alias("lat"), total("lng").alias("lng"), named.alias("named"), "from", "to")
+
+
+_PAGE = "(SELECT c.fromStopId * 1000 + c.toTravelInfoId AS id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId ORDER BY c.fromStopId, c.toTravelInfoId LIMIT 50 OFFSET 20)"
 
 
-@query("cmb-02")
+@query("cmb-02", f"SELECT request // 1000 AS fromStopId, request % 1000 AS toTravelInfoId, CAST(abs({_ROW.format('s')} - {_ROW.format('d')}) + abs({_COLUMN.format('s')} - {_COLUMN.format('d')}) + 1 AS INT) AS points FROM ({_leg_ends(_PAGE)}) z, (SELECT count(*) AS n FROM street_vertex) q WHERE n > 0")
 def cmb_02(t):
     """Walk paths of a page of combinations."""
     from kerbline.operators.walk import walk_routes, with_coordinates
@@ -434,7 +444,8 @@ def cmb_02(t):
     page = t("combination").orderBy("fromStopId", "toTravelInfoId").offset(20).limit(50).withColumn("request", C("fromStopId") * 1000 + C("toTravelInfoId"))
     page = page.join(end("fromStopId", 1), "fromStopId").join(end("toStopId", 2), "toStopId")
     found = with_coordinates(walk_routes(page, t("street_vertex"), _costed(t)), t("street_vertex"))
-    return found.select(F.floor(C("request") / 1000).alias("fromStopId"), (C("request") % 1000).alias("toTravelInfoId"), "walkPath")
+    points = F.size(F.from_json("walkPath", "array<struct<lat:double,lng:double>>"))
+    return found.select(F.floor(C("request") / 1000).alias("fromStopId"), (C("request") % 1000).alias("toTravelInfoId"), points.alias("points"))
 
 
 def _more_oracles() -> None:

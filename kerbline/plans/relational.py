@@ -113,10 +113,16 @@ def snk_09(t):
     return rows.withColumn("back", F.aggregate(read, F.lit(0).cast("long"), lambda s, p: s + p["lng"]))
 
 
+def _placed(t):
+    """Combinations with the places of both stops."""
+    at = lambda key, name: t("stop").select(C("id").alias(key), C("lat").alias(f"{name}_lat"), C("lng").alias(f"{name}_lng"))
+    return t("combination").join(at("fromStopId", "from"), "fromStopId").join(at("toStopId", "to"), "toStopId")
+
+
 @query("snk-10", "SELECT c.fromStopId, c.toTravelInfoId, a.lat AS from_lat, a.lng AS from_lng, b.lat AS to_lat, b.lng AS to_lng FROM combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId")
 def snk_10(t):
-    at = lambda key, name: t("stop").select(C("id").alias(key), C("lat").alias(f"{name}_lat"), C("lng").alias(f"{name}_lng"))
-    return t("combination").join(at("fromStopId", "from"), "fromStopId").join(at("toStopId", "to"), "toStopId").select("fromStopId", "toTravelInfoId", "from_lat", "from_lng", "to_lat", "to_lng")
+    return _placed(t).select("fromStopId", "toTravelInfoId", "from_lat", "from_lng", "to_lat", "to_lng")
+
 
 
 # Filters.
@@ -174,7 +180,7 @@ _PLACED = "combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id
 @query("flt-10", f"""SELECT fromStopId, toTravelInfoId FROM (SELECT c.*, {planar('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS d FROM {_PLACED} WHERE c.fromTravelInfoId IN {IDS}
     AND NOT {within('a.lat', 'a.lng', LAT, LNG, 0.5)} AND NOT {within('b.lat', 'b.lng', LAT, LNG, 0.5)}) q ORDER BY round(d, 12), fromStopId, toTravelInfoId LIMIT 50""")
 def flt_10(t):
-    rows = snk_10(t).join(t("combination"), ["fromStopId", "toTravelInfoId"]).where(C("fromTravelInfoId").isin(*IDS))
+    rows = _placed(t).where(C("fromTravelInfoId").isin(*IDS))
     rows = rows.where(~_near("from_lat", "from_lng")).where(~_near("to_lat", "to_lng"))
     d = F.round(G.planar_radians("from_lat", "from_lng", "to_lat", "to_lng"), 12)
     return rows.orderBy(d, "fromStopId", "toTravelInfoId").limit(50).select("fromStopId", "toTravelInfoId")
@@ -257,16 +263,28 @@ def flt_21(t):
     return _lots(t).select("id", T.park_and_ride(tag).alias("ride"), T.bike_parking(tag).alias("bikes"))
 
 
-@query("flt-22", f"SELECT o_orderkey AS id, coalesce({_LOT} = 'bus_station', FALSE) AS stop, FALSE AS bollard, FALSE AS elevator, FALSE AS rental FROM orders")
+_ON = lambda *tests: " OR ".join(f"coalesce({x}, FALSE)" for x in tests)
+
+
+@query("flt-22", f"""SELECT id, {_ON("highway = 'bus_stop'", "railway IN ('tram_stop', 'station', 'halt')", "amenity = 'bus_station'")} AS stop, {_ON("barrier = 'bollard'")} AS bollard, {_ON("highway = 'elevator'")} AS elevator, {_ON("amenity = 'bicycle_rental'")} AS rental FROM tagged""")
 def flt_22(t):
-    tag = T.from_columns(["amenity"])
-    return _lots(t).select("id", T.is_stop(tag).alias("stop"), T.is_bollard(tag).alias("bollard"), T.is_elevator(tag).alias("elevator"), T.is_bike_rental(tag).alias("rental"))
+    tag = T.from_columns(["highway", "railway", "amenity", "barrier"])
+    return t("tagged").select("id", T.is_stop(tag).alias("stop"), T.is_bollard(tag).alias("bollard"), T.is_elevator(tag).alias("elevator"), T.is_bike_rental(tag).alias("rental"))
+
 
+_YES, _NO = "{} IN ('yes', '1', 'true')", "{} IN ('no', '0', 'false')"
+_FLAGS = {
+    "steps": _ON("highway = 'steps'"), "roundabout": _ON("junction = 'roundabout'"), "oneway_forward": _ON(_YES.format("oneway")), "oneway_reverse": _ON("oneway = '-1'"),
+    "bike_forward": _ON(_YES.format("oneway_bicycle"), _NO.format("bicycle_backwards")), "bike_reverse": _ON("oneway_bicycle = '-1'"), "sidepath_forward": _ON("bicycle_forward = 'use_sidepath'"),
+    "sidepath_reverse": _ON("bicycle_backward = 'use_sidepath'"), "opposable": _ON("starts_with(cycleway, 'opposite')", "starts_with(cycleway_left, 'opposite')", "starts_with(cycleway_right, 'opposite')"),
+    "area": f"({_ON("area = 'yes'", "amenity IN ('parking', 'bicycle_parking')")}) AND nodes > 2",
+}
 
-@query("flt-23", "SELECT id, coalesce(oneway = 'yes', FALSE) AS oneway_forward, coalesce(oneway = '-1', FALSE) AS oneway_reverse, coalesce(starts_with(cycleway, 'opposite'), FALSE) AS opposable, FALSE AS steps FROM way")
+
+@query("flt-23", "SELECT id, " + ", ".join(f"{sql} AS {name}" for name, sql in _FLAGS.items()) + " FROM tagged")
 def flt_23(t):
-    flags = T.way_flags(WAY, F.lit(3))
-    return t("way").select("id", *[flags[k].alias(k) for k in ("oneway_forward", "oneway_reverse", "opposable", "steps")])
+    flags = T.way_flags(lambda key: C(key.replace(":", "_")), C("nodes"))
+    return t("tagged").select("id", *[flags[k].alias(k) for k in _FLAGS])
 
 
 @query("flt-24", "SELECT id, coalesce(foot IN ('yes','1','true'), FALSE) AS yes, coalesce(foot IN ('no','0','false'), FALSE) AS no FROM way")
@@ -424,10 +442,10 @@ def jon_12(t):
     return pairs.select(C("l.id").alias("from_id"), C("r.id").alias("to_id"))
 
 
-@query("jon-13", "SELECT a.travelInfoId, min(a.sequence) AS from_seq, max(b.sequence) AS to_seq FROM stop a JOIN stop b ON a.travelInfoId = b.travelInfoId WHERE a.id % 7 = 0 AND b.id % 5 = 0 GROUP BY a.travelInfoId HAVING min(a.sequence) <= max(b.sequence)")
+@query("jon-13", "SELECT a.travelInfoId, min(a.sequence) AS from_seq, max(b.sequence) AS to_seq FROM stop a JOIN stop b ON a.travelInfoId = b.travelInfoId WHERE a.isAccessible AND NOT b.isAccessible GROUP BY a.travelInfoId HAVING min(a.sequence) <= max(b.sequence)")
 def jon_13(t):
-    some = lambda k, agg, name: t("stop").where(f"id % {k} = 0").groupBy("travelInfoId").agg(agg("sequence").alias(name))
-    return some(7, F.min, "from_seq").join(some(5, F.max, "to_seq"), "travelInfoId").where("from_seq <= to_seq")
+    some = lambda which, agg, name: t("stop").where(which).groupBy("travelInfoId").agg(agg("sequence").alias(name))
+    return some("isAccessible", F.min, "from_seq").join(some("not isAccessible", F.max, "to_seq"), "travelInfoId").where("from_seq <= to_seq")
 
 
 @query("jon-14", f"SELECT c.fromStopId, c.toTravelInfoId, i.name FROM combination c JOIN travel_info i ON i.id = c.fromTravelInfoId WHERE c.fromTravelInfoId IN {IDS}")
@@ -436,9 +454,9 @@ def jon_14(t):
     return t("combination").join(names, "fromTravelInfoId").select("fromStopId", "toTravelInfoId", "name")
 
 
-@query("jon-15", "SELECT DISTINCT v.id, v.lat, v.lng FROM street_vertex v JOIN sidewalk_edge e ON v.id = e.vertexStartId OR v.id = e.vertexEndId WHERE e.id % 5 = 0")
+@query("jon-15", "SELECT DISTINCT v.id, v.lat, v.lng FROM street_vertex v JOIN sidewalk_edge e ON v.id = e.vertexStartId OR v.id = e.vertexEndId")
 def jon_15(t):
-    ends = t("sidewalk_edge").where("id % 5 = 0").select(F.explode(F.array("vertexStartId", "vertexEndId")).alias("id"))
+    ends = t("sidewalk_edge").select(F.explode(F.array("vertexStartId", "vertexEndId")).alias("id"))
     return t("street_vertex").join(ends, "id", "left_semi")
 
 
@@ -603,12 +621,12 @@ def win_04(t):
     return cyclic_pairs(t("stop"), "travelInfoId", "sequence", "id")
 
 
-@query("win-05", "SELECT wayId, CAST(count(*) + CASE WHEN count(*) > 2 THEN 1 ELSE 0 END AS BIGINT) AS corners FROM way_node GROUP BY wayId")
+@query("win-05", "SELECT wayId, string_agg(CAST(nodeId AS VARCHAR), ',' ORDER BY pos) || CASE WHEN count(*) > 2 THEN ',' || CAST(arg_min(nodeId, pos) AS VARCHAR) ELSE '' END AS ring FROM way_node GROUP BY wayId")
 def win_05(t):
-    ring = F.transform(F.sort_array(F.collect_list(F.struct("pos", "nodeId"))), lambda x: x["nodeId"])
+    ring = F.transform(F.sort_array(F.collect_list(F.struct("pos", "nodeId"))), lambda x: x["nodeId"].cast("string"))
     rings = t("way_node").groupBy("wayId").agg(ring.alias("r"))
     closed = F.when(F.size("r") > 2, F.concat("r", F.slice("r", 1, 1))).otherwise(C("r"))
-    return rings.select("wayId", F.size(closed).cast("long").alias("corners"))
+    return rings.select("wayId", F.array_join(closed, ",").alias("ring"))
 
 
 @query("win-06", "SELECT e.vertexStartId, e.vertexEndId, CAST(ROW_NUMBER() OVER (PARTITION BY e.vertexStartId ORDER BY round(CASE WHEN atan2(b.lat - a.lat, b.lng - a.lng) < 0 THEN atan2(b.lat - a.lat, b.lng - a.lng) + 2 * pi() ELSE atan2(b.lat - a.lat, b.lng - a.lng) END, 6) % 6.283185, e.vertexEndId) AS INT) AS place FROM street_edge e JOIN street_vertex a ON a.id = e.vertexStartId JOIN street_vertex b ON b.id = e.vertexEndId")
@@ -624,10 +642,10 @@ def win_07(t):
     return B.first_of(rows, ["a", "b"], ["kept"])
 
 
-@query("win-08", "SELECT travelInfoId, string_agg(CAST(id AS VARCHAR), ',' ORDER BY sequence) AS stops FROM stop WHERE sequence BETWEEN 3 AND 6 GROUP BY travelInfoId")
+@query("win-08", "SELECT travelInfoId, string_agg(CAST(id AS VARCHAR), ',' ORDER BY sequence) AS stops FROM stop GROUP BY travelInfoId")
 def win_08(t):
     stops = F.transform(F.sort_array(F.collect_list(F.struct("sequence", "id"))), lambda x: x["id"].cast("string"))
-    return t("stop").where("sequence between 3 and 6").groupBy("travelInfoId").agg(F.array_join(stops, ",").alias("stops"))
+    return t("stop").groupBy("travelInfoId").agg(F.array_join(stops, ",").alias("stops"))
 
 
 # Top-k and sets.
@@ -653,9 +671,9 @@ def top_05(t):
     return t("stop").groupBy("travelInfoId").agg(F.min_by("id", F.round(G.haversine_km("lat", "lng", LAT, LNG), 6) * 1000000 + C("id") * 1e-6).alias("id"))
 
 
-@query("top-06", "SELECT travelInfoId, arg_min(id, CASE WHEN sequence < 5 THEN 0 ELSE 1 END * 1000000 + sequence) AS id FROM stop WHERE sequence > 2 GROUP BY travelInfoId")
+@query("top-06", "SELECT travelInfoId, arg_min(id, CASE WHEN sequence < 5 THEN 0 ELSE 1 END * 1000000 + sequence) AS id FROM stop GROUP BY travelInfoId")
 def top_06(t):
-    rows = t("stop").where("sequence > 2").withColumn("late", C("sequence") >= 5)
+    rows = t("stop").withColumn("late", C("sequence") >= 5)
     return B.first_of(rows, ["travelInfoId"], ["late", "sequence", "id"]).select("travelInfoId", "id")
 
 
