@@ -1,4 +1,8 @@
-"""The training-data pipeline: five operators in a row over documents, each on all that its predecessor kept."""
+"""The training-data pipeline: five operators in a row over documents, each on all that its predecessor kept.
+
+All stages but the last return the columns that they got, whatever their names. Null and empty texts pass all of them; a null doc_id is kept
+and never takes part in a group. Rows that are repeated are judged alike. No rows: none.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import op1_decontamination, op2_ngram_jaccard_join, op4_packing, op8_toxicity, op9_pii
-from kerbline.llm.common import checkpoint, column_test, marked, table
+from kerbline.llm.common import checkpoint, column_test, fresh, marked, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    scored = op8_toxicity.score(docs, op8_toxicity.trained(spark, sf_dir))
-    return scored.where("toxicity < 0.5").drop("toxicity")
+    """Documents that the classifier does not reject: a score below 0.5. A null or empty text scores as one without insults and stays."""
+    (name,) = fresh(docs, "toxicity_score")
+    return op8_toxicity.score(docs, op8_toxicity.trained(spark, sf_dir), name).where(F.col(name) < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +34,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, as a window of its size at similarity 0.8 or more; null and empty texts hold none."""
     return op1_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data and secrets replaced by their kind; a null text stays null, n_chars is counted anew."""
     return op9_pii.mask(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in packed sequences."""
+    """The pieces of all documents in packed sequences; a null or empty text is the end token alone."""
     packed = op4_packing.pack(docs, op4_packing.public_tokenizer())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
