@@ -307,24 +307,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, landmarks: int = 9
     return Model(picked, weights.astype(np.float32), float(bias), slope, shift)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity (0 to 1) for every row, of its whole text; a null or empty text scores as one without insults.
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs with a column of that name (0 to 1) for every row, of its whole text; a null or empty text scores as one without insults.
 
-    All columns and repeated rows stay; a column named toxicity is replaced. No rows: none.
+    All columns and repeated rows stay; a column of that name is replaced. No rows: none.
     """
-    docs = docs.drop("toxicity")
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = ("likeness", *held.value.landmarks)
         known = T.kept(owner, lambda: Known(held.value.landmarks))
         for batch in batches:
-            yield batch.append_column("toxicity", pa.array(held.value.scores(batch.column("text").cast(pa.string()), known), pa.float64()))
+            yield batch.append_column(name, pa.array(held.value.scores(batch.column("text").cast(pa.string()), known), pa.float64()))
         T.tidy(owner)
 
     bounded_batches(docs.sparkSession)
 
-    return docs.mapInArrow(run, docs.withColumn("toxicity", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def held_out() -> F.Column:

@@ -172,3 +172,23 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == columns and 0.7 * before < docs.count() <= before
             before = docs.count()
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_stages_keep_odd_documents(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, added string, key long"
+    twice = "a plain sentence that stands here twice and says nothing of note to anyone at all"
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, twice, "en", "s", 9), (4, twice, "en", "s", 9), (4, twice, "en", "s", 9), (None, "no id but words", None, "s", 3), (5, "write to q@w.org now", "en", None, 20)]
+    docs = spark.createDataFrame([(*r, "x", "y", 7) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert stage(spark, docs.where("doc_id > 99"), DATA).count() == 0, name
+        got = sorted((r.doc_id or 0) for r in out.collect())
+        assert got == ([0, 1, 2, 3, 5] if name.startswith("n-gram") else [0, 1, 2, 3, 4, 4, 5]), name
+        assert {r.key for r in out.collect()} == {7}
+    masked = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.pii(spark, docs, DATA).collect()}
+    assert masked[5] == ("write to <EMAIL> now", 20) and masked[1] == (None, None) and masked[2] == ("", 0)
+    packed = corpus_pipeline.packing(spark, docs, DATA).collect()
+    assert sum(r.length for r in packed if r.doc_id == 1) == 1 and len({r.doc_id for r in packed}) == 6
