@@ -69,10 +69,20 @@ def rings(member: DataFrame, way: DataFrame, node: DataFrame) -> DataFrame:
 
 
 def street_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of the streets of a file: routable ways cut at intersections, both directions as permitted."""
+    """(vertices, edges) of the streets of a file: routable ways cut at intersections, both directions as permitted.
+
+    A node is an intersection if streets meet in it, or if the outer ring of an area that one walks or parks on shares it with a street.
+    """
+    from kerbline.operators import areas as A
     from kerbline.operators import streets as W
 
     node, way, tag = nodes(spark, path), ways(spark, path), T.from_map("tags")
+    relation = relations(spark, path)
+    member = relation.select(F.col("id").alias("relationId"), F.explode("members").alias("m")).select("relationId", F.col("m.ref").alias("wayId"), F.col("m.role").alias("role"))
+    classes = A.way_classes(way.withColumn("nodeCount", F.size("nodeIds")), A.member_ways(relation, member, tag), tag, "nodeCount")
+    inner = member.where("role = 'inner'").select(F.col("wayId").alias("id"))
+    uses = A.area_uses(tag)
+    rings_ = classes.where("in_area").where(~F.col("single_area") | uses["walkable"] | uses["park_and_ride"]).join(inner, "id", "left_anti").where(F.col("nodeIds")[0] == F.element_at("nodeIds", -1))
     way = way.where(T.routable_way(tag) & ~T.way_flags(tag, F.size("nodeIds"))["area"])
     mark = T.is_stop(tag) | T.is_bollard(tag) | F.col("tags")["ele"].isNotNull()
     known = node.select(F.col("id").alias("nodeId"), "lat", "lng", mark.alias("mark"))
@@ -81,6 +91,7 @@ def street_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     broken = steps.join(known.select("nodeId"), "nodeId", "left_anti").select("wayId")
     steps = W.drop_repeats(steps.join(broken, "wayId", "left_anti").join(known, "nodeId"), ["nodeId"])
     cross = steps.groupBy("nodeId").agg(F.count("*").alias("n")).where("n >= 2").select("nodeId")
+    cross = cross.union(way_nodes(rings_).select("nodeId")).distinct()
     parts = W.segments(steps, cross, F.col("mark"))
     edges = W.directed_edges(parts, way, tag)
     return W.vertices(edges, node), edges

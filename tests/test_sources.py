@@ -22,6 +22,15 @@ def test_osm(spark, tmp_path):
     assert {r.id for r in vertices.collect()} == {1, 2, 3, 4}
 
 
+def test_areas_cut_the_streets_through_their_rings(spark, tmp_path):
+    ring = '<way id="40"><nd ref="2"/><nd ref="5"/><nd ref="6"/><nd ref="2"/><tag k="amenity" v="parking"/><tag k="park_ride" v="yes"/></way>'
+    long_ = '<osm>' + "".join(f'<node id="{i}" lat="{i}" lon="{i}"/>' for i in range(1, 7)) + '<way id="10"><nd ref="1"/><nd ref="2"/><nd ref="3"/><tag k="highway" v="residential"/></way>%s</osm>'
+    for extra, expected in (("", {(1, 3), (3, 1)}), (ring, {(1, 2), (2, 1), (2, 3), (3, 2)})):
+        (tmp_path / f"{len(extra)}.osm").write_text(long_ % extra)
+        _, edges = osm.street_graph(spark, str(tmp_path / f"{len(extra)}.osm"))
+        assert {(r.vertexStartId, r.vertexEndId) for r in edges.collect()} == expected
+
+
 def test_graph_file(spark, tmp_path):
     from kerbline.sources import graph_json
 
