@@ -111,7 +111,7 @@ def _within_block(block: int):
 
 
 #: Vertices of ids within so wide a range are a block.
-BLOCK = 512
+BLOCK = 2048
 
 
 def shortest_paths(edges: DataFrame, requests: DataFrame, cost: str = "distance", most_edges: int | None = None) -> DataFrame:
