@@ -106,8 +106,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full, self.plain = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.full = Tokenizer.from_file(tokenizer_path)
+        self.plain = Tokenizer(self.full.model)  # the same model, without normalizer
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.full.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
