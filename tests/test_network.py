@@ -60,7 +60,7 @@ def test_paths_are_the_same_in_small_blocks_and_many_tasks(spark, monkeypatch):
             path.append(min(a for a in near if path[-1] in near[a] and a != path[-1] and a in best and best[a] + near[a][path[-1]] == best[path[-1]]))
         return path[::-1], ends[0][0]
 
-    for block, searches in ((512, 20_000), (5, 4)):
+    for block, searches in ((2048, 20_000), (12, 9)):
         monkeypatch.setattr(N, "BLOCK", block)
         monkeypatch.setattr(N, "SEARCHES", searches)
         e = spark.createDataFrame(edges, "vertexStartId long, vertexEndId long, distance double")
