@@ -180,11 +180,17 @@ def parallel(l: Column, m: Column) -> Column:
 
 def intersection(l: Column, m: Column) -> Column:
     """struct<x, y> where two lines meet, null for parallel ones; equal vertical lines meet at an infinite y."""
-    both, slant = l["vertical"] & m["vertical"], ~l["vertical"] & ~m["vertical"]
-    x = F.when(slant, (m["intercept"] - l["intercept"]) / F.when(~near(l["slope"], m["slope"]), l["slope"] - m["slope"])).when(l["vertical"], l["x"]).otherwise(m["x"])
-    y = F.when(l["vertical"], line_at(m, x)).otherwise(line_at(l, x))
-    out = F.struct(x.alias("x"), F.when(both, float("inf")).otherwise(y).alias("y"))
-    return F.when(both, F.when(near(l["x"], m["x"]), out)).when(x.isNotNull(), out)
+
+    def met(pair: Column) -> Column:
+        l, m = pair["l"], pair["m"]
+        both, slant = l["vertical"] & m["vertical"], ~l["vertical"] & ~m["vertical"]
+        x = F.when(slant, (m["intercept"] - l["intercept"]) / F.when(~near(l["slope"], m["slope"]), l["slope"] - m["slope"])).when(l["vertical"], l["x"]).otherwise(m["x"])
+        y = F.when(l["vertical"], line_at(m, x)).otherwise(line_at(l, x))
+        out = F.struct(x.alias("x"), F.when(both, float("inf")).otherwise(y).alias("y"))
+        return F.when(both, F.when(near(l["x"], m["x"]), out)).when(x.isNotNull(), out)
+
+    # both lines are made once and named within the function: written out at each use they outgrow a compiled method
+    return F.transform(F.array(F.struct(l.alias("l"), m.alias("m"))), met)[0]
 
 
 def perpendicular(l: Column, x) -> Column:
