@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kerbline.llm import text as T
 from kerbline.llm.common import bounded_batches, checkpoint, shared_folder, table
 
-CACHED_UNITS, TEXT_BLOCK, LONG_UNIT, BLOCK_IDS = 600_000, 1 << 22, 256, 1 << 16
+CACHED_UNITS, TEXT_BLOCK, LONG_UNIT, BLOCK_IDS = 600_000, 1 << 21, 256, 1 << 16
 MAGIC = 0x314B434150544942
 TAIL = 4  # numbers at a footer's end: documents, blocks, width, magic
 
@@ -220,7 +220,11 @@ class Encoder:
             while True:
                 q = min(p + step, len(data))
                 rows = offsets[np.searchsorted(offsets, p) : np.searchsorted(offsets, q, "right")]
-                starts = np.unique(np.concatenate([[p], rows[rows < q], cuts(data[p:q]) + p]))
+                begins_here = np.zeros(q - p, bool)
+                begins_here[cuts(data[p:q])] = True
+                begins_here[rows[rows < q] - p] = True
+                begins_here[0] = True
+                starts = np.flatnonzero(begins_here) + p
                 if q == len(data):
                     break
                 if len(starts) > 1:  # the last unit may go on
