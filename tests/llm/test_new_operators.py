@@ -1,13 +1,19 @@
 """Hard negatives, collocations and files of token ids."""
 
+import os
 import random
+import re
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from kerbline.llm import op12_collocations as op12
 from kerbline.llm import op13_token_ids as op13
+from kerbline.llm import registry
 from kerbline.llm.common import shared_folder
 
 DATA = "/root/testdata/sf0.001"
@@ -110,3 +116,56 @@ def test_ids_of_all_documents(spark):
         ids = [*plain.encode(doc.text or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+# collocations --------------------------------------------------------------------------------------------------------------
+
+
+def _plain_collocations(docs, words, least, best, percent):
+    counts, total = Counter(), Counter()
+    for lang, text in docs:
+        g = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            ws = [w for w in re.split(r"[ \t]+", piece) if w]
+            total[g] += len(ws)
+            counts.update((g, tuple(ws[i : i + n])) for n in range(1, words + 1) for i in range(len(ws) - n + 1))
+    rows = {}
+    for (g, ph), a in counts.items():
+        if len(ph) < 2 or a < least:
+            continue
+        longer = [f for (h, q), f in counts.items() if h == g and f >= least and len(q) > len(ph) and any(q[i : i + len(ph)] == ph for i in range(len(q))) and 100 * f >= percent * a]
+        score, k = min((1_000_000 * a * a // (counts[g, ph[:k]] * counts[g, ph[k:]]), k) for k in range(1, len(ph)))
+        if not longer:
+            rows.setdefault(g, []).append((-score, -a, " ".join(ph).encode(), counts[g, ph[:k]], counts[g, ph[k:]]))
+    return sorted((g, i + 1, ph.decode(), -a, l, r, total[g], -s) for g, found in rows.items() for i, (s, a, ph, l, r) in enumerate(sorted(found)[:best]))
+
+
+@pytest.mark.parametrize("words, least, best, percent", [(3, 3, 2000, 50), (4, 2, 7, 60), (2, 2, 5, 50), (5, 3, 50, 90)])
+def test_collocations_against_plain_counts(spark, words, least, best, percent):
+    rng = random.Random(words)
+    signs = ["a", "b", "C", "c", "é", "a a", "New York city", "d\x00", ".", ", ", "!\n", "\t", "  ", "\r\x0b", " \U0001f600", "ﬀ"]
+    docs = [(rng.choice(["x", "x", "y", None, "und"]), " ".join(rng.choice(signs) for _ in range(rng.randrange(40)))) for _ in range(60)] + [("x", None), ("y", ""), ("z", " . "), (None, None)] + [("x", "new york city new york")] * 20
+    frame = spark.createDataFrame([(i, t, g, 1, "w1") for i, (g, t) in enumerate(docs)], "doc_id long, text string, lang string, f int, phrase string").repartition(3)
+    got = op12.collocations(frame, words, least, best, percent).collect()
+    assert sorted((r.g, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == _plain_collocations(docs, words, least, best, percent)
+
+
+def test_collocations_of_nothing(spark):
+    frame = spark.createDataFrame([], "text string, lang string")
+    assert op12.collocations(frame).count() == 0 and op12.collocations(spark.createDataFrame([(None, None), ("", "en")], "text string, lang string")).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 4_000_000_000_000
+    phrases = spark.createDataFrame([("g", ["a"], big), ("g", ["b"], big + 1), ("g", ["a", "b"], big - 1)], "g string, phrase array<string>, f long")
+    assert op12.scored(phrases).first().score == 1_000_000 * (big - 1) ** 2 // (big * (big + 1))
+
+
+@pytest.mark.parametrize("name", ["op12_collocations"])
+def test_new_queries_against_sql(spark, name):
+    duck = duckdb.connect()
+    for f in os.listdir(DATA):
+        duck.sql(f"create view {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'")
+    got, want = registry.queries()[name](spark, DATA).toPandas(), duck.sql(registry.oracle_sql()[name]).df()
+    assert sorted(got) == sorted(want) and len(want)
+    assert sorted(map(tuple, got[sorted(got)].values.tolist())) == sorted(map(tuple, want[sorted(want)].values.tolist()))
