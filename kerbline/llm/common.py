@@ -78,16 +78,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 FILTER_BITS, FILTER_PARTS = 23, 64
 
 
-def marked(keys: DataFrame):
-    """A test, for arrays of 64-bit keys, that all keys of the one column pass and few others do: a filter of 2 ** FILTER_BITS bits, whatever
-    the number of keys (1 MB at the driver and in each task). With a number of keys near 2 ** FILTER_BITS it only sieves less.
+def marked(keys: DataFrame, filter_bits: int = FILTER_BITS):
+    """A test, for arrays of 64-bit keys, that all keys of the one column pass and few others do: a filter of 2 ** filter_bits bits, whatever
+    the number of keys (by default 1 MB at the driver and in each task). With a number of keys near 2 ** filter_bits it only sieves less.
     """
     name = keys.columns[0]
 
     def marks(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << filter_bits, bool)
         for batch in batches:
-            bits[spot(batch.column(name).to_numpy(zero_copy_only=False))] = True
+            bits[spot(batch.column(name).to_numpy(zero_copy_only=False), filter_bits)] = True
         parts = np.packbits(bits).reshape(FILTER_PARTS, -1)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "marks": pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())})
@@ -101,7 +101,7 @@ def marked(keys: DataFrame):
         if total:
             yield pa.RecordBatch.from_pydict({"part": pa.array(total, pa.int32()), "marks": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
-    every = np.zeros((FILTER_PARTS, (1 << FILTER_BITS) // 8 // FILTER_PARTS), np.uint8)
+    every = np.zeros((FILTER_PARTS, (1 << filter_bits) // 8 // FILTER_PARTS), np.uint8)
     for part, blob in keys.mapInArrow(marks, "part int, marks binary").repartition(FILTER_PARTS, "part").mapInArrow(either, "part int, marks binary").collect():
         every[part] = np.frombuffer(blob, np.uint8)
     held = keys.sparkSession.sparkContext.broadcast(every.tobytes())
@@ -110,7 +110,7 @@ def marked(keys: DataFrame):
     def test(key: np.ndarray) -> np.ndarray:
         if not unpacked:
             unpacked.append(np.frombuffer(held.value, np.uint8))
-        at = spot(key)
+        at = spot(key, filter_bits)
         return (unpacked[0][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
     return test
@@ -126,6 +126,6 @@ def column_test(test):
     return passes
 
 
-def spot(key: np.ndarray) -> np.ndarray:
+def spot(key: np.ndarray, filter_bits: int = FILTER_BITS) -> np.ndarray:
     """A key's place in the filter."""
-    return (mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(64 - filter_bits)).astype(np.int64)

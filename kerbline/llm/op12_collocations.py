@@ -1,56 +1,155 @@
 """Phrase collocations by top-order marginalisation.
 
-A piece of text (between two marks) becomes one row a word: the word and, as lead columns, the words after it, padded where the piece ends. Only these longest
-windows are counted. A ROLLUP over the counted windows then sums ever shorter prefixes, and since every occurrence of a phrase begins exactly
-one window, the prefixes' sums are the counts of all shorter phrases, of single words, and of all words of a group. So the text is exploded once, whatever the
-phrases' lengths. Windows are counted within tasks before they are shuffled, so a very common word, phrase or line costs no task more than others.
+Every word of a piece of text (between two marks) begins one window: the word and, as lead columns, the words after it, padded where the piece ends. Only these
+longest windows are counted, within tasks before they are shuffled. A ROLLUP over the counted windows then sums ever shorter prefixes, and since every
+occurrence of a phrase begins exactly one window, the prefixes' sums are the counts of all shorter phrases, of single words, and of all words of a group.
+
+Most windows are rare, and shuffling them whole takes many times the texts' size. So hashes of neighbouring words are counted first, and a window is padded
+from the first pair on that occurs too seldom for a candidate: no count of a phrase that can be a candidate, or of its parts, changes. The filter
+of frequent pairs has at most 2 ** MOST_BITS bits; beyond about as many pairs it sieves less and the shuffle grows, results stay.
 
 A candidate's score is the lowest over its cuts into two parts of scale * a * a / (l * r), a whole number from exact decimals.
 """
 
 from __future__ import annotations
 
-import string
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import checkpoint, salted_join, table
+from kerbline.llm import text as T
+from kerbline.llm.common import bounded_batches, checkpoint, marked, salted_join, table
+from kerbline.llm.op13_token_ids import unit_hashes
 from kerbline.operators.tables import dense_ids
 
-# Marks end a piece, as line ends do; a tab is a space.
-MARKS, PAD = ".,;:!?\x0b\x0c\r", ""
-
-
-def pieces(text: Column) -> Column:
-    """The pieces of a text, A-Z in lower case; a null text is an empty one."""
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase + MARKS + "\t", string.ascii_lowercase + "\n" * len(MARKS) + " ")
-    return F.split(plain, "\n")
-
-
-def windows(docs: DataFrame, words: int, text: str = "text", group: str = "lang", other: str = "und") -> DataFrame:
-    """(g, w1, ..., w<words>): for each word of all texts, the group of its text, the word and those after it in its piece; PAD where there is none."""
-    g = F.coalesce(F.col(group).cast("string"), F.lit(other)).alias("g")
-    rows = docs.select(g, F.explode(pieces(F.col(text))).alias("p")).select("g", F.array_remove(F.split("p", " "), PAD).alias("ws")).where(F.size("ws") > 0)
-    led = [F.slice("ws", k + 1, F.greatest(F.size("ws") - k, F.lit(0))).alias(f"w{k + 1}") for k in range(1, words)]
-    rows = rows.select("g", F.inline(F.arrays_zip(F.col("ws").alias("w1"), *led)))
-    return rows.select("g", "w1", *[F.coalesce(f"w{k}", F.lit(PAD)).alias(f"w{k}") for k in range(2, words + 1)])
+PAD, BLOCK, MOST_BITS = "", 1 << 22, 26
+# Marks and line ends end a piece, spaces and tabs part words, A-Z are written as a-z.
+_MARK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
+_WORD = ~_MARK & ~np.isin(np.arange(256), list(b" \t"))
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+
+
+class Words:
+    """The words of a block of rows: their bytes (data, start, end), row, and two hashes; joined says whether a word and the next are of one piece."""
+
+    def __init__(self, data: np.ndarray, rows: np.ndarray, first: int):
+        """rows: where the rows after the first begin in data; first: the number of the first."""
+        self.data = _LOWER[data]
+        word, new = _WORD[data], np.zeros(len(data) + 1, bool)
+        new[rows] = True
+        new[-1] = True
+        before, after = np.concatenate([[False], word[:-1]]), np.append(word[1:], False)
+        self.start = np.flatnonzero(word & (~before | new[:-1]))
+        self.end = np.flatnonzero(word & (~after | new[1:])) + 1
+        self.row = first + np.searchsorted(rows, self.start, "right")
+        piece = np.cumsum(_MARK[data])[self.start]
+        self.joined = np.append((piece[1:] == piece[:-1]) & (self.row[1:] == self.row[:-1]), False) if len(piece) else np.zeros(0, bool)
+        self.hash, self.other = unit_hashes(self.data, self.start, self.end)
+
+    def pairs(self, groups: np.ndarray) -> np.ndarray:
+        """A hash of each word and the next, if they are of one piece, and the row's group."""
+        both = T.mix(self.hash ^ groups[self.row]) * np.uint64(0x9FB21C651E98DF25) + np.append(self.hash[1:], np.zeros(min(1, len(self.hash)), np.uint64))
+        return T.mix(both)
+
+    def numbered(self) -> tuple[np.ndarray, pa.Array]:
+        """A number for each word, and the different words by number."""
+        order = np.argsort(self.hash, kind="stable")
+        differs = lambda x: x[order][1:] != x[order][:-1]
+        new = differs(self.hash)
+        if (differs(self.other) & ~new).any():
+            order = np.lexsort((self.other, self.hash))
+            new = differs(self.hash) | differs(self.other)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.concatenate([[0], np.cumsum(new)])
+        some = order[np.concatenate([[True], new])]
+        size = self.end[some] - self.start[some]
+        to = np.cumsum(size)
+        letters = self.data[np.repeat(self.start[some] - (to - size), size) + np.arange(to[-1])]
+        return number, pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(np.concatenate([[0], to]).astype(np.int64)), pa.py_buffer(letters))
+
+
+def blocks(column: pa.Array) -> Iterator[Words]:
+    """The words of a string column, a block of text at a time; longer texts are cut after marks only."""
+    data, offsets = T.utf8(column)
+    p = 0
+    while p < len(data):
+        q = min(p + BLOCK, len(data))
+        while q < len(data):
+            inner = offsets[np.searchsorted(offsets, p, "right") : np.searchsorted(offsets, q, "right")]
+            marks = np.flatnonzero(_MARK[data[p:q]])
+            last = max(int(inner[-1]) if len(inner) else p, p + int(marks[-1]) + 1 if len(marks) else p)
+            if last > p:
+                q = last
+                break
+            q = min(q + BLOCK, len(data))
+        first = int(np.searchsorted(offsets, p, "right")) - 1
+        rows = offsets[first + 1 :]
+        words = Words(data[p:q], rows[rows < q] - p, first)
+        if len(words.start):
+            yield words
+        p = q
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        groups = batch.column("gh").to_numpy().view(np.uint64)
+        for words in blocks(batch.column("text")):
+            pair, n = np.unique(words.pairs(groups)[words.joined], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pair.view(np.int64)), "n": pa.array(n, pa.int64())})
+    T.tidy()
+
+
+def _windows(size: int, frequent: Callable):
+    names = [f"w{k}" for k in range(1, size + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, g = batch.column("gh").to_numpy().view(np.uint64), batch.column("g").dictionary_encode()
+            of_row = g.indices.to_numpy()
+            for words in blocks(batch.column("text")):
+                number, known = words.numbered()
+                n, open_ = len(number), words.joined & frequent(words.pairs(groups).view(np.int64))
+                columns, going = [number], np.ones(n, bool)
+                for k in range(1, size):  # lead columns; len(known) is the padding
+                    going = going & np.append(open_[k - 1 :], np.zeros(min(k - 1, n), bool))[:n]
+                    lead = np.append(number[k:], np.zeros(min(k, n), np.int64))
+                    columns.append(np.where(going, lead, len(known)))
+                key = of_row[words.row].astype(np.int64)
+                for c in columns:
+                    some, first, key, count = np.unique(key * (len(known) + 1) + c, return_index=True, return_inverse=True, return_counts=True)
+                known = pa.concat_arrays([known, pa.array([PAD], pa.large_string())])
+                arrays = [g.dictionary.cast(pa.large_string()).take(pa.array(of_row[words.row[first]]))] + [known.take(pa.array(c[first])) for c in columns]
+                for a in range(0, len(first), 1 << 16):
+                    part = [x.slice(a, 1 << 16).cast(pa.string()) for x in arrays]
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(count[a : a + (1 << 16)], pa.int64())], names=["g", *names, "f"])
+        T.tidy()
+
+    return run
 
 
 def counted(docs: DataFrame, words: int, least: int, text: str = "text", group: str = "lang", other: str = "und") -> tuple[DataFrame, DataFrame]:
-    """Counts (g, phrase array, f) of all phrases of up to `words` words with f >= least, and totals (g, n) of all words, each from one rollup."""
+    """Counts (g, phrase array, f) of all phrases of up to `words` words with f >= least, and totals (g, n) of all words, all from one table of windows."""
+    bounded_batches(docs.sparkSession)
+    g = F.coalesce(F.col(group).cast("string"), F.lit(other))
+    rows = docs.select(g.alias("g"), F.xxhash64(g).alias("gh"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
+    pairs = rows.select("gh", "text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = checkpoint(pairs.where(F.col("n") >= least).select("pair"))
+    bits = min(MOST_BITS, max(16, (16 * pairs.count()).bit_length()))
     names = [f"w{k}" for k in range(1, words + 1)]
-    top = windows(docs, words, text, group, other).groupBy("g", *names).agg(F.count("*").alias("f"))
-    # a prefix ends before the column that it does not group by; the windows themselves are its last level, counted already
-    level = F.grouping_id().alias("level")
-    summed = top.rollup("g", *names[:-1]).agg(F.sum("f").alias("f"), level)
-    whole = top.where(F.col("f") >= least).select("g", *names, "f", F.lit(-1).cast("long").alias("level"))
-    short = summed.where((F.col("level") == (1 << (words - 1)) - 1) | (F.col("f") >= least)).select("g", *names[:-1], F.lit(None).cast("string").alias(names[-1]), "f", "level")
-    rows = checkpoint(whole.unionByName(short).where("g is not null"))
-    # a prefix that ends in padding repeats a shorter window
+    top = rows.mapInArrow(_windows(words, marked(pairs, bits)), ", ".join(f"{c} string" for c in ["g", *names]) + ", f long")
+    top = checkpoint(top.groupBy("g", *names).agg(F.sum("f").alias("f")))
+    # a prefix ends before the first column that the rollup leaves out; the windows themselves are its last level, counted already
+    summed = top.rollup("g", *names[:-1]).agg(F.sum("f").alias("f"))
+    whole = top.where(F.col("f") >= least).select("g", *names, "f")
+    short = summed.where(F.col("w1").isNull() | (F.col("f") >= least)).select("g", *names[:-1], F.lit(None).cast("string").alias(names[-1]), "f")
+    found = checkpoint(whole.unionByName(short).where("g is not null"))
+    # a prefix that ends in padding repeats a shorter one
     phrase = F.array_compact(F.array(*names))
-    phrases = rows.where(F.col("w1").isNotNull()).select("g", phrase.alias("phrase"), "f").where(F.element_at("phrase", -1) != PAD)
-    return phrases, rows.where(F.col("w1").isNull()).select("g", F.col("f").alias("n"))
+    phrases = found.where(F.col("w1").isNotNull()).select("g", phrase.alias("phrase"), "f").where(F.element_at("phrase", -1) != PAD)
+    return phrases, found.where(F.col("w1").isNull()).select("g", F.col("f").alias("n"))
 
 
 def scored(phrases: DataFrame, scale: int = 1_000_000) -> DataFrame:
