@@ -15,6 +15,7 @@ MODULES = (
     "op8_toxicity",
     "op9_pii",
     "op10_warc",
+    "op11_hard_negatives",
     "op12_collocations",
     "op13_token_ids",
 )

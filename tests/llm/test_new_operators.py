@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from kerbline.llm import op11_hard_negatives as op11
 from kerbline.llm import op12_collocations as op12
 from kerbline.llm import op13_token_ids as op13
 from kerbline.llm import registry
@@ -161,7 +162,7 @@ def test_scores_beyond_64_bits(spark):
     assert op12.scored(phrases).first().score == 1_000_000 * (big - 1) ** 2 // (big * (big + 1))
 
 
-@pytest.mark.parametrize("name", ["op12_collocations"])
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_collocations"])
 def test_new_queries_against_sql(spark, name):
     duck = duckdb.connect()
     for f in os.listdir(DATA):
@@ -169,3 +170,100 @@ def test_new_queries_against_sql(spark, name):
     got, want = registry.queries()[name](spark, DATA).toPandas(), duck.sql(registry.oracle_sql()[name]).df()
     assert sorted(got) == sorted(want) and len(want)
     assert sorted(map(tuple, got[sorted(got)].values.tolist())) == sorted(map(tuple, want[sorted(want)].values.tolist()))
+
+
+# hard negatives ------------------------------------------------------------------------------------------------------------
+
+
+def _plain_mine(rows, positives, negatives, low, high):
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))  # noqa: E731, B905
+    out = []
+    for a, label, v, anchor in rows:
+        if not anchor:
+            continue
+        others = [(-dot(v, w), i, other) for i, other, w, _ in rows if i != a]
+        for p, pid, _ in sorted(x for x in others if x[2] == label)[:positives]:
+            fits = sorted(x for x in others if x[2] != label and low * -p <= 100 * -x[0] <= high * -p)[:negatives]
+            out += [(a, pid, k + 1, i, -p, -s) for k, (s, i, _) in enumerate(fits)]
+    return sorted(out)
+
+
+def _mined(spark, rows, **more):
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "id long, label int, v array<long>, anchor boolean, cell string, centre int").repartition(3)
+    return sorted(tuple(r) for r in op11.mine(frame, **more).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+
+
+@pytest.mark.parametrize("seed, leaf, cell", [(1, 2, 50), (2, 8, 2048), (3, 4, 7)])
+def test_hard_negatives_against_all_pairs(spark, monkeypatch, seed, leaf, cell):
+    monkeypatch.setattr(op11, "CELL", cell)
+    monkeypatch.setattr(op11, "QUERIES", 20)
+    monkeypatch.setattr(op11.CoverTree.__init__, "__defaults__", (leaf,))
+    rng = np.random.default_rng(seed)
+    hot = rng.integers(-40, 40, 6)
+    vectors = [*(hot + rng.integers(-1, 2, (120, 6))), *([hot] * 40), *rng.integers(-50, 50, (200, 6)), *([np.zeros(6, np.int64)] * 5)]
+    rows = [(i - 30, int(rng.integers(3)), [int(x) for x in v], i % 9 == 0) for i, v in enumerate(vectors)]
+    assert _mined(spark, rows) == _plain_mine(rows, 5, 10, 30, 90)
+    assert _mined(spark, rows, positives=2, negatives=300, low=-50, high=100) == _plain_mine(rows, 2, 300, -50, 100)
+
+
+def test_odd_vectors(spark):
+    rows = [(1, 0, [3, 4], True), (2, 0, [5], False), (3, 1, [2, 1, 9], False), (4, 1, [], False), (5, 9, [1 << 40, 3], True), (6, 9, [1 << 20, 1], False), (7, 1, [(1 << 19) + 1, 7], False)]
+    assert _mined(spark, rows) == _plain_mine(rows, 5, 10, 30, 90)
+    repeated = [*rows, rows[0], rows[2], (None, 0, [1], True), (8, None, [1], True), (9, 0, None, True)]
+    assert _mined(spark, repeated) == _plain_mine(rows, 5, 10, 30, 90)
+    assert _mined(spark, []) == [] and _mined(spark, rows[:1]) == [] and _mined(spark, [(i, 0, [1], False) for i in range(9)]) == []
+
+
+def test_trees_cover_and_skip():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-3000, 3000, (40, 8))
+    vectors = np.concatenate([c + rng.integers(-20, 20, (50, 8)) for c in centres])
+    tree = op11.CoverTree(np.arange(2000), np.zeros(2000, int), vectors, 8)
+    assert sorted(tree.ids) == list(range(2000)) and len(tree.radius) > 100
+    for centre, radius, (begin, end, child, last) in zip(tree.centre, tree.radius, tree.ranges, strict=True):
+        x = tree.vectors[begin:end].astype(float)
+        lift = lambda v: np.sqrt(np.maximum(tree.square - (v**2).sum(-1), 0))
+        d = np.sqrt(((x - tree.vectors[centre]) ** 2).sum(1) + (lift(x) - lift(tree.vectors[centre].astype(float))) ** 2)
+        assert begin <= centre < end and d.max() <= radius * (1 + 1e-9) + 1e-6
+        assert not child or (tree.ranges[child][0], tree.ranges[last - 1][1]) == (begin, end)
+    seen, plain = [], op11.CoverTree.products
+    tree.products = lambda rows, q: (seen.append(len(tree.vectors[rows])), plain(tree, rows, q))[1]
+    q = vectors[17]
+    assert tree.best(q, [(None, None)], 5, lambda ids, labels: ids >= 0)[0] == sorted(((int(s), i) for i, s in enumerate(vectors @ q)), key=lambda x: (-x[0], x[1]))[:5]
+    assert sum(seen) < 700  # of 2,000 points and their nodes
+
+
+def test_embeddings_that_take_no_part(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i * 10, [((i * 7 + k * 3) % 11 - 5) / 5.0 for k in range(4)], i % 2) for i in range(60)] + [(1000, None, 1), (1100, [1.0, None], 1), (1200, [nan, 1.0], 0), (1300, [inf, 0.0], 0), (1400, [1.0, 1.0, 1.0, 1.0], None), (None, [1.0, 1.0, 1.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    names = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    got = [tuple(r) for r in op11.op11_hard_negatives(spark, str(tmp_path)).select(*names).collect()]
+    assert sorted(got) == sorted(duck.sql(f"select {', '.join(names)} from ({op11.ORACLE_SQL})").fetchall()) and got
+
+
+def test_windows_are_the_same_however_blocks_fall(spark, monkeypatch):
+    texts = ["a b. c D", None, "", " x\ty ", "no marks at all in this text", "e,f;g\nh", "é é é! ü"]
+    def counted():  # noqa: E306
+        seen = Counter()
+        column = pa.array(texts, pa.string())
+        for words in op12.blocks(column):
+            number, known = words.numbered()
+            known = known.to_pylist()
+            seen.update((int(words.row[i]), known[number[i]], known[number[i + 1]] if words.joined[i] else None) for i in range(len(number)))
+        return seen
+    whole = counted()
+    assert whole[4, "no", "marks"] == 1 and whole[0, "b", None] == 1 and whole[0, "c", "d"] == 1 and whole[3, "x", "y"] == 1 and whole[6, "é", "é"] == 2
+    for block in (1, 5, 16):
+        monkeypatch.setattr(op12, "BLOCK", block)
+        assert counted() == whole
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"a b c{i % 3} d e f{i % 5} a b. a b c1", "en") for i in range(60)], "doc_id long, text string, lang string")
+    rows = lambda: sorted(map(tuple, op12.collocations(frame).collect()))
+    want = rows()
+    monkeypatch.setattr(op12, "marked", lambda keys, bits: lambda pairs: np.ones(len(pairs), bool))
+    assert rows() == want and want
