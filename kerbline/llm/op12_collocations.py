@@ -25,7 +25,7 @@ from kerbline.llm.common import bounded_batches, checkpoint, marked, salted_join
 from kerbline.llm.op13_token_ids import unit_hashes
 from kerbline.operators.tables import dense_ids
 
-PAD, BLOCK, MOST_BITS = "", 1 << 22, 26
+PAD, BLOCK, MOST_BITS = "", 1 << 20, 26
 # Marks and line ends end a piece, spaces and tabs part words, A-Z are written as a-z.
 _MARK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 _WORD = ~_MARK & ~np.isin(np.arange(256), list(b" \t"))
