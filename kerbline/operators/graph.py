@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo as G
+from kerbline.operators import overlay
 from kerbline.operators.lineage import checkpoint
 
 
@@ -72,10 +73,8 @@ def distances(edges: DataFrame, sources: DataFrame, cost: str = "distance") -> D
     return best
 
 
-#: Costs are whole numbers of this many to one within searches, so that sums don't depend on their order and ties are ties.
-PARTS = 1_000_000_000
 #: Searches that one task takes over a block of vertices at most, about.
-SEARCHES = 20_000
+SEARCHES = 500
 
 
 def _within_block(block: int):
@@ -114,29 +113,15 @@ def _within_block(block: int):
 BLOCK = 2048
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame, cost: str = "distance", most_edges: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, requests: DataFrame, cost: str = "distance", most_edges: int | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """(request, path, cost) for requests (request, start, targets array): the cheapest path to any target; no row if none is reached.
 
-    Vertices are cut into blocks of BLOCK neighbouring ids. A round searches each block that a request has newly entered, all searches of a block
-    in few tasks that hold its edges alone, and the next begins where they leave it; a state that costs more than the request's cheapest target
-    so far goes no further. So the rounds count the blocks along a path, not its edges, and no task sees the whole graph (most_edges, once a
-    bound for that, is not used). Costs must not be negative; they count in parts of 1e-9, at least one an edge. Of targets of
-    equal cost the least is taken, of equal ways to a vertex the one from the least vertex.
+    An overlay of blocks is built (operators/overlay.py) and searched from both ends; with vertices (id, lat, lng) blocks are places, else ranges in the order
+    of ids. Rounds count the overlay's levels (most_edges, once a bound, is not used). Costs must not be negative; they count in parts of 1e-9, at least
+    one an edge. Of targets of equal cost the least is taken, of equal ways to a vertex the one from the least vertex.
     """
-    whole = F.greatest(F.round(F.col(cost).cast("double") * PARTS).cast("long"), F.lit(1))
-    near = edges.where("vertexStartId <> vertexEndId").groupBy(F.col("vertexStartId").alias("s"), F.col("vertexEndId").alias("d")).agg(F.min(whole).alias("c"))
-    near = _blocked(near)
-    # what no edge leads to is no target, and without a target there is nothing to search
-    ends = requests.select("request", "start", F.explode("targets").alias("id")).distinct()
-    ends = ends.where("id = start").unionByName(ends.where("id <> start").join(near.select(F.col("d").alias("id")).distinct(), "id", "left_semi"))
-    asked = checkpoint(ends.groupBy("request", "start").agg(F.collect_set("id").alias("targets")))
-    best = _searched(near, asked)
-    ends = checkpoint(best.where("goal").groupBy("request").agg(F.min(F.struct("cost", "id")).alias("end")).select("request", "end.*"))
-    # edges along which a state's cost was reached; of several the one from the least vertex
-    kept = best.select("request", "id", "cost").join(ends.select("request", F.col("cost").alias("most")), "request").where("cost <= most").drop("most")
-    ahead = kept.join(near, F.col("id") == F.col("s")).select("request", F.col("d").alias("id"), F.col("id").alias("above"), (F.col("cost") + F.col("c")).alias("cost"))
-    links = ahead.join(kept, ["request", "id", "cost"]).groupBy("request", F.col("id").alias("node")).agg(F.min("above").alias("above"))
-    return _walked(ends, checkpoint(links))
+    made = overlay.build(edges.select("vertexStartId", "vertexEndId", overlay.whole_cost(cost).alias("c")), min(BLOCK, overlay.BLOCK), vertices)
+    return overlay.paths(made, requests, SEARCHES)
 
 
 def _block(c: str) -> Column:
@@ -169,19 +154,6 @@ def _searched(near: DataFrame, asked: DataFrame) -> DataFrame:
         best = checkpoint(both.select("request", "id", F.least("cost", "next").alias("cost"), (better & F.col("enters")).alias("new"), F.coalesce("goal", "aim").alias("goal")))
 
 
-def _walked(ends: DataFrame, links: DataFrame) -> DataFrame:
-    """(request, path, cost) from each request's end (request, id, cost) back along links (request, node, above); the reach doubles each round."""
-    paths, step = ends.select("request", F.col("id").alias("node"), F.lit(0).cast("long").alias("up")), 1
-    while not links.isEmpty():
-        more = paths.join(links, ["request", "node"]).select("request", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        paths = checkpoint(paths.union(more))
-        over = links.select("request", F.col("node").alias("low"), F.col("above").alias("node")).join(links, ["request", "node"])
-        links, step = checkpoint(over.select("request", F.col("low").alias("node"), "above")), 2 * step
-    order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "node"))), lambda x: x["node"])
-    found = paths.groupBy("request").agg(order.alias("path"))
-    return found.join(ends, "request").select("request", "path", (F.col("cost") / PARTS).alias("cost"))
-
-
 def walk_cost(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Great-circle kilometres of edges with ends of known coordinates, and penalties: 10 on an inaccessible sidewalk, 5 per end of a crossing without an accessible ramp.
 

@@ -119,7 +119,7 @@ _TARGETS = f"""SELECT q.id AS request, {s6('min(c)')} AS cost, arg_min(hops, c)
 
 @query("gra-13", f"SELECT request, cost FROM ({_TARGETS}) z")
 def gra_13(t):
-    return N.shortest_paths(_costed(t), _requests(t), "cost").select("request", r6(C("cost")).alias("cost"))
+    return N.shortest_paths(_costed(t), _requests(t), "cost", vertices=t("street_vertex")).select("request", r6(C("cost")).alias("cost"))
 
 
 @query("gra-14")
@@ -149,7 +149,7 @@ def gra_17(t):
 @query("gra-18", f"SELECT request, request AS first, target AS last, CAST(vertices AS INT) AS vertices, CAST(vertices - 1 AS BIGINT) AS steps FROM ({_TARGETS}) z")
 def gra_18(t):
     """Paths, and how many of their steps are edges."""
-    paths = N.shortest_paths(_costed(t), _requests(t), "cost").select("request", "path")
+    paths = N.shortest_paths(_costed(t), _requests(t), "cost", vertices=t("street_vertex")).select("request", "path")
     steps = paths.select("request", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("s"), F.slice("path", 2, F.size("path") - 1).alias("d"))).alias("x")).select("request", "x.s", "x.d")
     known = t("street_edge").select(C("vertexStartId").alias("s"), C("vertexEndId").alias("d"))
     steps = steps.join(known, ["s", "d"], "left_semi").groupBy("request").agg(F.count("*").alias("steps"))
