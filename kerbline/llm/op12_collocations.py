@@ -160,8 +160,8 @@ def scored(phrases: DataFrame, scale: int = 1_000_000) -> DataFrame:
     cut = candidates.select("g", "phrase", "a", cut)
     cut = cut.select("g", joined("phrase").alias("phrase"), "a", "k", joined(F.expr("slice(phrase, 1, k)")).alias("first"), joined(F.expr("slice(phrase, k + 1, size(phrase) - k)")).alias("rest"))
     part = lambda name, f: phrases.select("g", joined("phrase").alias(name), F.col("f").alias(f))
-    cut = salted_join(cut, part("first", "l"), ["g", "first"], "phrase")
-    cut = salted_join(cut, part("rest", "r"), ["g", "rest"], "phrase")
+    # a very common word stands in a small part of all candidates; Spark splits its rows where they are many
+    cut = cut.join(part("first", "l"), ["g", "first"]).join(part("rest", "r"), ["g", "rest"])
     whole = lambda c: f"cast({c} as decimal(15,0))"
     score = F.expr(f"cast({scale} as decimal(7,0)) * {whole('a')} * {whole('a')} div ({whole('l')} * {whole('r')})")
     best = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("b")
