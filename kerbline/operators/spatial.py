@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo as G
+from kerbline.operators.lineage import checkpoint
+from kerbline.operators.overlay import curve
+from kerbline.operators.tables import dense_ids
 
 
 def in_radius(at_lat: float, at_lng: float, km: float, lat="lat", lng="lng", use_box: bool = True, mode: str = "planar") -> Column:
@@ -68,34 +71,77 @@ def edges_in_rectangle(edges: DataFrame, vertices: DataFrame, north: float, east
 def within_distance(left: DataFrame, right: DataFrame, km: float, mode: str = "planar") -> DataFrame:
     """Pairs of left (id, lat, lng, ...) and right rows at most km apart: columns l and r (structs) and distance.
 
-    Rows meet by equality in grid cells as wide as the distance, left rows in their own cell and right rows in the nine around theirs. In
-    planar mode both axes are radians; in haversine mode the cells of longitude are widened by the cosine of the
-    latitudes, which must stay below 85 degrees. A crowded cell is split by Spark as a skewed join.
+    Rows meet by equality in grid cells as wide as the distance, left rows in their own cell and right rows in the nine around theirs. In planar mode both
+    axes are radians and the plane ends where longitudes do. In haversine mode the cells lie on the sphere: a band of latitude has as many columns as are
+    wide enough at its end nearer to a pole, they close to a ring across the antimeridian, and the bands about a pole are one cell each. A
+    crowded cell is split by Spark as a skewed join.
     """
-    size = math.degrees(km / G.EARTH_KM)
+    angle = km / G.EARTH_KM
+    size = math.degrees(angle) * 1.000001
     row = lambda lat: F.floor(lat / size).cast("long")
     if mode == "planar":
-        width = lambda r: F.lit(size)
-        distance = G.planar_radians("l.lat", "l.lng", "r.lat", "r.lng")
-        most = km / G.EARTH_KM
+        around = lambda r, lng: (c := F.floor(lng / size).cast("long"), [c - 1, c, c + 1])
+        distance, most = G.planar_radians("l.lat", "l.lng", "r.lat", "r.lng"), angle
     else:
-        # of the row band and its neighbours, the end nearer to a pole needs the widest cells
-        edge = lambda r: F.greatest(F.abs((r - 1) * size), F.abs((r + 2) * size))
-        width = lambda r: F.lit(size * 1.001) / F.cos(F.radians(F.least(edge(r), F.lit(86.0))))
         distance, most = G.haversine_km("l.lat", "l.lng", "r.lat", "r.lng"), km
+
+        def around(r: Column, lng: Column) -> tuple[Column, list[Column]]:
+            edge = F.radians(F.greatest(F.abs(r * size), F.abs((r + 1) * size)))  # the most that a latitude of the band can be
+            widest = F.asin(F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(edge)) * 1.000001
+            columns = F.when(edge + angle * 1.000001 < math.pi / 2, F.greatest(F.floor(2 * math.pi / widest), F.lit(1))).otherwise(1).cast("long")
+            c = F.least(F.floor(F.pmod(lng.cast("double"), F.lit(360.0)) / 360 * columns).cast("long"), columns - 1)
+            return c, [F.pmod(c + i, columns) for i in (-1, 0, 1)]
+
     l = left.select(F.struct(*left.columns).alias("l")).withColumn("cell_row", row(F.col("l.lat")))
-    l = l.withColumn("cell_column", F.floor(F.col("l.lng") / width(F.col("cell_row"))).cast("long"))
+    l = l.withColumn("cell_column", around(F.col("cell_row"), F.col("l.lng"))[0])
     r = right.select(F.struct(*right.columns).alias("r"), F.explode(F.array(*[row(F.col("lat")) + i for i in (-1, 0, 1)])).alias("cell_row"))
-    column = F.floor(F.col("r.lng") / width(F.col("cell_row"))).cast("long")
-    r = r.withColumn("cell_column", F.explode(F.array(*[column + i for i in (-1, 0, 1)])))
+    r = r.withColumn("cell_column", F.explode(F.array_distinct(F.array(*around(F.col("cell_row"), F.col("r.lng"))[1]))))
     return l.join(r, ["cell_row", "cell_column"]).withColumn("distance", distance).where(F.col("distance") <= most).select("l", "r", "distance")
 
 
-def nearest_each(points: DataFrame, targets: DataFrame, km: float) -> DataFrame:
-    """For each point the nearest target within km, ties by id: (id, nearest, distance), by the grid join."""
-    pairs = within_distance(points, targets, km, "haversine")
-    best = F.struct(F.round("distance", 9).alias("d"), F.col("r.id").alias("id"))
-    return pairs.groupBy(F.col("l.id").alias("id")).agg(F.min(best).alias("b"), F.min("distance").alias("distance")).select("id", F.col("b.id").alias("nearest"), "distance")
+#: Places that a cell of the tree below holds, and cells that one of the next level holds.
+HELD = 64
+
+
+def nearest_each(points: DataFrame, targets: DataFrame, km: float | None = None) -> DataFrame:
+    """For each point the nearest target, ties by id: (id, nearest, distance); with km only those within it.
+
+    With km by the grid join. Without, however far the nearest target is: targets in the order of a space-filling curve are cut into cells of HELD, those into cells
+    of HELD cells, up to one. A cell knows one of its targets and how far the others are from it at most, which bounds the distance of its nearest from both
+    sides. Each point descends from the top into those cells alone whose lower bound is not above its least upper bound; rounds are a logarithm of the
+    targets. Points and targets without a place take no part; no targets, no rows.
+    """
+    best = lambda d, i: F.min(F.struct(F.round(d, 9).alias("d"), F.col(i).alias("id"))).alias("b")
+    if km is not None:
+        pairs = within_distance(points, targets, km, "haversine")
+        return pairs.groupBy(F.col("l.id").alias("id")).agg(best("distance", "r.id"), F.min("distance").alias("distance")).select("id", F.col("b.id").alias("nearest"), "distance")
+    # the farthest target is half a great circle away
+    placed = lambda df: df.select("id", "lat", "lng").where("id is not null and lat is not null and lng is not null")
+    ranked = dense_ids(placed(targets).withColumn("key", curve("lat", "lng")), ["key", "id", "lat", "lng"], "z")
+    cells, levels = ranked.select(F.col("z") - 1, "id", "lat", "lng", F.lit(0.0)).toDF("cell", "id", "lat", "lng", "radius"), []
+    while True:
+        one = F.struct("cell", "lat", "lng", "radius", "id")
+        made = cells.groupBy(F.floor(F.col("cell") / HELD).cast("long").alias("cell")).agg(F.sort_array(F.collect_list(one)).alias("held"))
+        first = F.col("held")[0]
+        reach = F.array_max(F.transform("held", lambda x: G.haversine_km(x["lat"], x["lng"], first["lat"], first["lng"]) + x["radius"]))
+        made = checkpoint(made.select("cell", "held", first["lat"].alias("lat"), first["lng"].alias("lng"), reach.alias("radius"), F.lit(None).cast("long").alias("id")))
+        levels.append(made)
+        n = made.count()
+        if n <= 1:
+            break
+        cells = made
+    open_ = placed(points).distinct().select(F.struct("id", "lat", "lng").alias("p"), F.lit(0).cast("long").alias("cell"))
+    for k in range(len(levels) - 1, -1, -1):
+        held = levels[k].select("cell", "held")
+        # the top is one row, the next level HELD at most
+        found = open_.join(F.broadcast(held) if k >= len(levels) - 2 else held, "cell").select("p", F.explode("held").alias("h"))
+        found = found.withColumn("d", G.haversine_km("p.lat", "p.lng", "h.lat", "h.lng"))
+        if k:
+            least = F.min("d").over(Window.partitionBy("p"))
+            found = found.withColumn("least", least).where(F.col("d") - F.col("h.radius") <= F.col("least") + 1e-7)
+            # what is written anew each level keeps Spark's size estimates true
+            open_ = checkpoint(found.select("p", F.col("h.cell").alias("cell")))
+    return found.groupBy("p").agg(best("d", "h.id"), F.min("d").alias("distance")).groupBy(F.col("p.id").alias("id")).agg(F.min(F.struct("b", "distance")).alias("x")).select("id", F.col("x.b.id").alias("nearest"), "x.distance")
 
 
 # Joins along the graph's tables.

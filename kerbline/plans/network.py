@@ -11,6 +11,7 @@ from kerbline.operators import spatial as S
 from kerbline.operators import streets as W
 from kerbline.operators import tables as B
 from kerbline.operators import transit as R
+from kerbline.plans import fixtures
 from kerbline.plans.base import km, planar, query, r6, s6, within
 from kerbline.plans.relational import LAT, LNG, RECT, RECTANGLE, WAY
 
@@ -253,10 +254,13 @@ def rte_01(t):
     return t("leg").select("id", F.when(G.haversine_km("lat1", "lng1", "lat2", "lng2") <= 0.3, "WALK").otherwise("TRANSIT").alias("mode"))
 
 
-@query("rte-04", "SELECT id, 'START' AS place FROM crossing WHERE rampStartId IS NULL UNION ALL SELECT id, 'END' FROM crossing WHERE rampEndId IS NULL")
+@query("rte-04", """SELECT 'SIDEWALK' AS type, id, 'FROM' AS place, vertexStartId AS at FROM sidewalk_edge WHERE NOT isAccessible UNION ALL SELECT 'SIDEWALK', id, 'TO', vertexEndId FROM sidewalk_edge WHERE NOT isAccessible
+    UNION ALL SELECT 'RAMP', c.id, 'START', vertexStartId FROM crossing c LEFT JOIN ramp r ON r.id = c.rampStartId WHERE NOT coalesce(r.isAccessible, FALSE) UNION ALL SELECT 'RAMP', c.id, 'END', vertexEndId FROM crossing c LEFT JOIN ramp r ON r.id = c.rampEndId WHERE NOT coalesce(r.isAccessible, FALSE)""")
 def rte_04(t):
-    places = F.array_compact(F.array(F.when(C("rampStartId").isNull(), "START"), F.when(C("rampEndId").isNull(), "END")))
-    return t("crossing").select("id", F.explode(places).alias("place"))
+    """What stands in the way of each sidewalk and crossing: both ends of an inaccessible sidewalk, each end of a crossing without an accessible ramp."""
+    from kerbline.operators.walk import incidents
+
+    return incidents(t("sidewalk_edge"), t("crossing"), t("ramp"))
 
 
 @query("rte-05", "SELECT id, CASE WHEN count(address) = 0 THEN '-' ELSE string_agg(address, ' y ' ORDER BY address) END AS said FROM (SELECT id, address FROM (SELECT DISTINCT e.vertexStartId AS id, i.address FROM street_edge e LEFT JOIN street_info i ON i.wayId = e.wayId) d QUALIFY row_number() OVER (PARTITION BY id ORDER BY address NULLS LAST) <= 2) q GROUP BY id")
@@ -321,10 +325,13 @@ def rte_15(t):
     return B.update(t("stop").select("id", "isAccessible"), near, ["id"])
 
 
-@query("rte-17", f"SELECT travelInfoId, CAST(count(*) AS BIGINT) AS stops FROM stop WHERE travelInfoId IN (SELECT travelInfoId FROM stop WHERE {within('lat', 'lng', LAT, LNG, 0.3)}) GROUP BY travelInfoId")
+@query("rte-17", f"""SELECT travelInfoId, string_agg(CAST(id AS VARCHAR), ',' ORDER BY sequence, id) AS stops, {s6('sum(lat)')} AS lat, {s6('sum(lng)')} AS lng FROM stop
+    WHERE travelInfoId IN (SELECT travelInfoId FROM stop WHERE {within('lat', 'lng', LAT, LNG, 0.3)}) GROUP BY travelInfoId""")
 def rte_17(t):
-    lines = t("stop").where(S.in_radius(LAT, LNG, 0.3)).select("travelInfoId")
-    return t("stop").join(lines, "travelInfoId", "left_semi").groupBy("travelInfoId").agg(F.count("*").alias("stops"))
+    """Lines that stop near a point, each with its whole path."""
+    paths = R.line_paths(t("stop"), t("stop").where(S.in_radius(LAT, LNG, 0.3)))
+    total = lambda c: r6(F.aggregate("path", F.lit(0.0), lambda a, p: a + p[c])).alias(c)
+    return paths.select("travelInfoId", F.array_join(F.transform("path", lambda p: p["id"].cast("string")), ",").alias("stops"), total("lat"), total("lng"))
 
 
 @query("rte-18", f"SELECT c.fromStopId, c.toStopId FROM combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId WHERE {within('a.lat', 'a.lng', LAT, LNG, 1.0)} AND {within('b.lat', 'b.lng', LAT, LNG, 1.0)}")
@@ -397,8 +404,7 @@ def _column_row() -> tuple[str, str]:
 
 
 def _leg_ends(legs: str = "leg") -> str:
-    near = lambda n: f"""SELECT l.id AS leg, v.id AS vertex FROM {legs} l JOIN street_vertex v ON abs(v.lat - l.lat{n}) < 0.004 AND abs(v.lng - l.lng{n}) < 0.005 AND {km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')} <= 0.3
-        QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY round({km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')}, 9), v.id) = 1"""
+    near = lambda n: f"""SELECT l.id AS leg, arg_min(v.id, round({km(f'l.lat{n}', f'l.lng{n}', 'v.lat', 'v.lng')}, 9) * 1000000 + v.id * 1e-6) AS vertex FROM {legs} l, street_vertex v GROUP BY l.id"""
     return f"SELECT a.leg AS request, a.vertex AS s, b.vertex AS d FROM ({near(1)}) a JOIN ({near(2)}) b ON b.leg = a.leg"
 
 
@@ -432,24 +438,28 @@ def rte_03(t):
     return paths.select("request", F.size(points).alias("points"), total("lat").alias("lat"), total("lng").alias("lng"), named.alias("named"), "from", "to")
 
 
-_PAGE = "(SELECT c.fromStopId * 1000 + c.toTravelInfoId AS id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId ORDER BY c.fromStopId, c.toTravelInfoId LIMIT 50 OFFSET 20)"
+_PAGE = "(SELECT row_number() OVER (ORDER BY c.fromStopId, c.toTravelInfoId) AS id, c.fromStopId, c.toTravelInfoId, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM (SELECT * FROM combination ORDER BY fromStopId, toTravelInfoId LIMIT 50 OFFSET 20) c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId)"
 
 
-@query("cmb-02", f"SELECT request // 1000 AS fromStopId, request % 1000 AS toTravelInfoId, CAST(abs({_ROW.format('s')} - {_ROW.format('d')}) + abs({_COLUMN.format('s')} - {_COLUMN.format('d')}) + 1 AS INT) AS points FROM ({_leg_ends(_PAGE)}) z, (SELECT count(*) AS n FROM street_vertex) q WHERE n > 0")
+@query("cmb-02", f"SELECT p.fromStopId, p.toTravelInfoId, CAST(abs({_ROW.format('s')} - {_ROW.format('d')}) + abs({_COLUMN.format('s')} - {_COLUMN.format('d')}) + 1 AS INT) AS points FROM ({_leg_ends(_PAGE)}) z JOIN {_PAGE} p ON p.id = z.request, (SELECT count(*) AS n FROM street_vertex) q WHERE n > 0")
 def cmb_02(t):
     """Walk paths of a page of combinations."""
-    from kerbline.operators.walk import walk_routes, with_coordinates
+    from kerbline.operators.walk import combination_walks, with_coordinates
 
-    end = lambda key, n: t("stop").select(C("id").alias(key), C("lat").alias(f"lat{n}"), C("lng").alias(f"lng{n}"))
-    page = t("combination").orderBy("fromStopId", "toTravelInfoId").offset(20).limit(50).withColumn("request", C("fromStopId") * 1000 + C("toTravelInfoId"))
-    page = page.join(end("fromStopId", 1), "fromStopId").join(end("toStopId", 2), "toStopId")
-    found = with_coordinates(walk_routes(page, t("street_vertex"), _costed(t)), t("street_vertex"))
+    page = t("combination").orderBy("fromStopId", "toTravelInfoId").offset(20).limit(50)
+    found = with_coordinates(combination_walks(page, t("stop"), t("street_vertex"), _costed(t)), t("street_vertex"))
     points = F.size(F.from_json("walkPath", "array<struct<lat:double,lng:double>>"))
-    return found.select(F.floor(C("request") / 1000).alias("fromStopId"), (C("request") % 1000).alias("toTravelInfoId"), points.alias("points"))
+    return found.select("fromStopId", "toTravelInfoId", points.alias("points"))
 
 
 def _more_oracles() -> None:
     from kerbline.plans.base import ORACLES
+    from kerbline.plans.relational import _LINKED
+
+    head = fixtures.oracle("SELECT 1 FROM stop").removesuffix(" SELECT 1 FROM stop").replace("WITH ", "WITH RECURSIVE ", 1)
+    ORACLES["win-08"] = head + f""", {_LINKED}, w AS (SELECT s.id AS request, s.id AS here, s.id + 25 * (s.sequence % 10) AS last, [s.id] AS path FROM stop s
+        UNION ALL SELECT w.request, n.id, w.last, list_append(w.path, n.id) FROM w JOIN linked l ON l.id = w.here JOIN stop n ON n.id = l.nextStopId WHERE w.here <> w.last AND NOT list_contains(w.path, n.id))
+        SELECT request, arg_max(here, len(path)) = any_value(last) AS reached, array_to_string(arg_max(path, len(path)), ',') AS stops FROM w GROUP BY request"""
 
     ORACLES["rmp-03"] = _with(_MOVED, "crossing, street_vertex")
     ORACLES["agg-12"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT root, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY root ORDER BY n DESC, root LIMIT 1")

@@ -642,10 +642,23 @@ def win_07(t):
     return B.first_of(rows, ["a", "b"], ["kept"])
 
 
-@query("win-08", "SELECT travelInfoId, string_agg(CAST(id AS VARCHAR), ',' ORDER BY sequence) AS stops FROM stop GROUP BY travelInfoId")
+# Links between the stops of a line: every twelfth stop is the last of its branch, and every line's largest sequence but two leads back to its first stop.
+_LINKED = """linked AS (SELECT s.id, s.travelInfoId, CASE WHEN s.sequence % 12 = 0 THEN NULL WHEN s.sequence = m.last - 2 THEN m.first WHEN s.sequence % 17 = 5 THEN s.id + 25000000 ELSE s.id + 25 END AS nextStopId
+    FROM stop s JOIN (SELECT travelInfoId, max(sequence) AS last, min(id) AS first FROM stop GROUP BY travelInfoId) m ON m.travelInfoId = s.travelInfoId)"""
+
+
+@query("win-08")
 def win_08(t):
-    stops = F.transform(F.sort_array(F.collect_list(F.struct("sequence", "id"))), lambda x: x["id"].cast("string"))
-    return t("stop").groupBy("travelInfoId").agg(F.array_join(stops, ",").alias("stops"))
+    """Stops of each line by its links, from its first stop to a stop ten sequences on."""
+    from kerbline.operators.transit import followed
+
+    lines = t("stop").groupBy("travelInfoId").agg(F.max("sequence").alias("last"), F.min("id").alias("first"))
+    s = t("stop").join(lines, "travelInfoId")
+    after = F.when(C("sequence") % 12 == 0, None).when(C("sequence") == C("last") - 2, C("first")).when(C("sequence") % 17 == 5, C("id") + 25_000_000).otherwise(C("id") + 25)
+    linked = s.select("id", after.alias("nextStopId"))
+    asked = t("stop").select(C("id").alias("request"), C("id").alias("first"), (C("id") + 25 * (C("sequence") % 10)).alias("last"))
+    ids = F.array_join(F.transform("path", lambda x: x.cast("string")), ",")
+    return followed(linked, asked).select("request", "reached", ids.alias("stops"))
 
 
 # Top-k and sets.
@@ -656,9 +669,10 @@ def top_01(t):
     return S.nearest(t("stop"), LAT, LNG).select("id")
 
 
-@query("top-02", f"SELECT s.id, arg_min(v.id, round({km('s.lat', 's.lng', 'v.lat', 'v.lng')}, 9) * 1000000 + v.id * 1e-6) AS nearest FROM stop s JOIN street_vertex v ON abs(s.lat - v.lat) < 0.003 AND abs(s.lng - v.lng) < 0.004 WHERE {km('s.lat', 's.lng', 'v.lat', 'v.lng')} <= 0.2 GROUP BY s.id")
+@query("top-02", f"SELECT s.id, arg_min(v.id, round({km('s.lat', 's.lng', 'v.lat', 'v.lng')}, 9) * 1000000 + v.id * 1e-6) AS nearest FROM stop s, street_vertex v GROUP BY s.id")
 def top_02(t):
-    return S.nearest_each(t("stop").select("id", "lat", "lng"), t("street_vertex"), 0.2).select("id", "nearest")
+    """The nearest street vertex of every stop, however far it is."""
+    return S.nearest_each(t("stop").select("id", "lat", "lng"), t("street_vertex")).select("id", "nearest")
 
 
 @query("top-03", f"SELECT id FROM stop ORDER BY round({planar('lat', 'lng', str(LAT), str(LNG))}, 9), id LIMIT 25")

@@ -71,13 +71,11 @@ def _stored(t):
 @query("rte-14")
 def rte_14(t):
     """The stored walk of a combination, else a live search."""
-    from kerbline.operators.walk import walk_routes
+    from kerbline.operators.walk import combination_walks
 
     every = t("combination").select("fromStopId", "toTravelInfoId", "toStopId").join(_stored(t), ["fromStopId", "toTravelInfoId"], "left")
-    end = lambda key, n: t("stop").select(C("id").alias(key), C("lat").alias(f"lat{n}"), C("lng").alias(f"lng{n}"))
-    live = every.where("walkPath is null").join(end("fromStopId", 1), "fromStopId").join(end("toStopId", 2), "toStopId")
-    live = walk_routes(live.withColumn("request", C("fromStopId") * 1000 + C("toTravelInfoId")), t("street_vertex"), _costed(t))
-    found = live.select(F.floor(C("request") / 1000).alias("fromStopId"), (C("request") % 1000).alias("toTravelInfoId"), F.size("path").alias("walked"))
+    live = combination_walks(every.where("walkPath is null"), t("stop"), t("street_vertex"), _costed(t))
+    found = live.select("fromStopId", "toTravelInfoId", F.size("path").alias("walked"))
     rows = every.join(found, ["fromStopId", "toTravelInfoId"], "left")
     stored = F.size(F.from_json("walkPath", "array<long>"))
     return rows.select("fromStopId", "toTravelInfoId", C("walkPath").isNotNull().alias("stored"), F.coalesce(F.when(C("walkPath").isNotNull(), stored), "walked").alias("points"))
@@ -86,17 +84,18 @@ def rte_14(t):
 _ENDS_IN = " OR ".join(f"({RECT.replace('lat', f'{v}.lat').replace('lng', f'{v}.lng')})" for v in ("a", "b"))
 
 
-@query("rte-16", f"""SELECT 'RAMP' AS type, id FROM ramp WHERE {RECT} UNION ALL SELECT 'SIDEWALK', e.id FROM sidewalk_edge e JOIN street_vertex a ON a.id = e.vertexStartId JOIN street_vertex b ON b.id = e.vertexEndId WHERE {_ENDS_IN}
+@query("rte-16", f"""SELECT 'RAMP' AS type, id FROM ramp WHERE {RECT} AND EXISTS (SELECT 1 FROM crossing c WHERE c.rampStartId = ramp.id OR c.rampEndId = ramp.id) UNION ALL SELECT 'SIDEWALK', e.id FROM sidewalk_edge e JOIN street_vertex a ON a.id = e.vertexStartId JOIN street_vertex b ON b.id = e.vertexEndId WHERE {_ENDS_IN}
     UNION ALL SELECT 'STOP', id FROM stop WHERE {RECT}""")
 def rte_16(t):
-    """Ramps, sidewalks and stops in a rectangle; stops within ten metres are one, which the stops of these tables are not."""
+    """Ramps that serve a crossing, sidewalks and stops in a rectangle; stops within ten metres are one, which the stops of these tables are not."""
     from kerbline.operators.stops import cluster
 
     kind = lambda df, name: df.select(F.lit(name).alias("type"), "id")
     inside = t("stop").where(S.in_rectangle(*RECTANGLE))
     leaders = cluster(inside, 0.01).select(C("leader").alias("id")).distinct()
     walks = S.edges_in_rectangle(t("sidewalk_edge").select("id", "vertexStartId", "vertexEndId"), t("street_vertex"), *RECTANGLE)
-    return kind(t("ramp").where(S.in_rectangle(*RECTANGLE)), "RAMP").unionByName(kind(walks, "SIDEWALK")).unionByName(kind(leaders, "STOP"))
+    ramps = S.ramps_with_crossings(t("ramp").where(S.in_rectangle(*RECTANGLE)), t("crossing")).select("id").distinct()
+    return kind(ramps, "RAMP").unionByName(kind(walks, "SIDEWALK")).unionByName(kind(leaders, "STOP"))
 
 
 _NEAR = "SELECT '{0}' AS kind, e.vertexStartId, e.vertexEndId, a.lat AS start_lat, b.lat AS end_lat FROM {1} e JOIN street_vertex a ON a.id = e.vertexStartId JOIN street_vertex b ON b.id = e.vertexEndId WHERE " + within("a.lat", "a.lng", LAT, LNG, 0.5)
@@ -219,8 +218,8 @@ def _oracles() -> None:
         "JOIN stop s ON s.travelInfoId = l.travelInfoId AND s.sequence BETWEEN least(a.sequence, b.sequence) AND greatest(a.sequence, b.sequence) JOIN travel_info i ON i.id = l.travelInfoId GROUP BY l.travelInfoId", "stop, travel_info")
     row, column = _column_row()
     walked = f"abs({row.format('z.s')} - {row.format('z.d')}) + abs({column.format('z.s')} - {column.format('z.d')}) + 1"
-    ends = _leg_ends("(SELECT c.fromStopId * 1000 + c.toTravelInfoId AS id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId)")
-    ORACLES["rte-14"] = fixtures.oracle(f"SELECT c.fromStopId, c.toTravelInfoId, c.fromStopId % 2 = 0 AS stored, CAST(CASE WHEN c.fromStopId % 2 = 0 THEN 2 ELSE {walked} END AS INT) AS points FROM combination c LEFT JOIN ({ends}) z ON z.request = c.fromStopId * 1000 + c.toTravelInfoId LEFT JOIN street_vertex q ON FALSE")
+    numbered = "(SELECT row_number() OVER (ORDER BY c.fromStopId, c.toTravelInfoId) AS id, c.fromStopId, c.toTravelInfoId, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId WHERE c.fromStopId % 2 <> 0)"
+    ORACLES["rte-14"] = fixtures.oracle(f"SELECT c.fromStopId, c.toTravelInfoId, c.fromStopId % 2 = 0 AS stored, CAST(CASE WHEN c.fromStopId % 2 = 0 THEN 2 ELSE {walked} END AS INT) AS points FROM combination c LEFT JOIN {numbered} n ON n.fromStopId = c.fromStopId AND n.toTravelInfoId = c.toTravelInfoId LEFT JOIN ({_leg_ends(numbered)}) z ON z.request = n.id LEFT JOIN street_vertex q ON FALSE")
     segments = ORACLES["win-03"]
     head, body = fixtures.oracle("SELECT 1 FROM way_node, way").removesuffix(" SELECT 1 FROM way_node, way"), segments[segments.index("SELECT wayId, lag(") :]
     ORACLES["etl-14"] = f"{head} SELECT n.wayId, CAST(sum((o.f <> 0)::INT + (o.b <> 0)::INT) AS BIGINT) AS edges, CAST(sum(o.f + o.b) AS BIGINT) AS permissions FROM ({body}) n JOIN ({_OPENWAY}) o ON o.id = n.wayId WHERE o.f <> 0 OR o.b <> 0 GROUP BY n.wayId"
