@@ -45,20 +45,25 @@ def components(edges: DataFrame, src: str = "vertexStartId", dst: str = "vertexE
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
-    """The vertices (node) of the component of most vertices, the one of the least root among equals."""
-    found = components(edges)
+    """The vertices (node) of the strong component of most vertices, the one of the least root among equals: whoever stands on one gets to all others and back."""
+    found = checkpoint(overlay.strong_components(edges))
     top = found.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").limit(1)
     return found.join(F.broadcast(top), "root", "left_semi").select("node")  # one row
 
 
 def purge(edges: DataFrame) -> DataFrame:
-    """Only the edges within the largest component."""
+    """Only the edges within the largest strong component, without streets that only lead away from it or into it."""
     kept = checkpoint(largest_component(edges))
     return edges.join(kept.withColumnRenamed("node", "vertexStartId"), "vertexStartId", "left_semi").join(kept.withColumnRenamed("node", "vertexEndId"), "vertexEndId", "left_semi")
 
 
 def is_connected(edges: DataFrame) -> DataFrame:
-    return components(edges).agg((F.count_distinct("root") <= 1).alias("connected"))
+    """(connected): whether directed edges lead from the least vertex to all others; a graph without vertices is connected."""
+    ends = edges.select(F.explode(F.array("vertexStartId", "vertexEndId")).alias("id")).where("id is not null").distinct()
+    head, n = ends.agg(F.min("id"), F.count("*")).first()
+    if head is None:
+        return edges.agg(F.lit(True).alias("connected"))
+    return reachable(edges, head).agg((F.count("*") == n).alias("connected"))
 
 
 def distances(edges: DataFrame, sources: DataFrame, cost: str = "distance") -> DataFrame:

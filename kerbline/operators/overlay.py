@@ -118,33 +118,38 @@ def relaxed(best: np.ndarray, s: np.ndarray, d: np.ndarray, c: np.ndarray, most:
     return best
 
 
-def _crossed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Least costs across a block, from its entered vertices to those left; those that are the sum of two others are left out."""
-    g = _Graph(rows)
-    borders = np.union1d(g.entered, g.left)
-    best = np.full((len(g.nodes), len(borders)), NEVER)
-    best[borders, np.arange(len(borders))] = 0
-    best = g.ahead(best)[borders].T  # from a border to a border
-    keep = np.isin(borders, g.entered)[:, None] & np.isin(borders, g.left)[None, :] & (best < NEVER) & ~np.eye(len(borders), dtype=bool)
-    through = np.where(np.isin(borders, g.entered) & np.isin(borders, g.left), 0, NEVER)  # a way may only be parted where both halves are kept
-    for k in np.flatnonzero(through == 0):
-        a, b = best[:, k, None].copy(), best[None, k, :].copy()
-        a[k] = b[0, k] = NEVER
-        keep &= a + b != best
-    i, j = np.nonzero(keep)
-    return pd.DataFrame({"s": g.nodes[borders[i]], "d": g.nodes[borders[j]], "c": best[i, j]})
+def _crossed(every: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Least costs across a block, from its entered vertices to those left (or between all of both); those that are the sum of two others are left out."""
+        g = _Graph(rows)
+        borders = np.union1d(g.entered, g.left)
+        best = np.full((len(g.nodes), len(borders)), NEVER)
+        best[borders, np.arange(len(borders))] = 0
+        best = g.ahead(best)[borders].T  # from a border to a border
+        begins, ends = (np.isin(borders, x) | every for x in (g.entered, g.left))
+        keep = begins[:, None] & ends[None, :] & (best < NEVER) & ~np.eye(len(borders), dtype=bool)
+        for k in np.flatnonzero(begins & ends):  # a way may only be parted where both halves are kept
+            a, b = best[:, k, None].copy(), best[None, k, :].copy()
+            a[k] = b[0, k] = NEVER
+            keep &= a + b != best
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"s": g.nodes[borders[i]], "d": g.nodes[borders[j]], "c": best[i, j]})
+
+    return run
 
 
-def _across(level: DataFrame) -> DataFrame:
-    return level.groupBy("block").applyInPandas(_crossed, "s long, d long, c long")
+def _across(level: DataFrame, every: bool = False) -> DataFrame:
+    return level.groupBy("block").applyInPandas(_crossed(every), "s long, d long, c long")
 
 
 def _at(c: str, size: int) -> Column:
     return F.floor(F.col(c) / size).cast("long")
 
 
-def build(edges: DataFrame, block: int, vertices: DataFrame | None = None) -> Overlay:
-    """The overlay of edges (vertexStartId, vertexEndId, c whole and positive), with vertices (id, lat, lng) along the curve; vertices without a place come first."""
+def build(edges: DataFrame, block: int, vertices: DataFrame | None = None, every: bool = False) -> Overlay:
+    """The overlay of edges (vertexStartId, vertexEndId, c whole and positive), with vertices (id, lat, lng) along the curve; vertices without a place come first.
+
+    With every, it holds the costs across blocks between all border vertices, which paths don't need but strong components do."""
     ids = edges.select(F.explode(F.array("vertexStartId", "vertexEndId")).alias("id")).distinct()
     key = F.lit(0).cast("long")
     if vertices is not None:
@@ -170,7 +175,7 @@ def build(edges: DataFrame, block: int, vertices: DataFrame | None = None) -> Ov
             for c, kind in (("d", ENTERED), ("s", LEFT)):
                 parts = parts.unionByName(row(outer.select(c).distinct(), c, none, none, kind))
         levels.append(checkpoint(parts))
-        lower = _across(levels[-1]) if k < len(sizes) - 1 else None
+        lower = _across(levels[-1], every) if k < len(sizes) - 1 else None
     return replace(empty, levels=levels)
 
 
@@ -321,3 +326,80 @@ def paths(overlay: Overlay, requests: DataFrame, searches: int = 500) -> DataFra
     deals = F.lit(max(1, every.count() // 200_000))
     found = every.groupBy(F.pmod(F.xxhash64("request"), deals).alias("deal")).applyInPandas(_assembled, "request long, path array<long>, cost double")
     return found.unionByName(done)
+
+
+# strong components ---------------------------------------------------------------------------------------------------------
+
+
+def _cycles(n: int, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each of n vertices the least of its strong component: by depth, the last vertex from which all above on the stack were found closes one."""
+    order = np.argsort(s, kind="stable")
+    near, at = d[order].tolist(), np.searchsorted(s[order], np.arange(n + 1)).tolist()
+    index, low, root, stack, counter = [-1] * n, [0] * n, [-1] * n, [], 0
+    for first in range(n):
+        if index[first] >= 0:
+            continue
+        work = [(first, at[first])]
+        index[first] = low[first] = counter
+        counter += 1
+        stack.append(first)
+        while work:
+            v, k = work.pop()
+            if k < at[v + 1]:
+                work.append((v, k + 1))
+                w = near[k]
+                if index[w] < 0:
+                    index[w] = low[w] = counter
+                    counter += 1
+                    stack.append(w)
+                    work.append((w, at[w]))
+                elif root[w] < 0:
+                    low[v] = min(low[v], index[w])
+                continue
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[v])
+            if low[v] == index[v]:
+                group = [stack.pop()]
+                while group[-1] != v:
+                    group.append(stack.pop())
+                for w in group:
+                    root[w] = min(group)
+    return np.array(root, np.int64)
+
+
+def _labelled(known: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The component of each vertex of a block, from those of its border: a vertex that a component's border reaches and that reaches it belongs to it."""
+    if not len(rows):
+        return pd.DataFrame({"v": pd.Series(dtype="int64"), "label": pd.Series(dtype="int64")})
+    g = _Graph(rows)
+    label = np.full(len(g.nodes), -1)
+    label[g.at(known["v"].to_numpy())] = known["label"].to_numpy()
+    names, place = np.unique(label[label >= 0], return_inverse=True)
+    if len(names):
+        seeds = np.full((len(g.nodes), len(names)), NEVER)
+        seeds[np.flatnonzero(label >= 0), place] = 0
+        both = (g.ahead(seeds.copy()) < NEVER) & (g.back(seeds) < NEVER)
+        label = np.where(label >= 0, label, np.where(both.any(1), names[both.argmax(1)], -1))
+    rest = np.flatnonzero(label < 0)
+    inner = np.searchsorted(rest, np.arange(len(g.nodes)))
+    free = (label[g.s] < 0) & (label[g.d] < 0)
+    label[rest] = g.nodes[rest[_cycles(len(rest), inner[g.s[free]], inner[g.d[free]])]] if len(rest) else 0
+    return pd.DataFrame({"v": g.nodes, "label": label})
+
+
+def strong_components(edges: DataFrame, block: int = BLOCK, vertices: DataFrame | None = None) -> DataFrame:
+    """(node, root): each vertex of edges (vertexStartId, vertexEndId) with the least vertex of its strong component: all that it reaches and that reach it.
+
+    Costs across blocks say what reaches what. Components of the last level's vertices are those of the whole graph, and each level below takes over those of
+    its borders: rounds count levels. A vertex with loops alone is a component of its own.
+    """
+    ends = edges.select(F.col("vertexStartId").alias("node")).union(edges.select("vertexEndId")).where("node is not null").distinct()
+    overlay = build(edges.select("vertexStartId", "vertexEndId", F.lit(1).cast("long").alias("c")), block, vertices, True)
+    known, tasks = None, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for level, size in zip(reversed(overlay.levels), reversed(overlay.sizes), strict=True):
+        own = (level.select("block").limit(0).selectExpr("block", "block as v", "block as label") if known is None else known.select(_at("v", size).alias("block"), "v", "label")).repartition(tasks, "block")
+        known = checkpoint(own.groupBy("block").cogroup(level.repartition(tasks, "block").groupBy("block")).applyInPandas(_labelled, "v long, label long"))
+    named = overlay.named(known, "v")
+    roots = named.groupBy("label").agg(F.min("v").alias("root"))
+    found = named.join(roots, "label").select(F.col("v").alias("node"), "root")
+    return ends.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -66,6 +66,7 @@ DERIVED = {
         CASE p_partkey % 16 WHEN 0 THEN 'yes' END AS area, CAST(p_size % 6 AS INT) AS nodes FROM part""",
     "zone_edge": """SELECT e.vertexStartId, e.vertexEndId, e.distance, e.wayId FROM street_edge e JOIN customer a ON a.c_custkey + 1 = e.vertexStartId
         JOIN customer b ON b.c_custkey + 1 = e.vertexEndId WHERE a.c_nationkey % 2 = b.c_nationkey % 2""",
+    "oneway_edge": """SELECT vertexStartId, vertexEndId FROM zone_edge WHERE CASE WHEN vertexStartId < vertexEndId THEN vertexStartId % 4 <> 1 ELSE vertexEndId % 5 > 1 END""",
     "leg": """SELECT a.id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM stop a JOIN stop b ON b.id = a.id + 26 + a.id % 3""",
 }
 

@@ -80,6 +80,24 @@ def gra_11(t):
     return N.is_connected(t("zone_edge"))
 
 
+@query("gra-09-strong")
+def gra_09_strong(t):
+    """Strong components of streets of which many are one-way."""
+    from kerbline.operators.overlay import strong_components
+
+    return strong_components(t("oneway_edge"), vertices=t("street_vertex"))
+
+
+@query("gra-10-strong")
+def gra_10_strong(t):
+    return N.largest_component(t("oneway_edge"))
+
+
+@query("gra-11-strong")
+def gra_11_strong(t):
+    return N.is_connected(t("oneway_edge"))
+
+
 @query("gra-07", "SELECT CAST(2 * (n * (2 * n - 1) + 2 * n * (n - 1)) AS BIGINT) AS edges, CAST(2 * n * n AS BIGINT) AS vertices, CAST(0 AS BIGINT) AS one_way FROM (SELECT count(*) AS n FROM nation) q")
 def gra_07(t):
     """A grid as high as there are nations and twice as wide; every edge has its way back."""
@@ -365,6 +383,11 @@ def _oracles() -> None:
     ORACLES["gra-09"] = _recursive(_CC + " SELECT node, min(root) AS root FROM r GROUP BY node")
     ORACLES["gra-10"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT node FROM m WHERE root = (SELECT root FROM m GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)")
     ORACLES["gra-11"] = _recursive(_CC + ", m AS (SELECT node, min(root) AS root FROM r GROUP BY node) SELECT count(DISTINCT root) <= 1 AS connected FROM m")
+    way = fixtures.oracle("SELECT * FROM oneway_edge").removesuffix(" SELECT * FROM oneway_edge").replace("WITH ", "WITH RECURSIVE ", 1)
+    way += ", n AS (SELECT vertexStartId AS id FROM oneway_edge UNION SELECT vertexEndId FROM oneway_edge), w AS (SELECT id AS a, id AS b FROM n UNION SELECT w.a, e.vertexEndId FROM w JOIN oneway_edge e ON e.vertexStartId = w.b), m AS (SELECT x.a AS node, min(x.b) AS root FROM w x JOIN w y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"
+    ORACLES["gra-09-strong"] = way + " SELECT node, root FROM m"
+    ORACLES["gra-10-strong"] = way + " SELECT node FROM m WHERE root = (SELECT root FROM m GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)"
+    ORACLES["gra-11-strong"] = way + " SELECT count(*) = (SELECT count(*) FROM n) AS connected FROM w WHERE a = (SELECT min(id) FROM n)"
     ORACLES["gra-14"] = _recursive(" w AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hops UNION SELECT e.vertexEndId, w.hops + 1 FROM w JOIN street_edge e ON e.vertexStartId = w.id AND w.hops < 120) SELECT id, CAST(min(hops) AS INT) AS hops FROM w GROUP BY id")
     ORACLES["rte-08"] = _with(_DIRECT, "stop, travel_info")
     ORACLES["top-04"] = f"SELECT * FROM ({_with(_DIRECT, 'stop, travel_info')}) z ORDER BY cost, travelInfoId LIMIT 5"

@@ -112,3 +112,27 @@ def test_the_curve_keeps_neighbours_together(spark):
     at = spark.createDataFrame([(0.0, 0.0), (-90.0, -180.0), (90.0, 180.0), (None, 1.0)], "lat double, lng double").select(O.curve("lat", "lng", 2).alias("z")).collect()
     assert [r.z for r in at] == [12, 0, 15, None]
     assert O.paths(O.build(spark.createDataFrame([], "vertexStartId long, vertexEndId long, c long"), 4), spark.createDataFrame([(1, 2, [3])], "request long, start long, targets array<long>")).count() == 0
+
+
+@pytest.mark.parametrize("block, fan", [(4, 4), (8, 64), (256, 64)])
+def test_strong_components_against_reach(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(O, "FAN", fan)
+    rng = random.Random(block)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(75)} | {(100 + i, 100 + (i + 1) % 30) for i in range(30)} | {(105, 200), (200, 201), (201, 200), (202, 110), (300, 300)}
+    near, nodes = {}, {x for p in pairs for x in p}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for x in near.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    far = {a: reach(a) for a in nodes}
+    edges = spark.createDataFrame(sorted(pairs), "vertexStartId long, vertexEndId long")
+    got = {r.node: r.root for r in O.strong_components(edges, block).collect()}
+    assert got == {a: min(b for b in far[a] if a in far[b]) for a in nodes} and got[300] == 300 and got[129] == 100
