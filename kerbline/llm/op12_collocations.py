@@ -25,7 +25,7 @@ from kerbline.llm.common import bounded_batches, checkpoint, marked, salted_join
 from kerbline.llm.op13_token_ids import unit_hashes
 from kerbline.operators.tables import dense_ids
 
-PAD, BLOCK, MOST_BITS = "", 1 << 20, 26
+PAD, BLOCK, MOST_BITS = "", 1 << 21, 26
 # Marks and line ends end a piece, spaces and tabs part words, A-Z are written as a-z.
 _MARK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 _WORD = ~_MARK & ~np.isin(np.arange(256), list(b" \t"))
@@ -96,8 +96,9 @@ def blocks(column: pa.Array) -> Iterator[Words]:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         groups = batch.column("gh").to_numpy().view(np.uint64)
-        for words in blocks(batch.column("text")):
-            pair, n = np.unique(words.pairs(groups)[words.joined], return_counts=True)
+        found = [words.pairs(groups)[words.joined] for words in blocks(batch.column("text"))]
+        if found:
+            pair, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_pydict({"pair": pa.array(pair.view(np.int64)), "n": pa.array(n, pa.int64())})
     T.tidy()
 
