@@ -44,16 +44,17 @@ def components(edges: DataFrame, src: str = "vertexStartId", dst: str = "vertexE
     return found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
-def largest_component(edges: DataFrame) -> DataFrame:
-    """The vertices (node) of the strong component of most vertices, the one of the least root among equals: whoever stands on one gets to all others and back."""
-    found = checkpoint(overlay.strong_components(edges))
+def largest_component(edges: DataFrame, strong: bool = False) -> DataFrame:
+    """The vertices (node) of the component of most vertices, the one of the least root among equals; if strong, of the strong component of most: whoever stands
+    on one of them gets to all others and back."""
+    found = checkpoint(overlay.strong_components(edges)) if strong else components(edges)
     top = found.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").limit(1)
     return found.join(F.broadcast(top), "root", "left_semi").select("node")  # one row
 
 
-def purge(edges: DataFrame) -> DataFrame:
-    """Only the edges within the largest strong component, without streets that only lead away from it or into it."""
-    kept = checkpoint(largest_component(edges))
+def purge(edges: DataFrame, strong: bool = False) -> DataFrame:
+    """Only the edges within the largest component; if strong, also without streets that only lead away from it or into it."""
+    kept = checkpoint(largest_component(edges, strong))
     return edges.join(kept.withColumnRenamed("node", "vertexStartId"), "vertexStartId", "left_semi").join(kept.withColumnRenamed("node", "vertexEndId"), "vertexEndId", "left_semi")
 
 

@@ -90,7 +90,7 @@ def gra_09_strong(t):
 
 @query("gra-10-strong")
 def gra_10_strong(t):
-    return N.largest_component(t("oneway_edge"))
+    return N.largest_component(t("oneway_edge"), strong=True)
 
 
 @query("gra-11-strong")
@@ -273,12 +273,12 @@ def rte_01(t):
 
 
 @query("rte-04", """SELECT 'SIDEWALK' AS type, id, 'FROM' AS place, vertexStartId AS at FROM sidewalk_edge WHERE NOT isAccessible UNION ALL SELECT 'SIDEWALK', id, 'TO', vertexEndId FROM sidewalk_edge WHERE NOT isAccessible
-    UNION ALL SELECT 'RAMP', c.id, 'START', vertexStartId FROM crossing c LEFT JOIN ramp r ON r.id = c.rampStartId WHERE NOT coalesce(r.isAccessible, FALSE) UNION ALL SELECT 'RAMP', c.id, 'END', vertexEndId FROM crossing c LEFT JOIN ramp r ON r.id = c.rampEndId WHERE NOT coalesce(r.isAccessible, FALSE)""")
+    UNION ALL SELECT 'RAMP', id, 'START', vertexStartId FROM crossing WHERE rampStartId IS NULL UNION ALL SELECT 'RAMP', id, 'END', vertexEndId FROM crossing WHERE rampEndId IS NULL""")
 def rte_04(t):
-    """What stands in the way of each sidewalk and crossing: both ends of an inaccessible sidewalk, each end of a crossing without an accessible ramp."""
+    """What stands in the way on each sidewalk and crossing: both ends of an inaccessible sidewalk, each end of a crossing without a ramp."""
     from kerbline.operators.walk import incidents
 
-    return incidents(t("sidewalk_edge"), t("crossing"), t("ramp"))
+    return incidents(t("sidewalk_edge"), t("crossing"))
 
 
 @query("rte-05", "SELECT id, CASE WHEN count(address) = 0 THEN '-' ELSE string_agg(address, ' y ' ORDER BY address) END AS said FROM (SELECT id, address FROM (SELECT DISTINCT e.vertexStartId AS id, i.address FROM street_edge e LEFT JOIN street_info i ON i.wayId = e.wayId) d QUALIFY row_number() OVER (PARTITION BY id ORDER BY address NULLS LAST) <= 2) q GROUP BY id")
@@ -438,6 +438,15 @@ def rte_02(t):
     return walk_routes(_legs(t), t("street_vertex"), _costed(t)).select("request", F.size("path").alias("hops"), r6(C("cost")).alias("cost"))
 
 
+@query("rte-02-access")
+def rte_02_access(t):
+    """Walks of every leg along sidewalks and over crossings, at the least accessibility cost."""
+    from kerbline.operators.walk import accessible_walks
+
+    found = accessible_walks(_legs(t), t("sidewalk_edge"), t("crossing"), t("ramp"), t("street_vertex"), True, True)
+    return found.select("request", "status", r6(C("cost")).alias("cost"))
+
+
 # the streets of a path: the corner of both ends, through which a path along two lines runs, and the named streets on the way
 _CORNER = f"""SELECT request, s, d, {_ROW.format('s')} AS r1, {_COLUMN.format('s')} AS c1, {_ROW.format('d')} AS r2, {_COLUMN.format('d')} AS c2 FROM ({_leg_ends()}) z"""
 _POINTS = f"""SELECT request, unnest(list_distinct(list_concat(
@@ -479,6 +488,15 @@ def _more_oracles() -> None:
     from kerbline.plans.base import ORACLES
     from kerbline.plans.relational import _LINKED
 
+    names = "leg, sidewalk_edge, crossing, ramp, street_vertex"
+    head = fixtures.oracle(f"SELECT 1 FROM {names}").removesuffix(f" SELECT 1 FROM {names}").replace("WITH ", "WITH RECURSIVE ", 1)
+    ORACLES["rte-02-access"] = head + f""", one AS (SELECT vertexStartId AS s, vertexEndId AS d, CASE WHEN isAccessible THEN 0 ELSE 10 END AS p FROM sidewalk_edge
+        UNION ALL SELECT c.vertexStartId, c.vertexEndId, CASE WHEN coalesce(r.isAccessible, FALSE) THEN 0 ELSE 5 END + CASE WHEN coalesce(q.isAccessible, FALSE) THEN 0 ELSE 5 END FROM crossing c LEFT JOIN ramp r ON r.id = c.rampStartId LEFT JOIN ramp q ON q.id = c.rampEndId),
+      e AS MATERIALIZED (SELECT s, d, min({_NANO.format("(" + km('a.lat', 'a.lng', 'b.lat', 'b.lng') + " + p)")}) AS c FROM (SELECT * FROM one UNION ALL SELECT d, s, p FROM one) o JOIN street_vertex a ON a.id = o.s JOIN street_vertex b ON b.id = o.d GROUP BY s, d),
+      used AS MATERIALIZED (SELECT v.* FROM street_vertex v WHERE v.id IN (SELECT s FROM e)), z AS MATERIALIZED ({_leg_ends().replace('street_vertex v', 'used v')}),
+      w (a, v, c) USING KEY (a, v) AS (SELECT DISTINCT s AS a, s AS v, CAST(0 AS BIGINT) AS c FROM z
+        UNION SELECT w.a, e.d, min(w.c + e.c) FROM w JOIN e ON e.s = w.v LEFT JOIN recurring.w k ON k.a = w.a AND k.v = e.d WHERE k.c IS NULL OR w.c + e.c < k.c GROUP BY w.a, e.d)
+      SELECT l.id AS request, CASE WHEN w.c IS NULL THEN 'NoPath' ELSE 'OK' END AS status, {s6('w.c / 1e9')} AS cost FROM leg l LEFT JOIN z ON z.request = l.id LEFT JOIN w ON w.a = z.s AND w.v = z.d"""
     head = fixtures.oracle("SELECT 1 FROM stop").removesuffix(" SELECT 1 FROM stop").replace("WITH ", "WITH RECURSIVE ", 1)
     ORACLES["win-08"] = head + f""", {_LINKED}, w AS (SELECT s.id AS request, s.id AS here, s.id + 25 * (s.sequence % 10) AS last, [s.id] AS path FROM stop s
         UNION ALL SELECT w.request, n.id, w.last, list_append(w.path, n.id) FROM w JOIN linked l ON l.id = w.here JOIN stop n ON n.id = l.nextStopId WHERE w.here <> w.last AND NOT list_contains(w.path, n.id))
