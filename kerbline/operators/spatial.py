@@ -100,7 +100,7 @@ def within_distance(left: DataFrame, right: DataFrame, km: float, mode: str = "p
 
 
 #: Places that a cell of the tree below holds, and cells that one of the next level holds.
-HELD = 64
+HELD = 16
 
 
 def nearest_each(points: DataFrame, targets: DataFrame, km: float | None = None) -> DataFrame:
@@ -122,9 +122,9 @@ def nearest_each(points: DataFrame, targets: DataFrame, km: float | None = None)
     while True:
         one = F.struct("cell", "lat", "lng", "radius", "id")
         made = cells.groupBy(F.floor(F.col("cell") / HELD).cast("long").alias("cell")).agg(F.sort_array(F.collect_list(one)).alias("held"))
-        first = F.col("held")[0]
-        reach = F.array_max(F.transform("held", lambda x: G.haversine_km(x["lat"], x["lng"], first["lat"], first["lng"]) + x["radius"]))
-        made = checkpoint(made.select("cell", "held", first["lat"].alias("lat"), first["lng"].alias("lng"), reach.alias("radius"), F.lit(None).cast("long").alias("id")))
+        middle = F.element_at("held", F.floor((F.size("held") + 1) / 2).cast("int"))  # from the middle of the run the others are nearer
+        reach = F.array_max(F.transform("held", lambda x: G.haversine_km(x["lat"], x["lng"], middle["lat"], middle["lng"]) + x["radius"]))
+        made = checkpoint(made.select("cell", "held", middle["lat"].alias("lat"), middle["lng"].alias("lng"), reach.alias("radius"), F.lit(None).cast("long").alias("id")))
         levels.append(made)
         n = made.count()
         if n <= 1:
