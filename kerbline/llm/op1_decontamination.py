@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from kerbline.llm import text as T
-from kerbline.llm.common import bounded_batches, checkpoint, table
+from kerbline.llm.common import bounded_batches, checkpoint, fresh, table
 
 BLOCKS, RADIUS, GROUP, BLOCK_BYTES, SIEVE_BITS, WEIGHTS = 5, 19, 64, 4 << 20, 22, 1 << 20
 _WIDTH = -(-64 // BLOCKS)
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming int"
-SHARED = "__shared_shingles"
 _PAIR = np.dtype([("shingle", "<u8"), ("n", "<i8")])
 
 
@@ -222,15 +221,15 @@ def _shared(items: DataFrame, size: int) -> Iterator:
         yield items.sparkSession.sparkContext.broadcast(np.sort(pairs, order="shingle"))
 
 
-def _marked(rows: DataFrame, part, size: int) -> DataFrame:
-    """rows with what part, of _shared, has of their texts added to the column SHARED, which is sorted by shingle."""
-    names = [c for c in rows.columns if c != SHARED]
-    schema = StructType([f for f in rows.schema.fields if f.name != SHARED]).add(SHARED, BinaryType())
+def _marked(rows: DataFrame, part, size: int, shared: str) -> DataFrame:
+    """rows with what part, of _shared, has of their texts added to the column named shared, which is sorted by shingle."""
+    names = [c for c in rows.columns if c != shared]
+    schema = StructType([f for f in rows.schema.fields if f.name != shared]).add(shared, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = part.value
         for batch in batches:
-            out = batch.column(SHARED).to_pylist() if SHARED in batch.schema.names else [None] * batch.num_rows
+            out = batch.column(shared).to_pylist() if shared in batch.schema.names else [None] * batch.num_rows
             for a, h, at in T.words(batch.column("text").cast(pa.string())):
                 s, to = T.shingles(h, at, size)
                 place, same = _found(s, known["shingle"])
@@ -238,27 +237,28 @@ def _marked(rows: DataFrame, part, size: int) -> DataFrame:
                 for r in np.unique(row).tolist():
                     own = known[np.unique(place[row == r])]
                     out[a + r] = np.sort(np.concatenate([np.frombuffer(out[a + r] or b"", _PAIR), own]), order="shingle").tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, SHARED])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, shared])
 
     return rows.mapInArrow(run, schema)
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, list]:
-    """docs, with the column SHARED if one broadcast can't hold the weights; arguments of Index, broadcast, and a name, of the benchmark in blocks of
-    about BLOCK_BYTES of text: one for a usual benchmark."""
+def _indexes(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, str, list]:
+    """docs, with a further column of the given name if one broadcast can't hold the weights; arguments of Index, broadcast, and a name, of the
+    benchmark in blocks of about BLOCK_BYTES of text: one for a usual benchmark."""
+    (shared,) = fresh(docs, "shared_shingles")
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     first, *rest = _shared(items, size)
     for part in rest:
-        docs, items = _marked(docs, part, size), _marked(items, part, size)
+        docs, items = _marked(docs, part, size, shared), _marked(items, part, size, shared)
     held = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        block = ([r["item_id"] for r in rows], [r["text"] for r in rows]), [r[SHARED] if rest else None for r in rows]
+        block = ([r["item_id"] for r in rows], [r["text"] for r in rows]), [r[shared] if rest else None for r in rows]
         held.append(docs.sparkSession.sparkContext.broadcast(block))
-    return docs, [(block, first, uuid.uuid4().hex) for block in held]
+    return docs, shared, [(block, first, uuid.uuid4().hex) for block in held]
 
 
 def _index(held: tuple, size: int) -> Index:
@@ -280,13 +280,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    docs, indexes = _indexes(docs, benchmark, size)
+    docs, shared, indexes = _indexes(docs, benchmark, size)
     for held in indexes:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = _index(held, size)
             for batch in batches:
-                rows = list(index.matches(batch.column("text"), batch.column(SHARED) if SHARED in batch.schema.names else None, threshold))
+                rows = list(index.matches(batch.column("text"), batch.column(shared) if shared in batch.schema.names else None, threshold))
                 column = lambda k, kind: pa.array([r[k] for r in rows], kind)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(column(0, pa.int64())), column(1, pa.int64()), column(2, pa.float64()), column(3, pa.int64()), column(4, pa.int64()), column(5, pa.int32())], names=["doc_id", "item_id", "similarity", "start_word", "n_words", "hamming"])
             T.tidy(held[2])
@@ -299,14 +299,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns and all other rows stay, nulls, empty texts and repeated rows included."""
     columns = docs.columns
-    docs, indexes = _indexes(docs, benchmark, size)
+    docs, shared, indexes = _indexes(docs, benchmark, size)
     for held in indexes:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = _index(held, size)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in index.matches(batch.column("text").cast(pa.string()), batch.column(SHARED) if SHARED in batch.schema.names else None, threshold)]] = False
+                keep[[r[0] for r in index.matches(batch.column("text").cast(pa.string()), batch.column(shared) if shared in batch.schema.names else None, threshold)]] = False
                 yield batch.filter(pa.array(keep))
             T.tidy(held[2])
 

@@ -17,7 +17,6 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,15 +166,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
-        data, offsets = T.utf8(batch.column("text"))
-        place = np.flatnonzero((data - np.uint8(48) < 10) | (data == 64))
-        some = set((np.searchsorted(offsets, place, "right") - 1).tolist())
         texts = batch.column("text")
         rows: list[tuple] = []
         for i, (doc, h) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)):
-            if i not in some:
-                rows.append((doc, h, 0, 0, 0, 0, "", None, *[None] * 6))
-                continue
             text = texts[i].as_py()
             base, secret = base_spans(text), secret_spans(text)
             count = [sum(1 for _, k, _ in base if k == kind) for kind in range(BASE)]
@@ -244,12 +237,13 @@ def find(docs: DataFrame) -> DataFrame:
 
     base has the fixed forms of the first four kinds as kind:start:end, comma-joined, in code points with the end exclusive; added the secrets and
     the discovered array<struct<start, k, end>>, k a place in KINDS, or null. A null text is empty and has none. Repeated rows give
-    repeated results; rows with a null doc_id get their fixed forms only. Other columns are not read. No rows: none.
+    repeated results; a null doc_id is one like others. Other columns are not read. No rows: none.
     """
     bounded_batches(docs.sparkSession)
     read = checkpoint(_texts(docs).mapInArrow(_read, _READ))
     rows = read.where("pattern is not null").drop("secrets")
-    found = read.where("pattern is null").join(_added(rows, _bootstrap(rows)), ["doc_id", "text_hash"], "left")
+    added = _added(rows, _bootstrap(rows)).select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("hash"), "added")
+    found = read.where("pattern is null").join(added, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash")), "left")
     none = F.expr(f"cast(array() as {_SPANS})")
     every = F.array_sort(F.concat(F.coalesce("secrets", none), F.coalesce("added", none)))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.when(F.size(every) > 0, every).alias("added"))
@@ -275,7 +269,7 @@ def mask(docs: DataFrame) -> DataFrame:
     rows = read.where("pattern is not null").drop("secrets")
     added = checkpoint(_added(rows, _bootstrap(rows)))
     names, schema = docs.columns, docs.schema
-    doc, content, more, key = fresh(docs, "doc_key", "text_key", "more_spans", "marked_key")
+    doc, content, other_doc, other_content, more, key = fresh(docs, "doc_key", "text_key", "other_doc_key", "other_text_key", "more_spans", "marked_key")
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +280,7 @@ def mask(docs: DataFrame) -> DataFrame:
             extra = batch.column(more).to_pylist() if more in batch.schema.names else [None] * len(texts)
             changed = {}
             for i, (text, found) in enumerate(zip(texts, extra, strict=True)):
-                if text and (found or "@" in text or re.search("[0-9]", text)):
+                if text:
                     new = masked_text(text, [(x["start"], x["k"], x["end"]) for x in found or []])
                     if new != text:
                         changed[i] = new
@@ -304,7 +298,8 @@ def mask(docs: DataFrame) -> DataFrame:
     plain = docs.withColumn(key, number).mapInArrow(masked, schema)
     rest = docs.where(F.col("text").isNotNull() & column_test(held)(number))
     rest = rest.withColumns({doc: F.col("doc_id").cast("long"), content: F.xxhash64(F.col("text").cast("string"))})
-    rest = rest.join(added.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(content), F.col("added").alias(more)), [doc, content], "left")
+    more_of = added.select(F.col("doc_id").alias(other_doc), F.col("text_hash").alias(other_content), F.col("added").alias(more))
+    rest = rest.join(more_of, F.col(doc).eqNullSafe(F.col(other_doc)) & (F.col(content) == F.col(other_content)), "left")
     return plain.union(rest.select(*names, more).mapInArrow(masked, schema))
 
 

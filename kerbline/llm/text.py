@@ -1,8 +1,9 @@
 """Word and shingle hashes of whole Arrow text columns, in numpy, a bounded block at a time.
 
 A word is a run of bytes other than space and 0x09-0x0D; A-Z are folded to a-z, every other byte counts as it is.
-A null text is an empty one. The hash of a word is a polynomial over its bytes modulo 2**64, so that all words of
-a block come from one running sum; texts longer than a block are cut between words, never shortened.
+A null text is an empty one. The hash of a word joins polynomials over its bytes modulo 2**64 and modulo two primes, so that all words of
+a block come from running sums; words that are made to collide modulo 2**64 differ modulo the primes. Texts longer than a block are cut
+between words, never shortened.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Primes below 2**31 with a base of each.
+_PRIMES = ((2_147_483_647, 1_316_830_717), (2_147_483_629, 707_106_781))
+#: Bytes whose values times powers below 2**31 a sum of 64 bits holds.
+_SUMMED = 1 << 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -98,6 +103,31 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _prime_power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of a prime and of its inverse, by doubling."""
+    if f"up{k}" not in _powers or len(_powers[f"up{k}"]) < n:
+        prime, base = _PRIMES[k]
+        for name, x in (("up", base), ("down", pow(base, -1, prime))):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < max(n, BLOCK + 1):
+                powers = np.concatenate([powers, powers * np.uint64(pow(x, len(powers), prime)) % np.uint64(prime)])
+            _powers[f"{name}{k}"] = powers[: max(n, BLOCK + 1)].astype(np.uint32)
+    return _powers[f"up{k}"], _powers[f"down{k}"]
+
+
+def _residues(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """The polynomials of words modulo a prime."""
+    prime = np.uint64(_PRIMES[k][0])
+    up, down = _prime_power(k, len(values))
+    total = np.zeros(len(values) + 1, np.uint64)
+    for a in range(0, len(values), _SUMMED):
+        b = min(a + _SUMMED, len(values))
+        np.multiply(values[a:b], up[a:b], out=total[a + 1 : b + 1])
+        total[a + 1] += total[a] % prime
+        np.cumsum(total[a + 1 : b + 1], out=total[a + 1 : b + 1])
+    return (total[ends] % prime + prime - total[starts] % prime) % prime * down[starts] % prime
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them; nulls are empty."""
     column = column.fill_null("")
@@ -134,11 +164,15 @@ def _piece(data: np.ndarray, breaks: np.ndarray, cut: Callable | None = None) ->
         parts[0, at], parts[1, at] = starts, inside
         parts[0, at[two] + 1], parts[1, at[two] + 1] = inside[two], ends[two]
         starts, ends = parts
+    values = _LOWER[data].astype(np.uint64) + np.uint64(1)
+    primes = _residues(values, starts, ends, 0) | (_residues(values, starts, ends, 1) << np.uint64(32))
     up, down = _power(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    np.multiply(values, up[: len(data)], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(h ^ mix(primes)), starts, ends
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

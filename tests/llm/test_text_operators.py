@@ -92,6 +92,43 @@ def test_components_against_all_pairs(spark, monkeypatch, leaf, small):
     assert sorted(tuple(r) for r in found.collect()) == _plain_components(texts, 4, 85)
 
 
+def _alike(n):
+    """A word of n letters and its complement, of one hash modulo 2 ** 64 in any base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_made_to_collide(spark, n):
+    from tokenizers import Tokenizer
+
+    one, two = _alike(n)
+    data = np.frombuffer(one.encode(), np.uint8).astype(object) - np.frombuffer(two.encode(), np.uint8)
+    assert sum(int(x) * pow(T._BASE, i, 1 << 64) for i, x in enumerate(data)) % (1 << 64) == 0  # they do collide there
+    ((_, h, at),) = T.words(pa.array([one, two, one.upper()]))
+    assert h[0] != h[1] and h[0] == h[2] and np.diff(at).tolist() == [1, 1, 1]
+    docs = _docs(spark, [None, one, two, one])
+    assert [r.component_id for r in op2.similar_sets(docs).orderBy("doc_id").collect()] == [0, 1, 2, 1]
+    tokenizer = Tokenizer.from_file(op4.public_tokenizer())
+    whole = {}
+    for r in op4.pack(docs, op4.public_tokenizer()).orderBy("doc_id", "start").collect():
+        whole[r.doc_id] = whole.get(r.doc_id, b"") + bytes(r.ids)
+    assert whole == {i: np.array([*tokenizer.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, x in enumerate(["", one, two, one])}
+    benchmark = spark.createDataFrame([(5, one)], "item_id long, text string")
+    assert sorted(r.doc_id for r in op1.contaminated(docs, benchmark).collect()) == [1, 3]
+
+
+def test_hashes_of_words_modulo_primes(monkeypatch):
+    monkeypatch.setattr(T, "_SUMMED", 7)
+    random.seed(4)
+    text = " ".join("".join(random.choice("abXYZ\u00e9") for _ in range(random.randint(1, 30))) for _ in range(60))
+    data = np.frombuffer(text.encode(), np.uint8)
+    ((_, _, at, s, e),) = T.words(pa.array([text]), spans=True)
+    for k, (prime, base) in enumerate(T._PRIMES):
+        plain = [sum((int(x) + 1) * pow(base, i, prime) for i, x in enumerate(data[a:b])) % prime for a, b in zip(s, e, strict=True)]
+        assert T._residues(data.astype(np.uint64) + np.uint64(1), s, e, k).tolist() == plain
+
+
 def test_components_of_nothing(spark):
     assert op2.similar_sets(_docs(spark, []).where("doc_id is not null")).count() == 0
     with pytest.raises(ValueError):
@@ -246,6 +283,8 @@ def test_decontamination_keeps_all_else(spark):
     benchmark = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, "Yes", 1), (None, "clean", 1), (9, None, 1), (10, "", 1)], "item_id long, text string, doc_id int")
     kept = op1.decontaminate(docs, benchmark)
     assert kept.schema == docs.schema and sorted((r.item_id or "") for r in kept.collect()) == ["", "", "b", "b", "f"]
+    clash = docs.withColumns({"__shared_shingles": F.lit(1), "shared_shingles": F.lit("x")})
+    assert op1.decontaminate(clash, benchmark).schema == clash.schema and op1.decontaminate(clash, benchmark).count() == op1.decontaminate(docs, benchmark).count()
     assert op1.decontaminate(docs.where("doc_id > 99"), benchmark).count() == 0 and op1.decontaminate(docs, benchmark.where("item_id > 99")).count() == len(rows)
     assert sorted({(r.doc_id, r.item_id) for r in op1.contaminated(docs, benchmark).collect()}, key=repr) == sorted([(1, 7), (None, 7), (3, 8), (4, 8)], key=repr)
 
@@ -486,6 +525,17 @@ def test_contexts_discover_and_mask(spark):
     assert masked[16][0] == "mail <EMAIL>" and masked[13] == (None, -1) and masked[15] == ("nothing 12 here", -1) and len(masked) == len(texts)
 
 
+def test_contexts_discover_in_texts_without_digits_and_numbers(spark):
+    texts = [f"so please write to {c}{c}x@example.org tonight" for c in "abcdefghijkl"]
+    texts += [f"so please write to person{c} (at) example (dot) org tonight" for c in "abcdefgh"] + ["nothing (at) all", None]
+    for number in (lambda i: i, lambda i: None):
+        docs = spark.createDataFrame([(number(i), x, 0) for i, x in enumerate(texts)], "doc_id long, text string, other_doc_key int")
+        found = [(r.n_email, len(r.added or [])) for r in op9.find(docs).collect()]
+        assert sorted(found) == sorted([(1, 0)] * 12 + [(0, 1)] * 8 + [(0, 0)] * 2)
+        masked = [r.text for r in op9.mask(docs).collect()]
+        assert masked.count("so please write to <EMAIL> tonight") == 20 and len(masked) == len(texts) and op9.mask(docs).schema == docs.schema
+
+
 def test_secrets_and_forms(spark):
     key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
     texts = [f'we set token = "{key(i)}" once' for i in range(12)] + ['we set token = "abc12345" once', f'we set color = "{"ab" * 20}" once']
