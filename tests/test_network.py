@@ -69,11 +69,14 @@ def test_paths_are_the_same_in_small_blocks_and_many_tasks(spark, monkeypatch):
         assert found == {i: p for i, s, t in requests if (p := plain(s, t))}
 
 
-def test_clusters_against_one_by_one(spark):
+@pytest.mark.parametrize(("first", "most"), [(4096, 1 << 18), (8, 40), (2, 3)])
+def test_clusters_against_one_by_one(spark, monkeypatch, first, most):
     import random
 
-    from kerbline.operators.stops import cluster
+    from kerbline.operators import stops as S
 
+    monkeypatch.setattr(S, "FIRST", first)
+    monkeypatch.setattr(S, "MOST", most)
     random.seed(11)
     points = [(i, round(-34.6 + random.randint(0, 12) * 0.0004, 6), round(-58.4 + random.randint(0, 12) * 0.0004, 6)) for i in random.sample(range(1000), 120)]
     stops = spark.createDataFrame(points, "id long, lat double, lng double")
@@ -83,8 +86,22 @@ def test_clusters_against_one_by_one(spark):
         if x not in leader:
             leader[x] = x
             leader.update((y, x) for y in (p[0] for p in points) if (x, y) in close and y not in leader)
-    assert {r.id: r.leader for r in cluster(stops, 0.06).collect()} == leader and len(set(leader.values())) < len(leader)
-    assert cluster(stops.where("id < 0"), 0.06).count() == 0
+    assert {r.id: r.leader for r in S.cluster(stops, 0.06).collect()} == leader and len(set(leader.values())) < len(leader)
+    if first == 4096:
+        assert S.cluster(stops.where("id < 0"), 0.06).count() == 0
+        odd = stops.limit(1).union(spark.createDataFrame([(None, 1.0, 1.0), (5000, None, 1.0)], stops.schema))
+        assert S.cluster(odd, 0.06).count() == 1
+
+
+def test_clusters_along_a_street_in_few_rounds(spark, monkeypatch):
+    from kerbline.operators import stops as S
+
+    written = []
+    monkeypatch.setattr(S, "checkpoint", lambda df, plain=S.checkpoint: (written.append(1), plain(df))[1])
+    stops = spark.range(10_000).selectExpr("id", "-34.6d AS lat", "-58.4d + id * 0.001d AS lng")  # each is close to the ones before and after it
+    found = {r.id: r.leader for r in S.cluster(stops, 0.1).collect()}
+    assert found == {i: i - i % 2 for i in range(10_000)}
+    assert len(written) <= 5 + 3 * 4
 
 
 def test_grids_are_components(spark):
