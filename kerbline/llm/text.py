@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Primes below 2**31 with a base of each.
 _PRIMES = ((2_147_483_647, 1_316_830_717), (2_147_483_629, 707_106_781))
