@@ -67,6 +67,8 @@ DERIVED = {
     "zone_edge": """SELECT e.vertexStartId, e.vertexEndId, e.distance, e.wayId FROM street_edge e JOIN customer a ON a.c_custkey + 1 = e.vertexStartId
         JOIN customer b ON b.c_custkey + 1 = e.vertexEndId WHERE a.c_nationkey % 2 = b.c_nationkey % 2""",
     "oneway_edge": """SELECT vertexStartId, vertexEndId FROM zone_edge WHERE CASE WHEN vertexStartId < vertexEndId THEN vertexStartId % 4 <> 1 ELSE vertexEndId % 5 > 1 END""",
+    "journey": """SELECT id AS request, lat AS lat1, lng AS lng1, CAST(lat + CASE id % 4 WHEN 0 THEN 0.0005 WHEN 1 THEN 0.002 WHEN 2 THEN 0.009 ELSE -0.012 END AS DOUBLE) AS lat2,
+        CAST(lng + CASE id % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.012 WHEN 2 THEN 0.011 ELSE -0.013 END AS DOUBLE) AS lng2 FROM ramp""",
     "leg": """SELECT a.id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM stop a JOIN stop b ON b.id = a.id + 26 + a.id % 3""",
 }
 

@@ -54,6 +54,17 @@ def rte_10_changes(t):
     return R.transfer_routes(t("stop"), t("travel_info"), _changes(t), FROM, TO)
 
 
+@query("rte-10-journeys")
+def rte_10_journeys(t):
+    """All journeys at once, each route with its walks, rides and incidents, and the requests that have none."""
+    from kerbline.operators.journeys import journeys
+
+    found = journeys(t("journey"), t("stop"), t("travel_info"), _changes(t), t("sidewalk_edge"), t("crossing"), t("ramp"), t("street_vertex"))
+    rides = F.filter("paths", lambda p: p["kind"] == "RIDE")
+    total = lambda size: F.aggregate(rides, F.lit(0), lambda n, p: n + F.size(p[size]))
+    return found.select("request", "status", "rank", "first", "fromStop", "changeFrom", "changeTo", "second", "toStop", "cost", F.when(C("paths").isNotNull(), F.size("paths")).alias("parts"), total("points").alias("ridden"), total("incidents").alias("blocked"))
+
+
 @query("rte-13")
 def rte_13(t):
     legs = R.direct_routes(t("stop"), t("travel_info"), START, END).drop("cost")
@@ -216,6 +227,30 @@ def _oracles() -> None:
     ORACLES["rte-13"] = _with(f"legs AS ({'WITH ' + _DIRECT}) SELECT l.travelInfoId, string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY CASE WHEN a.sequence <= b.sequence THEN s.sequence ELSE -s.sequence END) AS stops, {s6('sum(s.lat)')} AS lat, "
         "any_value(i.type || ' - Line ' || i.name || ' - Branch ' || i.branch || ' - ' || i.sentido) AS title, CAST(any_value((NOT a.isAccessible)::INT + (NOT b.isAccessible)::INT) AS INT) AS incidents FROM legs l JOIN stop a ON a.id = l.fromStop JOIN stop b ON b.id = l.toStop "
         "JOIN stop s ON s.travelInfoId = l.travelInfoId AND s.sequence BETWEEN least(a.sequence, b.sequence) AND greatest(a.sequence, b.sequence) JOIN travel_info i ON i.id = l.travelInfoId GROUP BY l.travelInfoId", "stop, travel_info")
+    near = lambda n: f"{planar('s.lat', 's.lng', f'j.lat{n}', f'j.lng{n}')} <= 0.5 / 6371.0"
+    away = " AND ".join(f"{planar(f'{x}.lat', f'{x}.lng', f'j.lat{n}', f'j.lng{n}')} > 0.5 / 6371.0" for x in "ab" for n in (1, 2))
+    shut = lambda *names: " + ".join(f"(NOT {x}.isAccessible)::INT" for x in names)
+    bus = lambda x: f"CASE WHEN {x}.type <> 'SUBWAY' THEN 50 ELSE 0 END"
+    ORACLES["rte-10-journeys"] = _with(f"""{_COMB}, j AS (SELECT *, {km('lat1', 'lng1', 'lat2', 'lng2')} <= 0.3 AS walk FROM journey),
+      st AS (SELECT j.request, s.* FROM j JOIN stop s ON NOT j.walk AND {near(1)}), en AS (SELECT j.request, s.*, {km('s.lat', 's.lng', 'j.lat2', 'j.lng2')} AS km FROM j JOIN stop s ON NOT j.walk AND {near(2)}),
+      leave AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY request, travelInfoId ORDER BY round(km, 6), id) = 1),
+      span AS (SELECT request, travelInfoId FROM (SELECT request, travelInfoId, min(sequence) AS lo FROM st GROUP BY 1, 2) a JOIN (SELECT request, travelInfoId, max(sequence) AS hi FROM en GROUP BY 1, 2) b USING (request, travelInfoId) WHERE lo <= hi),
+      direct AS (SELECT s.request, s.travelInfoId AS first, s.id AS fromStop, NULL::BIGINT AS changeFrom, NULL::BIGINT AS changeTo, NULL::BIGINT AS second, e.id AS toStop,
+         round(abs(e.sequence - s.sequence) + 100 + 60 * ({shut('s', 'e')}) + {bus('i')} + 10 * e.km, 6) AS cost, abs(e.sequence - s.sequence) + 1 AS ridden, {shut('s', 'e')} AS blocked
+         FROM st s JOIN leave e USING (request, travelInfoId) JOIN span USING (request, travelInfoId) JOIN travel_info i ON i.id = s.travelInfoId
+         QUALIFY row_number() OVER (PARTITION BY s.request, s.travelInfoId ORDER BY s.sequence >= e.sequence, s.sequence, s.id) = 1),
+      own AS (SELECT request, travelInfoId AS line, min(sequence) AS lo FROM st GROUP BY 1, 2),
+      link AS (SELECT o.request, c.fromStopId AS a, c.toStopId AS b FROM comb c JOIN own o ON o.line = c.fromTravelInfoId JOIN stop f ON f.id = c.fromStopId WHERE o.lo < f.sequence
+         UNION SELECT o.request, c.toStopId, c.fromStopId FROM comb c JOIN own o ON o.line = c.toTravelInfoId JOIN stop f ON f.id = c.toStopId LEFT JOIN own x ON x.request = o.request AND x.line = c.fromTravelInfoId WHERE x.line IS NULL AND o.lo < f.sequence),
+      changed AS (SELECT l.request, a.travelInfoId AS first, s.id AS fromStop, a.id AS changeFrom, b.id AS changeTo, b.travelInfoId AS second, e.id AS toStop,
+         round(a.sequence - s.sequence + e.sequence - b.sequence + 200 + 60 * ({shut('s', 'a', 'b', 'e')}) + {bus('i')} + {bus('k')} + 10 * ({km('a.lat', 'a.lng', 'b.lat', 'b.lng')} + e.km), 6) AS cost,
+         a.sequence - s.sequence + e.sequence - b.sequence + 2 AS ridden, {shut('s', 'a', 'b', 'e')} AS blocked
+         FROM link l JOIN j ON j.request = l.request JOIN stop a ON a.id = l.a JOIN stop b ON b.id = l.b JOIN leave e ON e.request = l.request AND e.travelInfoId = b.travelInfoId AND b.sequence < e.sequence
+         JOIN st s ON s.request = l.request AND s.travelInfoId = a.travelInfoId AND s.sequence < a.sequence JOIN travel_info i ON i.id = a.travelInfoId JOIN travel_info k ON k.id = b.travelInfoId WHERE {away}
+         QUALIFY row_number() OVER (PARTITION BY l.request, a.travelInfoId, b.travelInfoId ORDER BY round(a.sequence - s.sequence + e.sequence - b.sequence + 200 + 60 * ({shut('s', 'a', 'b', 'e')}) + {bus('i')} + {bus('k')} + 10 * ({km('a.lat', 'a.lng', 'b.lat', 'b.lng')} + e.km), 6), s.id, a.id, b.id) = 1),
+      every AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY second IS NOT NULL, cost, first, second) AS rank FROM (SELECT * FROM direct UNION ALL SELECT * FROM changed) z QUALIFY rank <= 5)
+      SELECT j.request, CASE WHEN NOT j.walk AND (j.request NOT IN (SELECT request FROM st) OR j.request NOT IN (SELECT request FROM en)) THEN 'NoStops' ELSE 'OK' END AS status, CASE WHEN j.walk THEN 1 ELSE r.rank END AS rank, first, fromStop, changeFrom, changeTo, second, toStop, cost,
+        CAST(CASE WHEN j.walk THEN 1 WHEN r.second IS NOT NULL THEN 5 WHEN r.request IS NOT NULL THEN 3 END AS INT) AS parts, CAST(CASE WHEN j.walk THEN 0 ELSE ridden END AS INT) AS ridden, CAST(CASE WHEN j.walk THEN 0 ELSE blocked END AS INT) AS blocked FROM j LEFT JOIN every r ON r.request = j.request""", "journey, stop, travel_info")
     row, column = _column_row()
     walked = f"abs({row.format('z.s')} - {row.format('z.d')}) + abs({column.format('z.s')} - {column.format('z.d')}) + 1"
     numbered = "(SELECT row_number() OVER (ORDER BY c.fromStopId, c.toTravelInfoId) AS id, c.fromStopId, c.toTravelInfoId, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2 FROM combination c JOIN stop a ON a.id = c.fromStopId JOIN stop b ON b.id = c.toStopId WHERE c.fromStopId % 2 <> 0)"

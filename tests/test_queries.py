@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from conftest import DATA
 from kerbline.plans import registry
 
-NAMES = ["geo-01", "geo-05", "geo-16", "geo-27", "snk-03", "snk-06", "flt-10", "flt-16", "jon-06", "jon-10", "jon-12", "agg-01", "agg-09", "win-03", "win-04", "win-06", "top-02", "gra-09", "gra-17", "etl-13", "rte-05", "rte-08", "rte-10", "rte-13", "rte-14", "rte-16", "rte-19", "gra-07", "gra-13", "gra-18", "rte-02", "rte-03", "etl-05", "etl-09", "etl-14", "etl-16", "swk-02", "swk-09", "rmp-04", "snk-02", "snk-07", "snp-04", "snp-05", "win-08", "rte-04", "rte-17", "gra-09-strong", "gra-11-strong", "cmb-02"]
+NAMES = ["geo-01", "geo-05", "geo-16", "geo-27", "snk-03", "snk-06", "flt-10", "flt-16", "jon-06", "jon-10", "jon-12", "agg-01", "agg-09", "win-03", "win-04", "win-06", "top-02", "gra-09", "gra-17", "etl-13", "rte-05", "rte-08", "rte-10", "rte-13", "rte-14", "rte-16", "rte-19", "gra-07", "gra-13", "gra-18", "rte-02", "rte-03", "etl-05", "etl-09", "etl-14", "etl-16", "swk-02", "swk-09", "rmp-04", "snk-02", "snk-07", "snp-04", "snp-05", "win-08", "rte-04", "rte-17", "gra-09-strong", "gra-11-strong", "cmb-02", "rte-10-journeys"]
 
 
 @pytest.fixture(scope="module")
