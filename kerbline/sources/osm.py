@@ -68,28 +68,60 @@ def rings(member: DataFrame, way: DataFrame, node: DataFrame) -> DataFrame:
     return steps.groupBy("id", "wayId", "role").agg(points.alias("ring"))
 
 
+def _members(relation: DataFrame) -> DataFrame:
+    """(relationId, wayId, role) of the ways that relations name; other members are no ways, whatever their number. Roles but outer and inner make no ring."""
+    rows = relation.select(F.col("id").alias("relationId"), F.explode("members").alias("m")).where("m.type = 'way'")
+    return rows.select("relationId", F.col("m.ref").alias("wayId"), F.col("m.role").alias("role"))
+
+
+def area_rings(relation: DataFrame, classes: DataFrame, node: DataFrame, tag: T.Tag) -> DataFrame:
+    """(wayId) of the outermost closed rings of the areas that one walks or parks on: relations all of whose ways and nodes are known, and single ways."""
+    from kerbline.operators import areas as A
+
+    serves = lambda: (uses := A.area_uses(tag))["walkable"] | uses["park_and_ride"]
+    steps = way_nodes(classes.where("in_area")).join(node.select(F.col("id").alias("nodeId"), "lat", "lng"), "nodeId", "left").withColumn("known", F.col("lat").isNotNull())
+    member = _members(relation).join(relation.where((A.relation_kind(tag) == "area") & serves()).select(F.col("id").alias("relationId")), "relationId", "left_semi")
+    whole = member.join(A.complete(member, classes, steps), "relationId", "left_semi")
+    closed = A.rings(steps.where("known"))
+    top = A.outermost(whole.join(closed, "wayId").select(F.col("relationId").alias("area"), "wayId", "role", "ring")).select("wayId")
+    alone = A.single_areas(classes.where(serves()), steps).select(F.col("id").alias("wayId")).join(closed, "wayId", "left_semi")
+    return top.union(alone).distinct()
+
+
+def with_area_tags(way: DataFrame, relation: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """ways (id, tags, ...) whose tags have the missing ones of names from the areas that they bound."""
+    from kerbline.operators import areas as A
+
+    tag = T.from_map("tags")
+    areas = relation.where(A.relation_kind(tag) == "area").select("id", *[F.col("tags")[c].alias(c) for c in names])
+    got = A.inherited(way.select("id", *[F.col("tags")[c].alias(c) for c in names]), areas, _members(relation), list(names))
+    every = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*[F.col(c) for c in names]))
+    got = got.select("id", F.map_filter(every, lambda k, v: v.isNotNull()).alias("area_tags"))
+    own = F.map_filter("tags", lambda k, v: ~F.array_contains(F.map_keys("area_tags"), k))
+    return way.join(got, "id").withColumn("tags", F.map_concat(own, "area_tags")).drop("area_tags")
+
+
 def street_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of the streets of a file: routable ways cut at intersections, both directions as permitted.
 
-    A node is an intersection if streets meet in it, or if the outer ring of an area that one walks or parks on shares it with a street.
+    A way takes the tags that it lacks from the area that it bounds. A node is an intersection if streets meet in it, or if an outermost ring of an area
+    that one walks or parks on shares it with a street. A node that a way has just met, or one at the same place and level as the one before, is passed over.
     """
     from kerbline.operators import areas as A
     from kerbline.operators import streets as W
 
     node, way, tag = nodes(spark, path), ways(spark, path), T.from_map("tags")
     relation = relations(spark, path)
-    member = relation.select(F.col("id").alias("relationId"), F.explode("members").alias("m")).select("relationId", F.col("m.ref").alias("wayId"), F.col("m.role").alias("role"))
-    classes = A.way_classes(way.withColumn("nodeCount", F.size("nodeIds")), A.member_ways(relation, member, tag), tag, "nodeCount")
-    inner = member.where("role = 'inner'").select(F.col("wayId").alias("id"))
-    uses = A.area_uses(tag)
-    rings_ = classes.where("in_area").where(~F.col("single_area") | uses["walkable"] | uses["park_and_ride"]).join(inner, "id", "left_anti").where(F.col("nodeIds")[0] == F.element_at("nodeIds", -1))
-    way = way.where(T.routable_way(tag) & ~T.way_flags(tag, F.size("nodeIds"))["area"])
+    classes = A.way_classes(way.withColumn("nodeCount", F.size("nodeIds")), A.member_ways(relation, _members(relation), tag), tag, "nodeCount")
+    rings_ = way.join(area_rings(relation, classes, node, tag).withColumnRenamed("wayId", "id"), "id", "left_semi")
+    way = with_area_tags(classes.where("street").select(way.columns), relation, A.INHERITED).where(T.routable_way(tag))
     mark = T.is_stop(tag) | T.is_bollard(tag) | F.col("tags")["ele"].isNotNull()
-    known = node.select(F.col("id").alias("nodeId"), "lat", "lng", mark.alias("mark"))
+    known = node.select(F.col("id").alias("nodeId"), "lat", "lng", F.col("tags")["level"].alias("level"), mark.alias("mark"))
     steps = way_nodes(way)
     # ways with an unknown node are left out whole
     broken = steps.join(known.select("nodeId"), "nodeId", "left_anti").select("wayId")
     steps = W.drop_repeats(steps.join(broken, "wayId", "left_anti").join(known, "nodeId"), ["nodeId"])
+    steps = W.drop_repeats(steps, ["lat", "lng", "level"])
     cross = steps.groupBy("nodeId").agg(F.count("*").alias("n")).where("n >= 2").select("nodeId")
     cross = cross.union(way_nodes(rings_).select("nodeId")).distinct()
     parts = W.segments(steps, cross, F.col("mark"))

@@ -31,6 +31,23 @@ def test_areas_cut_the_streets_through_their_rings(spark, tmp_path):
         assert {(r.vertexStartId, r.vertexEndId) for r in edges.collect()} == expected
 
 
+def test_streets_take_tags_and_rings_of_areas(spark, tmp_path):
+    """Outermost rings alone cut streets, nodes and relations of a way's number are no ways, parking ways take a highway, nodes at one place are one."""
+    at = {1: (0, 0), 2: (0, 1), 3: (0, 2), 4: (0, 3), 5: (0, 4), 21: (-9, 1), 22: (9, 1), 23: (9, 30), 24: (-9, 30), 31: (0, 2), 32: (-1, 3), 33: (1, 4), 41: (50, 50), 42: (50, 51)}
+    xml = "".join(f'<node id="{i}" lat="{a}" lon="{b}"/>' for i, (a, b) in at.items())
+    way = lambda i, refs, **tags: f'<way id="{i}">' + "".join(f'<nd ref="{r}"/>' for r in refs) + "".join(f'<tag k="{k}" v="{v}"/>' for k, v in tags.items()) + "</way>"
+    # 10 is a street past the big ring 50 (which shares node 2) and the ring 51 in it (which shares node 4); node 31 lies where node 3 does
+    xml += way(10, [1, 2, 3, 31, 4, 5], highway="residential") + way(50, [2, 21, 24, 23, 22, 2]) + way(51, [4, 32, 33, 4]) + way(60, [41, 42], park_ride="yes", amenity="parking")
+    member = lambda kind, ref, role: f'<member type="{kind}" ref="{ref}" role="{role}"/>'
+    area = '<tag k="type" v="multipolygon"/><tag k="highway" v="pedestrian"/></relation>'
+    xml += f'<relation id="70">{member("way", 50, "outer")}{member("way", 51, "outer")}{member("node", 10, "outer")}{area}<relation id="71">{member("way", 60, "outer")}{area}'
+    (tmp_path / "a.osm").write_text(f"<osm>{xml}</osm>")
+    vertices, edges = osm.street_graph(spark, str(tmp_path / "a.osm"))
+    both = lambda *pairs: {x for a, b in pairs for x in ((a, b), (b, a))}
+    assert {(r.vertexStartId, r.vertexEndId) for r in edges.collect()} == both((1, 2), (2, 5), (41, 42))
+    assert {r.id for r in vertices.collect()} == {1, 2, 5, 41, 42}
+
+
 def test_graph_file(spark, tmp_path):
     from kerbline.sources import graph_json
 
