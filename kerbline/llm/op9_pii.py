@@ -299,7 +299,8 @@ def mask(docs: DataFrame) -> DataFrame:
     rest = docs.where(F.col("text").isNotNull() & column_test(held)(number))
     rest = rest.withColumns({doc: F.col("doc_id").cast("long"), content: F.xxhash64(F.col("text").cast("string"))})
     more_of = added.select(F.col("doc_id").alias(other_doc), F.col("text_hash").alias(other_content), F.col("added").alias(more))
-    rest = rest.join(more_of, F.col(doc).eqNullSafe(F.col(other_doc)) & (F.col(content) == F.col(other_content)), "left")
+    # never a broadcast join: a task would run the test and the masking in two Python workers at once, and workers stay
+    rest = rest.join(more_of.hint("merge"), F.col(doc).eqNullSafe(F.col(other_doc)) & (F.col(content) == F.col(other_content)), "left")
     return plain.union(rest.select(*names, more).mapInArrow(masked, schema))
 
 

@@ -549,6 +549,30 @@ def test_secrets_and_forms(spark):
     assert masked[12] == 'we set token = "<SECRET>" once' and masked[26] == "at <PHONE> <IP> now"
 
 
+def _python_steps(df):
+    """The most Python steps that one task of df runs: those of a path of its plan without an exchange between."""
+    most, above = 0, []  # of the nodes above: column, steps since an exchange
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        name = line.lstrip(" :+-*()0123456789")
+        if name:
+            at = len(line) - len(line.lstrip(" :+-"))
+            while above and above[-1][0] >= at:
+                above.pop()
+            steps = 0 if "Exchange" in name.split()[0] else (above[-1][1] if above else 0) + name.startswith(("MapInArrow", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"))
+            above.append((at, steps))
+            most = max(most, steps)
+    return most
+
+
+def test_masking_runs_one_python_worker_a_task(spark):
+    texts = [f"so please call me at +1 555 010 {1000 + i} tonight" for i in range(12)] + ["so please call me at 555 010 4242 tonight", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    twice = docs.mapInArrow(lambda batches: batches, docs.schema).mapInArrow(lambda batches: batches, docs.schema)
+    assert _python_steps(twice) == 2 and _python_steps(docs) == 0
+    masked = op9.mask(docs)
+    assert _python_steps(masked) == 1 and masked.where("text like '%<PHONE>%'").count() == 13
+
+
 def test_pii_odd_input(spark):
     rows = [(1, "mail q@w.org", 7, "x"), (1, "mail q@w.org", 7, "x"), (1, "other 1.2.3.4", 8, None), (None, "mail a@b.cd", 9, "z"), (2, None, 1, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash long, added string").withColumns({"more_spans": F.lit("keep"), "doc_key": F.lit(3)})
