@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline.operators import graph as N
 from kerbline.operators import overlay as O
 
 
@@ -136,3 +137,35 @@ def test_strong_components_against_reach(spark, monkeypatch, block, fan):
     edges = spark.createDataFrame(sorted(pairs), "vertexStartId long, vertexEndId long")
     got = {r.node: r.root for r in O.strong_components(edges, block).collect()}
     assert got == {a: min(b for b in far[a] if a in far[b]) for a in nodes} and got[300] == 300 and got[129] == 100
+
+
+def test_reach_from_one_vertex(spark, monkeypatch):
+    block = 16
+    monkeypatch.setattr(O, "FAN", 4)
+    monkeypatch.setattr(O, "BLOCK", block)
+    monkeypatch.setattr(N, "BLOCK", 10**11)
+    ids, places, edges = _streets(12, block)
+    cut = {(a, b) for a, b in edges if (a in ids[:72]) == (b in ids[:72])} | {(5, 6), (ids[0], ids[0])}
+    near = {}
+    for a, b in cut:
+        near.setdefault(a, []).append(b)
+    e = spark.createDataFrame(sorted(cut), "vertexStartId long, vertexEndId long")
+    for start in (ids[30], 77):
+        hops, todo = {start: 0}, [start]
+        for a in todo:
+            for b in near.get(a, ()):
+                if b not in hops:
+                    hops[b] = hops[a] + 1
+                    todo.append(b)
+        assert {r.id: r.hops for r in N.reachable(e, start).collect()} == hops
+        if start != 77:
+            assert {r.id: r.hops for r in N.reachable(e, start, most=5).collect()} == {v: h for v, h in hops.items() if h <= 5}
+
+
+def test_reach_takes_rounds_by_levels(spark, monkeypatch):
+    written = []
+    for module in (O, N):
+        monkeypatch.setattr(module, "checkpoint", lambda df, f=O.checkpoint: (written.append(1), f(df))[1])
+    line = spark.range(3000).select((F.col("id") * 5000).alias("vertexStartId"), ((F.col("id") + 1) * 5000).alias("vertexEndId"))
+    far = N.reachable(line, 0).agg(F.count("*"), F.max("hops"), F.sum(F.col("hops") * 5000 - F.col("id"))).first()
+    assert tuple(far) == (3001, 3000, 0) and len(written) <= 12
