@@ -33,3 +33,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.queries()) <= set(entry.queries())
+
+
+def test_hops_end_where_the_sql_ends(spark, tmp_path):
+    """A street of 200 rows of blocks, longer than the hops that the SQL of gra-14 goes."""
+    spark.range(8000).selectExpr("id as c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    connection = duckdb.connect()
+    connection.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    found = _rows(registry.queries()["gra-14"](spark, str(tmp_path)).toPandas())
+    assert found == _rows(connection.sql(registry.oracle_sql()["gra-14"]).df()) and len(found) < 8000
