@@ -34,6 +34,19 @@ def test_pairs_within_a_distance_on_the_whole_globe(spark, km):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+@pytest.mark.parametrize("mode", ["planar", "haversine"])
+def test_a_distance_join_is_never_broadcast(spark, mode):
+    """What Spark takes for a small side has nine rows for each of its own, in the driver if it were broadcast."""
+    from kerbline.operators.transit import context
+
+    points = spark.createDataFrame([(i, 0.0, i * 0.001, 1, i, True) for i in range(20)], "id long, lat double, lng double, travelInfoId long, sequence long, isAccessible boolean")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(S.within_distance(points, points, 0.5, mode))
+    changes = points.selectExpr("id as fromStopId", "travelInfoId as fromTravelInfoId", "id as toStopId", "travelInfoId as toTravelInfoId")
+    joins = plan(context(points, points, changes, [(0.0, 0.0)]))
+    assert joins.count("SortMergeJoin") >= 2 and "fromStopId" not in "".join(x for x in joins.splitlines() if "BroadcastHashJoin" in x)
+
+
 @pytest.mark.parametrize("held, n", [(4, 150), (64, 150), (64, 3)])
 def test_nearest_of_all_however_far(spark, monkeypatch, held, n):
     monkeypatch.setattr(S, "HELD", held)
