@@ -169,3 +169,16 @@ def test_reach_takes_rounds_by_levels(spark, monkeypatch):
     line = spark.range(3000).select((F.col("id") * 5000).alias("vertexStartId"), ((F.col("id") + 1) * 5000).alias("vertexEndId"))
     far = N.reachable(line, 0).agg(F.count("*"), F.max("hops"), F.sum(F.col("hops") * 5000 - F.col("id"))).first()
     assert tuple(far) == (3001, 3000, 0) and len(written) <= 12
+
+
+def test_requests_of_the_same_ends_are_one_search(spark, monkeypatch):
+    """Many requests between few places: each different search is done once, and each request has its path."""
+    ids, places, edges = _streets(12, 4)
+    states = []
+    monkeypatch.setattr(O, "_met_in_blocks", lambda level, size, own, *rest, f=O._met_in_blocks: (states.append(own.count()), f(level, size, own, *rest))[1])
+    ends = [(ids[0], [ids[77], ids[5]]), (ids[9], [ids[130]]), (ids[140], [ids[2], ids[140]])]
+    asked = [(i, ends[i % 3][0], ends[i % 3][1][:: 1 if i % 2 else -1]) for i in range(600)]
+    e, v, q = _frames(spark, places, edges, asked)
+    got = _found(O.build(e, 16, v), q)
+    assert got == {i: _plain(edges, s, t) for i, s, t in asked} and len(got) == 600
+    assert states[0] == 5
